@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import exact, near, packing, token_ids, urls, warc
+from quern.llm import decontam, exact, near, packing, token_ids, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's labelled outcome is that of the document with its number: bad if of low quality or toxic."""
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_near_dedup": op1_near_dedup,
         "op2_packing": op2_packing,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_decontamination": op6_decontamination,
         "op8_url_filter": op8_url_filter,
         "op9_warc": op9_warc,
         "op10_token_ids": op10_token_ids,
