@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import os
 import re
 import struct
@@ -142,58 +143,93 @@ def shingle_set(hashes: np.ndarray, width: int = 5) -> np.ndarray:
 # ---------------------------------------------------------------- tokenisation
 
 
-class CachedEncoder(dict):
+class _Pieces(dict):
+    """Ids of pieces, with a space before them or without. Of `limit` pieces those used since the last turnover stay."""
+
+    def __init__(self, owner: "CachedEncoder", space: bool, limit: int):
+        super().__init__()
+        self.owner, self.limit, self.old = owner, limit, {}
+        self.space = " " if space else ""
+        self.spelled = owner.spell(" ") if space and not owner.lowers else ""
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self.old.get(piece)
+        if out is None:
+            out = self._new(piece)
+        if len(self) >= self.limit // 2:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = out
+        return out
+
+    def _letters(self, piece: str) -> bytes:
+        """Ids of Latin letters: one pre-token."""
+        owner = self.owner
+        if owner.lowers:
+            piece = piece.lower()
+        got = [t.id for t in owner.model.tokenize(self.spelled + piece.translate(owner.letters))]
+        return struct.pack(f"<{len(got)}I", *got)
+
+    def _new(self, piece: str) -> bytes:
+        owner = self.owner
+        if piece.isalpha() and max(piece) < "\u0100":
+            return self._letters(piece)
+        if "<" in piece:  # it may hold the name of a special token
+            return owner.encode(self.space + piece)
+        at = piece.find("\n")
+        if 0 < at < len(piece) - 1 and not piece[at - 1].isspace() and not piece[at + 1].isspace():
+            return self.known(piece[:at]) + owner.line_feed + owner.initial.known(piece[at + 1 :])
+        stem = piece.rstrip(_MARKS)
+        if stem != piece and stem[-1:].isascii() and stem[-1:].isalpha():
+            return self.known(stem) + owner.initial[piece[len(stem) :]]
+        return owner.encode(self.space + piece)
+
+    def known(self, piece: str) -> bytes:
+        """As self[piece], but a new piece isn't stored: its whole is."""
+        return self.get(piece) or self.old.get(piece) or self._new(piece)
+
+
+class CachedEncoder:
     """Ids of whole texts by a tokenizers file, the same as encode() gives for the whole text.
 
-    No token of the supported vocabularies spans the place between a character that isn't white space and a space, nor
-    that between an ASCII letter and a sentence mark, and their normalisers don't look across. So a text is cut there
-    and each distinct piece is encoded once by the library. The cache holds `limit` pieces and then starts anew.
-    Keys are the pieces without the space before them; values are little-endian unsigned 32-bit ids.
+    No token of the supported vocabularies spans the place between a character that isn't white space and a space or line
+    feed, that between a lone line feed and what follows, or that between an ASCII letter and an ASCII mark; and their
+    normalisers don't look across. So a text is cut there and each distinct piece is encoded once by the library; a
+    piece of Latin letters is one pre-token, which goes to the library's model directly.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
-        super().__init__()
+    def __init__(self, path: str, limit: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.encoder, self.limit = Tokenizer.from_file(path), limit
+        self.encoder = Tokenizer.from_file(path)
+        self.model = self.encoder.model
         self.lowers = "Lowercase(" in str(self.encoder.normalizer)
-        self.whole: dict[str, bytes] = {}
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spell = lambda c: level.pre_tokenize_str(c)[0][0]
+        self.letters = {n: self.spell(chr(n)) for n in range(256) if chr(n).isalpha()}
+        self.line_feed = self.encode("\n")
+        self.inner, self.initial = _Pieces(self, True, limit), _Pieces(self, False, limit // 8)
 
-    def _ids(self, text: str) -> bytes:
+    def encode(self, text: str) -> bytes:
         got = self.encoder.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(got)}I", *got)
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        stem = piece.rstrip(_MARKS)
-        if stem != piece and stem[-1:].isascii() and stem[-1:].isalpha():
-            out = self[stem] + self._start(piece[len(stem) :])
-        elif self.lowers and piece.isascii() and piece.isalpha() and piece != (low := piece.lower()):
-            out = self[low]
-        else:
-            out = self._ids(" " + piece)
-        self[piece] = out
-        return out
-
-    def _start(self, piece: str) -> bytes:
-        """Ids of a piece without a space before it."""
-        out = self.whole.get(piece)
-        if out is None:
-            if len(self.whole) >= self.limit // 10:
-                self.whole.clear()
-            out = self.whole[piece] = self._ids(piece)
-        return out
-
     def ids_of(self, text: str) -> bytes:
-        if any(x in text for x in _PAIRS):
-            return b"".join([self[x[1:]] if x[:1] == " " and x[1:].strip() else self._start(x) for x in _CUT.split(text)])
+        """Little-endian unsigned 32-bit ids."""
+        if any([x in text for x in _PAIRS]):
+            return b"".join([self.inner[x[1:]] if x[:1] == " " and x[1:].strip() else self.encode(x) for x in _CUT.split(text)])
         first, *rest = text.split(" ")
-        return self._start(first) + b"".join(map(self.__getitem__, rest))
+        return self.initial[first] + b"".join(map(self.inner.__getitem__, rest))
+
+
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str) -> CachedEncoder:
+    """The process's encoder for a vocabulary: a worker keeps its pieces from task to task."""
+    return CachedEncoder(path)
 
 
-_MARKS = ".,!?;:|"
+_MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 #: White space before a space: there a text can't simply be split at spaces.
 _PAIRS = [c + " " for c in map(chr, range(0x10000)) if c.isspace()]
 _CUT = re.compile(r"(?<=\S)(?= )")

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import CachedEncoder, back, ids, text_column
+from quern.llm.common import back, encoder_of, ids, text_column
 
 WINDOW = 4096
 #: Open windows of a task at most; beyond that the fullest is closed by cutting pieces of the emptiest into it.
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_i
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = CachedEncoder(vocabulary), SumOfSquares(window)
+        encoder, packer = encoder_of(vocabulary), SumOfSquares(window)
         sequence = TaskContext.get().partitionId() << 36
         out: list[tuple[int, ...]] = []
 
