@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import CachedEncoder, back, filesystem, ids, new_folder, put_file, text_column
+from quern.llm.common import back, encoder_of, filesystem, ids, new_folder, put_file, text_column
 
 MAGIC = b"QDAC0001"
 #: Bits of an id held at each level; the last level takes what is left.
@@ -130,7 +130,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, made = CachedEncoder(vocabulary), TaskContext.get().partitionId(), 0
+        encoder, part, made = encoder_of(vocabulary), TaskContext.get().partitionId(), 0
         held: list[bytes] = []
         names: list[int] = []
         size = 0
