@@ -100,16 +100,17 @@ def words_of(raw: bytes) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash; forgets everything beyond `limit` words, so that memory stays bounded."""
+    """word -> 64-bit hash; of `limit` words those used since the last turnover stay, so that memory is bounded."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 500_000):
         super().__init__()
-        self.limit = limit
+        self.limit, self.old = limit, {}
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
+        if len(self) >= self.limit // 2:
+            self.old = dict(self)
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = self.old.get(word) or xxhash.xxh3_64_intdigest(word)
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

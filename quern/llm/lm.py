@@ -14,7 +14,7 @@ from quern.llm.language import fold
 
 #: Counts are held as levels: up to the first number a level for each count, beyond it levels that grow by the second.
 SCALES = {1: (16, 1.06), 2: (4, 1.25), 3: (16, 1.06)}
-BITS_PER_ITEM, PROBES = 12, 4
+BITS_PER_ITEM, PROBES = 14, 5
 #: The filter that is broadcast has at most this many bytes. Where all n-grams need more, those of the lowest levels of
 #: the order that takes more are left out of it, level by level.
 MOST_FILTER_BYTES = 48_000_000
@@ -25,7 +25,7 @@ DISCOUNT = 0.75
 #: Share of the unigram distribution after any word, at least.
 LEAST_UNIGRAM = 0.02
 #: Words after which a task sorts and hands on its counts.
-FLUSH_WORDS = 2_000_000
+FLUSH_WORDS = 1_500_000
 
 END = np.uint64(0x5A17E4D30F6B92C1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -99,10 +99,16 @@ def levels(counts: np.ndarray, gram: int) -> np.ndarray:
     return np.where(counts <= linear, counts, beyond)
 
 
+def least_at(level: int, gram: int) -> int:
+    """The least count of a level."""
+    linear, base = SCALES[gram]
+    return level if level <= linear else int(np.ceil(linear * base ** (level - linear) - 1e-6))
+
+
 def count_at(level: np.ndarray, gram: int) -> np.ndarray:
-    """The least count of a level; 0 for level 0."""
+    """The count that a level stands for, its middle, so that sums of counts aren't biased; 0 for level 0."""
     linear, base = SCALES[gram]
-    return np.where(level <= linear, level, np.ceil(linear * base ** (np.maximum(level, linear) - float(linear)) - 1e-6))
+    return np.where(level <= linear, level, linear * base ** (np.maximum(level, linear) - float(linear)) * (1 + base) / 2)
 
 
 def _merge(table: pa.Table) -> pa.Table:
@@ -159,11 +165,14 @@ def count(docs: DataFrame, text_col: str) -> tuple[DataFrame, int]:
     return words.unionByName(written(seen.groupBy("gram", "bucket").applyInArrow(_merge, merged), "contexts")), bits
 
 
-def _positions(hashes: np.ndarray, level: np.ndarray | int, sizes: np.ndarray | int) -> list[np.ndarray]:
-    x = mix(hashes + _STEP * np.asarray(level, np.uint64))
-    y = (x >> np.uint64(32)) | np.uint64(1)
-    size = np.asarray(sizes, np.uint64)
-    return [(x + y * np.uint64(i)) % size for i in range(PROBES)]
+def _keys(hashes: np.ndarray, level: int) -> np.ndarray:
+    return mix(hashes + np.uint64(int(_STEP) * int(level) % 2**64))
+
+
+def _position(keys: np.ndarray, probe: int, sizes: np.ndarray) -> np.ndarray:
+    """Where a key's bit is: the upper half of keys + probe * odd step, scaled to the segment's size."""
+    x = keys + ((keys * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)) * np.uint64(probe)
+    return ((x >> np.uint64(32)) * sizes) >> np.uint64(32)
 
 
 def _segment(least: dict[int, int]):
@@ -182,8 +191,9 @@ def _segment(least: dict[int, int]):
                     hashes, level = hashes[keep], level[keep]
                     if not len(hashes):
                         break
-                    for at in _positions(hashes, q, size):
-                        bits[at.astype(np.int64)] = True
+                    keys = _keys(hashes, q)
+                    for i in range(PROBES):
+                        bits[_position(keys, i, np.uint64(size)).astype(np.int64)] = True
                     q += 1
                 yield pa.RecordBatch.from_pydict({"gram": pa.array([order], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
@@ -196,6 +206,7 @@ class Model:
     def __init__(self, bits: int, least: dict[int, int], segments: dict[tuple[int, int], bytes], exact: tuple[np.ndarray, np.ndarray], total: int, distinct: int):
         self.bits, self.least, self.total, self.distinct = bits, least, total, distinct
         self.exact_hashes, self.exact_counts = exact
+        self.memo: np.ndarray | None = None
         self.filter, self.offset, self.size = {}, {}, {}
         for order in SCALES:
             parts = [np.frombuffer(segments.get((order, b), bytes(8)), np.uint8) for b in range(1 << bits)]
@@ -207,18 +218,35 @@ class Model:
         """Counts by repeated membership probes: level after level until the filter says no."""
         bucket = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         level, live, q = np.zeros(len(hashes), np.int64), np.arange(len(hashes)), self.least[order]
-        bits = self.filter[order]
+        bits, sizes, offsets = self.filter[order], self.size[order][bucket], self.offset[order][bucket]
         while len(live):
-            b = bucket[live]
-            yes = np.ones(len(live), bool)
-            for at in _positions(hashes[live], q, self.size[order][b]):
-                at = at + self.offset[order][b]
-                yes &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-            live = live[yes]
+            keys = _keys(hashes[live], q)
+            for i in range(PROBES):  # a key that one probe refutes isn't probed again
+                at = _position(keys, i, sizes[live]) + offsets[live]
+                yes = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                keys, live = keys[yes], live[yes]
             level[live] = q
             q += 1
         return count_at(level, order)
 
+    def word_counts(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of words and of what follows them, by probes; those of common words are probed once in a process."""
+        if self.memo is None:
+            self.memo = np.full((2, len(self.exact_hashes) + 1), -1.0)
+        at = np.full(len(words), len(self.exact_hashes))
+        if len(self.exact_hashes):
+            found = np.minimum(np.searchsorted(self.exact_hashes, words), len(self.exact_hashes) - 1)
+            at = np.where(self.exact_hashes[found] == words, found, at)
+        common = at < len(self.exact_hashes)
+        out = np.where(common, self.memo[:, at], -1.0)
+        new = np.flatnonzero(out[0] < 0)
+        if len(new):
+            out[0, new] = self.counts(words[new], UNIGRAM)
+            out[1, new] = self.counts(mix(context_of(words[new])), SEEN)
+            kept = new[common[new]]
+            self.memo[:, at[kept]] = out[:, kept]
+        return out[0], out[1]
+
     def exact(self, hashes: np.ndarray) -> np.ndarray:
         """Exact counts of common words; -1 for other words."""
         if not len(self.exact_hashes):
@@ -227,6 +255,15 @@ class Model:
         return np.where(self.exact_hashes[at] == hashes, self.exact_counts[at], -1)
 
 
+def probability(context: np.ndarray, seen: np.ndarray, both: np.ndarray, word: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """P(v | u) of c(u), s(u), c(u v), c(v) and p(v). A pair can't be commoner than its words or than all pairs of its
+    context, which refutes most of the filter's false answers."""
+    both = np.where((seen > 0) & (word > 1), np.minimum(both, np.minimum(word, seen + DISCOUNT)), 0)
+    context = np.maximum(context, seen)
+    rest = np.where(context > 0, np.maximum(LEAST_UNIGRAM, 1 - seen / np.maximum(context, 1)), 1.0)
+    return (1 - LEAST_UNIGRAM) * np.maximum(both - DISCOUNT, 0) / np.maximum(context, 1) + rest * single
+
+
 def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame, int]:
     """The model, the table of all counts, and the count below which a word's exact count isn't in the model."""
     table, bits = count(docs, text_col)
@@ -247,7 +284,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame, int]
     while level > 1 and room >= at[UNIGRAM].get(level, 0):
         room -= at[UNIGRAM].get(level, 0)
         level -= 1
-    cut = int(count_at(np.array([level + 1 if room < at[UNIGRAM].get(level, 0) else level]), UNIGRAM)[0]) if at[UNIGRAM] else 1
+    cut = least_at(level + 1 if room < at[UNIGRAM].get(level, 0) else level, UNIGRAM) if at[UNIGRAM] else 1
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,7 +300,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame, int]
     return Model(bits, least, segments, (hashes[by], counts[by]), int(sums[0]), int(sums[1])), table, cut
 
 
-def _slices(raws: list[bytes], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def _slices(raws: list[bytes], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     start = held = 0
     for i, raw in enumerate(raws):
         held += len(raw)
@@ -294,7 +331,7 @@ def _scored(held):
                 known = model.exact(words)
                 # log10((c + 1) / (N + V + 1)) of the common words
                 base = np.where(known >= 0, np.log10(np.maximum(known, 0) + 1.0) - room, 0.0)[at]
-                ones = model.counts(words, UNIGRAM)
+                ones, after = model.word_counts(words)
                 single = (ones + 1) / (model.total + model.distinct + 1.0)
                 # the word before is the one at the place before; the start is the end's hash
                 end = np.searchsorted(words, END)
@@ -303,10 +340,7 @@ def _scored(held):
                 pairs, pair_at = np.unique(bigrams(before, all_), return_inverse=True)
                 both = model.counts(pairs, BIGRAM)[pair_at]
                 context = ones[before_at]
-                seen = model.counts(mix(context_of(words)), SEEN)[before_at]
-                context = np.maximum(context, np.maximum(seen, both))
-                rest = np.where(context > 0, np.maximum(LEAST_UNIGRAM, 1 - seen / np.maximum(context, 1)), 1.0)
-                p = (1 - LEAST_UNIGRAM) * np.maximum(both - DISCOUNT, 0) / np.maximum(context, 1) + rest * single[at]
+                p = probability(context, after[before_at], both, ones[at], single[at])
                 sums = lambda v: np.add.reduceat(v, starts)
                 common = known[at] >= 0
                 rare, times = [], []
