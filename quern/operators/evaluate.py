@@ -52,7 +52,7 @@ def stratified(rows: DataFrame, total: int, by: str, order: str) -> DataFrame:
     """The first rows of each group, as many as its quota."""
     q = quotas(rows.groupBy(by).agg(F.count("*").alias("n")), total, by)
     placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(order)))
-    return placed.join(F.broadcast(q), by).filter(F.col("place") <= F.col("quota"))
+    return placed.join(q, by).filter(F.col("place") <= F.col("quota"))
 
 
 def backends(predictions: DataFrame, expected: str) -> DataFrame:

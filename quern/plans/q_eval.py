@@ -52,7 +52,7 @@ def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, _, _ = _lists(spark, sf_dir)
     d = documents(spark, sf_dir).select("id", "content")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    j = a.join(d, "id").join(F.broadcast(b), "query_id")
+    j = a.join(d, "id").join(b, "query_id")
     return j.groupBy("query_id").agg(F.coalesce(F.min(F.when(F.contains("content", "text"), F.col("rank"))), F.lit(0)).alias("rank"))
 
 
@@ -83,7 +83,7 @@ def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a9(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.sum("n_chars").cast("double").alias("s"))
     m = s.groupBy("lang").agg(F.max("s").alias("m")).filter("m > 0")
-    return s.join(F.broadcast(m), "lang").select("lang", "source", R.rounded(F.col("s") / F.col("m")).alias("score"))
+    return s.join(m, "lang").select("lang", "source", R.rounded(F.col("s") / F.col("m")).alias("score"))
 
 
 # ---------------------------------------------------------------- chunking

@@ -104,7 +104,7 @@ v AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs, items, e = _visible(spark, sf_dir), table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
-    asked = e.join(F.broadcast(items.select(F.col("item_id").alias("vec_id"))), "vec_id", "left_semi")
+    asked = e.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
     return _bm25(docs, "content", items, 12), _bm25(docs, "title", items, 12), R.vector_topk_batch(e, asked)
 
 
@@ -154,7 +154,7 @@ def _filled(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
     """Hits with the query's and the document's text."""
     d = documents(spark, sf_dir).select("id", "content", "title", "source")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
-    return hits.join(F.broadcast(b), "query_id").join(d, "id")
+    return hits.join(b, "query_id").join(d, "id")
 
 
 @query("r8_heuristic_rerank", f"WITH {LISTS}, {_rrf_sql(['v', 'a'], 15)}, {_rerank_sql('f', 'r')} SELECT query_id, id, score, rank FROM r")
@@ -412,7 +412,7 @@ def r10(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("content")
     s = R.bm25_scores(R.postings(docs, "id", c), R.corpus_stats(docs, c), table(spark, sf_dir, "benchmark"), "text", "item_id")
     top = s.groupBy("query_id").agg(F.max("score").alias("top")).filter("top > 0")
-    return s.join(F.broadcast(top), "query_id").select("query_id", "id", R.rounded(F.col("score") / F.col("top")).alias("score"))
+    return s.join(top, "query_id").select("query_id", "id", R.rounded(F.col("score") / F.col("top")).alias("score"))
 
 
 @query(
@@ -427,7 +427,7 @@ def r15(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, _, v = _lists(spark, sf_dir)
     top = a.groupBy("query_id").agg(F.max("score").alias("top")).filter("top > 0")
     zero = F.lit(0.0)
-    both = v.select("query_id", "id", F.col("score").alias("vs"), zero.alias("bs")).unionByName(a.join(F.broadcast(top), "query_id").select("query_id", "id", zero.alias("vs"), (F.col("score") / F.col("top")).alias("bs")))
+    both = v.select("query_id", "id", F.col("score").alias("vs"), zero.alias("bs")).unionByName(a.join(top, "query_id").select("query_id", "id", zero.alias("vs"), (F.col("score") / F.col("top")).alias("bs")))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "de", 0.8).otherwise(0.0).alias("ms"))
     s = both.groupBy("query_id", "id").agg(F.max("vs").alias("vs"), F.max("bs").alias("bs")).join(d, "id")
     s = s.select("query_id", "id", R.rounded(hybrid_score(F.col("vs"), F.col("bs"), F.col("ms"))).alias("score")).filter("score > 0.05")
@@ -461,7 +461,7 @@ def r12(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("qt"))
     d = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     terms = q.select("item_id", F.size("qt").alias("n"), F.explode("qt").alias("term"))
-    return d.join(F.broadcast(terms), "term").groupBy("item_id", "conv_id", "turn", "n").agg(F.count("*").alias("m")).select("item_id", "conv_id", "turn", R.rounded(F.least(F.lit(1.0), F.col("m") / F.col("n"))).alias("coverage"))
+    return d.join(terms, "term").groupBy("item_id", "conv_id", "turn", "n").agg(F.count("*").alias("m")).select("item_id", "conv_id", "turn", R.rounded(F.least(F.lit(1.0), F.col("m") / F.col("n"))).alias("coverage"))
 
 
 @query("r11_tokens", f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_tok('text')}) AS term FROM documents) GROUP BY ALL")
