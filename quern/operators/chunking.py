@@ -225,6 +225,40 @@ def split_markdown(text: str, most: int = 1200) -> Iterator[tuple[str, str, str,
                 yield title, section, part, piece, meta
 
 
+def knowledge_chunks(files: DataFrame, most: int = 1200, source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The chunks of Markdown files with what retrieval asks of them: category, topic, project, keywords, ids and dates.
+
+    In a trend file, sections other than the snapshot itself take the analysis dates where the file gives them.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for source, text in zip(pdf["source"], pdf["text"], strict=True):
+                last, part = None, 0
+                for n, (title, section, sub, piece, meta) in enumerate(split_markdown(text or "", most)):
+                    part = part + 1 if (section, sub) == last else 0
+                    last = (section, sub)
+                    out.append((source, n, part, title, section, sub, piece, meta))
+            yield pd.DataFrame(out, columns=["source", "chunk_index", "chunk_part", "title", "section", "subsection", "content", "front_matter"])
+
+    fields = "source string, chunk_index int, chunk_part int, title string, section string, subsection string, content string, front_matter map<string,string>"
+    rows = files.select(F.col(source_col).alias("source"), F.col(text_col).alias("text")).mapInPandas(run, fields)
+    lead = lambda k: F.col("front_matter").getItem(k)
+    trend = F.coalesce(lead("document_type") == "github_trend", F.lit(False))
+    analysis = trend & ~F.contains("section", F.lit("自动快照"))
+    topic = F.when(F.trim("subsection") == "", F.col("section")).otherwise(F.col("subsection"))
+    rows = rows.withColumn("category", F.when(trend, "trends").otherwise(category(F.col("section")))).withColumn("topic", topic)
+    return rows.select(
+        "*",
+        F.when(F.col("category") == "projects", F.col("subsection")).otherwise("").alias("project"),
+        F.concat_ws(",", "category", "section", "topic").alias("keywords"),
+        F.concat("source", F.lit(":"), "chunk_index").alias("chunk_id"),
+        F.when(analysis, F.coalesce(lead("analysis_date"), lead("snapshot_date"))).otherwise(lead("snapshot_date")).alias("snapshot_date"),
+        F.when(analysis, F.coalesce(lead("analysis_expires_at"), lead("expires_at"))).otherwise(lead("expires_at")).alias("expires_at"),
+    )
+
+
 # ---------------------------------------------------------------- relational forms
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import blank_to, trim
 
+MOST_IN_BATCH = 1000
 KEY = ["corpus_id", "source", "external_id"]
 NEW, CHANGED, PIPELINE, SAME = "INDEXED_NEW", "REINDEXED_CHANGED", "REINDEXED_PIPELINE_CHANGED", "SKIPPED_UNCHANGED"
 
@@ -70,3 +71,20 @@ def pending(docs: DataFrame, done: DataFrame) -> DataFrame:
     """Documents that no DONE row of the checkpoint has with the same hash."""
     finished = done.filter("status = 'DONE'").select("source", "external_id", "content_hash")
     return docs.join(finished, ["source", "external_id", "content_hash"], "left_anti")
+
+
+def batch(rows: DataFrame, most: int = MOST_IN_BATCH) -> DataFrame:
+    """A validated batch; an empty one, one of more than `most` rows, or one with an invalid row is refused whole."""
+    out = validated(rows)
+    n, wrong = out.agg(F.count("*"), F.min("error")).first()
+    if not 0 < n <= most or wrong is not None:
+        raise ValueError(wrong or f"a batch has 1 to {most} documents, not {n}")
+    return out.drop("error")
+
+
+def pipeline_fingerprint(config: dict) -> str:
+    """SHA-256 of the configuration as JSON with sorted keys: a checkpoint made under another one isn't resumed."""
+    import hashlib
+    import json
+
+    return hashlib.sha256(json.dumps(config, sort_keys=True, ensure_ascii=False).encode()).hexdigest()

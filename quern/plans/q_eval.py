@@ -161,3 +161,34 @@ def c16(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j1(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
     return C.fixed_windows(d, 1200, "id", "content").join(d.select("id", "department"), "id").groupBy("department").agg(F.count("*").alias("chunks"))
+
+
+_KNOWLEDGE = [
+    ("a.md", "# Me\n## 教育背景\nschool\n## 项目\n### Thing\nbuilt it\n"),
+    ("t.md", "---\ndocument_type: github_trend\nsnapshot_date: 2030-01-01\nexpires_at: 2030-01-15\nanalysis_date: 2029-12-01\n---\n## 自动快照\nrows\n## 分析\nwords\n"),
+]
+
+
+@query(
+    "c10_knowledge_metadata",
+    """SELECT * FROM (VALUES ('a.md:0', 'education', '教育背景', '', 'education,教育背景,教育背景', NULL, NULL), ('a.md:1', 'projects', 'Thing', 'Thing', 'projects,项目,Thing', NULL, NULL),
+ ('t.md:0', 'trends', '自动快照', '', 'trends,自动快照,自动快照', '2030-01-01', '2030-01-15'), ('t.md:1', 'trends', '分析', '', 'trends,分析,分析', '2029-12-01', '2030-01-15')) t(chunk_id, category, topic, project, keywords, snapshot_date, expires_at)""",
+)
+def c10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = C.knowledge_chunks(spark.createDataFrame(_KNOWLEDGE, "source string, text string"))
+    return out.select("chunk_id", "category", "topic", "project", "keywords", "snapshot_date", "expires_at")
+
+
+@query("h6_pipeline_fingerprint", """SELECT sha256('{"chunk": 700, "model": "hash", "overlap": 80}') AS fingerprint""")
+def h6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.operators.ingest import pipeline_fingerprint
+
+    return spark.range(1).select(F.lit(pipeline_fingerprint({"model": "hash", "overlap": 80, "chunk": 700})).alias("fingerprint"))
+
+
+@query("j12_outside_ids", f"WITH {LISTS} SELECT query_id, id FROM a WHERE id % 2 = 0")
+def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids named from outside, looked up among the hits; what wasn't a hit is dropped."""
+    a, _, _ = _lists(spark, sf_dir)
+    named = a.filter("id % 2 = 0").select("query_id", "id").unionByName(a.select("query_id", F.lit(-5).cast("long").alias("id")))
+    return a.select("query_id", "id").join(named, ["query_id", "id"], "left_semi")

@@ -20,6 +20,15 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.substring_index(F.col("path"), f"/{root}/", -1).alias("path"), "content")
 
 
+def markdown_files(spark: SparkSession, path: str) -> DataFrame:
+    """source (file name) and text of a folder's Markdown files; a folder without any is an error."""
+    files = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.md").load(path)
+    out = files.select(F.substring_index("_metadata.file_path", "/", -1).alias("source"), F.col("value").alias("text")).orderBy("source")
+    if out.isEmpty():
+        raise ValueError(f"no Markdown files in {path}")
+    return out
+
+
 def check_archive(name: str) -> None:
     """Refuse files that a download hasn't finished."""
     if name.endswith(".partial") or ".range" in name.rpartition("/")[2]:

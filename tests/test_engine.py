@@ -101,6 +101,27 @@ def test_change_detection(spark):
     assert ingest.detect_changes(new, merged).filter(F.col("status") != ingest.SAME).count() == 0
 
 
+def test_batches_are_refused_whole(spark):
+    rows = spark.createDataFrame([("a", "s", "t", "x", "c", None, None, None)] * 3, "external_id string, source string, source_type string, title string, content string, tenant_id string, department string, access_level string")
+    assert ingest.batch(rows).count() == 3
+    for wrong in (rows.limit(0), rows.unionByName(rows.limit(1).withColumn("source", F.lit(" ")))):
+        with pytest.raises(ValueError):
+            ingest.batch(wrong)
+    with pytest.raises(ValueError):
+        ingest.batch(rows, 2)
+
+
+def test_markdown_folder(spark, tmp_path):
+    from quern.sources.archives import markdown_files
+
+    with pytest.raises(ValueError):
+        (tmp_path / "e").mkdir()
+        (tmp_path / "e" / "x.txt").write_text("x")
+        markdown_files(spark, str(tmp_path / "e"))
+    (tmp_path / "e" / "b.md").write_text("# b")
+    assert [(r.source, r.text) for r in markdown_files(spark, str(tmp_path / "e")).collect()] == [("b.md", "# b")]
+
+
 def test_activation_keeps_one_active(spark):
     c = relation.corpora(spark)
     for moved in (corpus.activate(c, "corpus-b", 9), corpus.rollback(c, "corpus-c", 9)):
