@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import NULL_ID, WordHashes, back, byte_column, ids, mix, shingle_set, words_of, written
@@ -15,11 +15,14 @@ from quern.llm.common import NULL_ID, WordHashes, back, byte_column, ids, mix, s
 WIDTH = 5
 #: A pair of similarity 0.85 shares none of 26 bands of 5 hashes with probability 3e-7.
 BANDS, ROWS = 26, 5
-SKETCH_BITS = 256
-#: Six deviations above the 34 bits that a pair of similarity 0.85 differs in; that is where similarity is about 0.55.
-MOST_BITS = 76
-BLOCK = 1024
-NEAREST = 3
+#: One-permutation MinHash samples that the Odd sketch holds, one for each bin of the shingle hashes that isn't empty.
+BINS = 1024
+SKETCH_BITS = 1024
+WORDS = SKETCH_BITS // 64
+#: Deviations that a link's sketch may lie from what its similarity lets expect.
+DEVIATIONS = 5.0
+#: Documents on either side of a block task.
+BLOCK = 256
 
 
 def _constants(n: int, seed: int) -> np.ndarray:
@@ -29,7 +32,6 @@ def _constants(n: int, seed: int) -> np.ndarray:
 _ODD = _constants(BANDS * ROWS, 1) | np.uint64(1)
 _ADD = _constants(BANDS * ROWS, 2)
 _BAND = _constants(BANDS, 3)
-_SALT = _constants(BANDS * ROWS, 4)
 
 
 def min_hashes(shingles: np.ndarray) -> np.ndarray:
@@ -41,16 +43,31 @@ def min_hashes(shingles: np.ndarray) -> np.ndarray:
     return low
 
 
-def odd_sketch(low: np.ndarray) -> np.ndarray:
-    """Parity bitmap of the MinHash samples, as four 64-bit words."""
-    at = mix(low ^ _SALT) % np.uint64(SKETCH_BITS)
+def odd_sketch(shingles: np.ndarray) -> tuple[np.ndarray, int]:
+    """Parity bitmap of the set's MinHash samples, and their number. The least hash of each bin of a sorted set is a sample."""
+    bins = shingles >> np.uint64(64 - (BINS - 1).bit_length())
+    samples = shingles[np.concatenate([[True], bins[1:] != bins[:-1]])]
+    at = mix(samples + np.uint64(0x51ED270B)) % np.uint64(SKETCH_BITS)
     parity = (np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(parity).view(np.uint64)
+    return np.packbits(parity).view(np.uint64), len(samples)
 
 
-def sketch_similarity(bits: float, samples: int = BANDS * ROWS, size: int = SKETCH_BITS) -> float:
-    """The similarity estimated from the number of bits in which two sketches differ."""
-    return float("-inf") if 2 * bits >= size else 1 + size / (4 * samples) * float(np.log(1 - 2 * bits / size))
+def sketch_difference(bits: float) -> float:
+    """The number of samples in which two sets differ, from the number of bits in which their sketches do."""
+    rest = 1 - 2 * bits / SKETCH_BITS
+    return float("inf") if rest <= 0 else -SKETCH_BITS / 2 * float(np.log(rest))
+
+
+def most_bits(samples: Column, percent: int) -> Column:
+    """The bits in which the sketches of a link can plausibly differ; samples is the larger number of them.
+
+    In a bin that isn't empty on both sides the samples agree with the similarity's probability; each that doesn't
+    changes two samples at most.
+    """
+    miss = 1 - percent / 100
+    bins = F.least(samples * (2 - percent / 100) + 10, F.lit(float(BINS)))
+    differing = 2 * (bins * miss + DEVIATIONS * F.sqrt(bins * miss * (1 - miss)))
+    return SKETCH_BITS / 2 * (1 - F.exp(differing * (-2 / SKETCH_BITS))) + 3 * DEVIATIONS
 
 
 def band_keys(low: np.ndarray) -> np.ndarray:
@@ -60,8 +77,9 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return keys
 
 
-_SIGNED = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), *((f"s{i}", pa.int64()) for i in range(4))])
-SIGNED = "id long, digest binary, n long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
+_SIGNED = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("m", pa.int64()), *((f"s{i}", pa.int64()) for i in range(WORDS))])
+SKETCH = [f"s{i}" for i in range(WORDS)]
+SIGNED = "id long, digest binary, n long, bands array<long>, m long, " + ", ".join(f"{c} long" for c in SKETCH)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,10 +93,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if row is None:
                 shingles = shingle_set(hashes.of(words), WIDTH)
                 if len(shingles):
-                    low = min_hashes(shingles)
-                    row = (digest, len(shingles), band_keys(low).view(np.int64), *odd_sketch(low).view(np.int64).tolist())
+                    sketch, samples = odd_sketch(shingles)
+                    row = (digest, len(shingles), band_keys(min_hashes(shingles)).view(np.int64), samples, *sketch.view(np.int64).tolist())
                 else:
-                    row = (None, 0, None, None, None, None, None)
+                    row = (None, 0, None, 0, *[None] * WORDS)
                 if len(known) >= 4096:
                     known.clear()
                 known[digest] = row
@@ -87,59 +105,100 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _SIGNED.types, strict=True)], schema=_SIGNED)
 
 
-def _verify(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sets = WordHashes(), {}
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * |x & y| >= percent * |x | y| for sorted distinct hashes."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(x) + len(y) - len(np.union1d(x, y))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+class _Sets:
+    """Shingle sets by document, computed once while they fit."""
+
+    def __init__(self, most: int = 4_000_000):
+        self.hashes, self.sets, self.most, self.held = WordHashes(), {}, most, 0
+
+    def of(self, id_: int, raw: bytes) -> np.ndarray:
+        got = self.sets.get(id_)
+        if got is None:
+            got = shingle_set(self.hashes.of(words_of(raw)), WIDTH)
+            if self.held + len(got) > self.most:
+                self.sets.clear()
+                self.held = 0
+            self.sets[id_] = got
+            self.held += len(got)
+        return got
 
-        def full(id_: int, raw: bytes) -> np.ndarray:
-            got = sets.get(id_)
-            if got is None:
-                if sum(map(len, sets.values())) > 4_000_000:
-                    sets.clear()
-                got = sets[id_] = shingle_set(hashes.of(words_of(raw)), WIDTH)
-            return got
 
+def _verify(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = _Sets()
         for batch in batches:
             found = []
             for a, b, ta, tb in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), byte_column(batch, "ta"), byte_column(batch, "tb"), strict=True):
-                x, y = full(a, ta), shingle_set(hashes.of(words_of(tb)), WIDTH)
-                if len(sets) > 256:
-                    sets.clear()
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                if 100 * both >= percent * (len(x) + len(y) - both):
+                if similar(sets.of(a, ta), shingle_set(sets.hashes.of(words_of(tb)), WIDTH), percent):
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _nearest(most: int, nearest: int):
-    """Candidates within a pair of blocks of one bucket: for each row its nearest partners of another group, or all."""
+def _candidates(table: pa.Table, percent: int) -> Iterator[np.ndarray]:
+    """(bits, left row, right row) of a block pair's candidates: rows of different groups whose sketches are near enough
+    and which share no earlier band than this bucket's."""
+    group, side, m = (table.column(c).to_numpy() for c in ("group", "side", "m"))
+    words = np.stack([table.column(c).to_numpy() for c in SKETCH], axis=1).view(np.uint64)
+    bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(len(group), -1)
+    bucket = table.column("bucket")[0].as_py()
+    left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+    miss = 1 - percent / 100
+    for i in range(0, len(left), 64):
+        at = left[i : i + 64]
+        bits = np.bitwise_count(words[at, None, :] ^ words[None, right, :]).sum(axis=2, dtype=np.int64)
+        bins = np.minimum(np.maximum(m[at, None], m[None, right]) * (1 + miss) + 10, BINS)
+        differing = 2 * (bins * miss + DEVIATIONS * np.sqrt(bins * miss * (1 - miss)))
+        most = SKETCH_BITS / 2 * (1 - np.exp(differing * (-2 / SKETCH_BITS))) + 3 * DEVIATIONS
+        row, col = np.nonzero((bits <= most) & (group[at, None] != group[None, right]))
+        a, b = at[row], right[col]
+        if side[a[0]] == 0 if len(a) else False:  # one block against itself: each pair once
+            keep = a < b
+            a, b, row, col = a[keep], b[keep], row[keep], col[keep]
+        shared = bands[a] == bands[b]
+        first = bands[a, shared.argmax(axis=1)] == bucket
+        yield np.stack([bits[row, col][first], a[first], b[first]], axis=1)
+
+
+def _wanted(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The rows of a block pair that have a candidate."""
+        rows = [np.unique(x[:, 1:]) for x in _candidates(table, percent)]
+        rows = np.unique(np.concatenate(rows)) if rows else np.empty(0, np.int64)
+        return table.select(["bucket", "i", "j", "node"]).take(pa.array(rows, pa.int64()))
+
+    return run
+
 
+def _joined(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        node, group = (table.column(c).to_numpy() for c in ("node", "group"))
-        side = table.column("side").to_numpy()
-        words = np.stack([table.column(f"s{i}").to_numpy() for i in range(4)], axis=1).view(np.uint64)
-        left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-        pairs = []
-        for i in range(0, len(left), 256):
-            at = left[i : i + 256]
-            bits = sum(np.bitwise_count(words[at, None, k] ^ words[None, right, k]).astype(np.int16) for k in range(4))
-            bits[group[at, None] == group[None, right]] = 999
-            if nearest and bits.shape[1] > nearest:
-                col = np.argpartition(bits, nearest - 1, axis=1)[:, :nearest]
-                row = np.repeat(np.arange(len(at)), nearest)
-                col = col.ravel()
-                ok = bits[row, col] <= most
-                row, col = row[ok], col[ok]
-            else:
-                row, col = np.nonzero(bits <= most)
-            pairs.append(np.stack([node[at][row], node[right][col]], axis=1))
-        got = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
-        got = np.unique(np.sort(got, axis=1), axis=0)
-        return pa.table({"a": got[:, 0], "b": got[:, 1]})
+        """The links that join groups in a block pair, nearest candidates first; pairs joined already need no look."""
+        node, group = table.column("node").to_pylist(), table.column("group").to_pylist()
+        texts, sets, top = byte_column(table.combine_chunks().to_batches()[0], "text"), _Sets(), {g: g for g in group}
+
+        def root(g: int) -> int:
+            while top[g] != g:
+                top[g] = top[top[g]]
+                g = top[g]
+            return g
+
+        pairs = np.concatenate([np.empty((0, 3), np.int64), *_candidates(table, percent)])
+        found = []
+        for _, a, b in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
+            x, y = root(group[a]), root(group[b])
+            if x != y and similar(sets.of(node[a], texts[a]), sets.of(node[b], texts[b]), percent):
+                top[max(x, y)] = min(x, y)
+                found.append((node[a], node[b]))
+        return pa.table({k: pa.array([p[i] for p in found], pa.int64()) for i, k in enumerate("ab")})
 
     return run
 
@@ -178,12 +237,11 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int, label: str) -> Dat
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Links are pairs with 100 * |A & B| >= percent * |A | B|.
 
-    Texts with the same words share one class, which one document stands for. Classes are banded by MinHash; a bucket's
-    candidates are its smallest document against each other one, and then, in buckets whose documents aren't yet one
-    component, each document's nearest sketches of another component, and at last all remaining pairs of different
-    components. Candidates whose Odd sketches differ in more bits than a link can plausibly have are left out; the others
-    are confirmed on their full shingle sets. No pairs are formed within a component, so a large group of copies costs
-    a few pairs per document.
+    Texts with the same words share one class, which one document stands for. Classes are banded by MinHash. First each
+    bucket's smallest document is held against the others, which joins most groups at a pair per document. In buckets
+    whose documents aren't one component then, all pairs of different components are gone through, in blocks and within
+    a task, so that pairs never become rows. Pairs whose Odd sketches differ in more bits than a link plausibly can are
+    left out; the others are confirmed on their full shingle sets.
 
     Null and empty texts, and those of white space, have no shingles and link with nothing, not even each other. Rows
     that repeat an id are one node. A null id counts as the smallest; component_id is null where it is the smallest.
@@ -193,42 +251,40 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = written(texts.mapInArrow(_sign, SIGNED), "signed")
     classes = signed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"))
     joined = signed.join(classes, "digest", "left")
-    members = written(joined.select("id", "n", F.coalesce("rep", "id").alias("rep"), F.when(F.col("rep") == F.col("id"), F.col("bands")).alias("bands"), "s0", "s1", "s2", "s3"), "members")
-    reps = members.filter("bands IS NOT NULL")
-    sketches = reps.select("id", "s0", "s1", "s2", "s3").dropDuplicates(["id"])
+    members = written(joined.select("id", "n", F.coalesce("rep", "id").alias("rep"), F.when(F.col("rep") == F.col("id"), F.col("bands")).alias("bands"), "m", *SKETCH), "members")
+    reps = members.filter("bands IS NOT NULL").dropDuplicates(["id"])
+    sketches = written(reps.select("id", "m", "bands", *SKETCH), "sketches")
 
-    banded = reps.select(F.col("id").alias("node"), F.explode("bands").alias("bucket")).distinct()
+    banded = reps.select(F.col("id").alias("node"), F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
     buckets = written(banded.join(shared, "bucket"), "buckets")
 
-    def sketched(pairs: DataFrame) -> DataFrame:
-        left = sketches.select(F.col("id").alias("a"), *(F.col(f"s{i}").alias(f"x{i}") for i in range(4)))
-        right = sketches.select(F.col("id").alias("b"), *(F.col(f"s{i}").alias(f"y{i}") for i in range(4)))
-        bits = sum(F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(4))
-        return pairs.join(right, "b").join(left, "a").filter(bits <= MOST_BITS).select("a", "b")
-
-    tested = written(sketched(buckets.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()), "pairs")
-    links = _linked(tested, texts, percent, "links")
+    pairs = buckets.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    left = sketches.select(F.col("id").alias("a"), F.col("m").alias("ma"), *(F.col(c).alias(f"a{c}") for c in SKETCH))
+    right = sketches.select(F.col("id").alias("b"), F.col("m").alias("mb"), *(F.col(c).alias(f"b{c}") for c in SKETCH))
+    bits = sum(F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in SKETCH)
+    near = pairs.join(right, "b").join(left, "a").filter(bits <= most_bits(F.greatest("ma", "mb"), percent)).select("a", "b")
+    near = written(near, "pairs")
+    need = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
+    some = texts.join(need.hint("merge"), "id", "left_semi")  # the same plan at every size: texts cross one shuffle
+    rows = near.hint("merge").join(some.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").hint("merge").join(some.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    links = written(rows.select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long"), "links")
     groups = components(links)
 
-    for nearest in (NEAREST, 0):
-        placed = buckets.filter("size > 2").join(groups.select("node", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
-        mixed = placed.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low != high").select("bucket")
-        left = written(placed.join(mixed, "bucket").select("bucket", "node", "group", "size"), "open")
-        if left.isEmpty():
-            break
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        rows = left.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "group", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
-        rows = rows.join(sketches.withColumnRenamed("id", "node"), "node")
-        found = rows.groupBy("bucket", "i", "j").applyInArrow(_nearest(MOST_BITS, nearest), "a long, b long").distinct()
-        fresh = written(found.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            continue
-        tested = tested.unionByName(fresh)
-        links = links.unionByName(_linked(fresh, texts, percent, "links"))
-        groups = components(links)
+    placed = buckets.filter("size > 2").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    mixed = placed.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low != high").select("bucket")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = placed.join(mixed, "bucket").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "group", side.alias("side"))
+    dealt = written(dealt.join(sketches.withColumnRenamed("id", "node"), "node"), "open")
+    wanted = written(dealt.groupBy("bucket", "i", "j").applyInArrow(_wanted(percent), "bucket long, i int, j int, node long"), "wanted")
+    if not wanted.isEmpty():
+        some = texts.withColumnRenamed("id", "node").join(wanted.select("node").distinct().hint("merge"), "node", "left_semi")
+        rows = dealt.join(wanted, ["bucket", "i", "j", "node"], "left_semi").hint("merge").join(some, "node")
+        more = rows.groupBy("bucket", "i", "j").applyInArrow(_joined(percent), "a long, b long")
+        groups = components(links.unionByName(written(more, "links")))
 
     out = members.join(groups.select(F.col("node").alias("rep"), "group"), "rep", "left")
     return out.select(back("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("group", "rep").alias("c"), "id").select(
@@ -240,3 +296,16 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The documents that stand for their group, columns as they were."""
     kept = near_dedup(docs, id_col, text_col).filter("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id")).distinct()
     return docs.withColumn("__id", ids(id_col)).join(kept, "__id", "left_semi").drop("__id")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+u AS (SELECT doc_id, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+e AS (SELECT a AS f, b AS t FROM l UNION SELECT b, a FROM l),
+r(doc_id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.t FROM r JOIN e ON e.f = r.node)
+SELECT n.doc_id, n.n AS n_shingles, min(r.node) AS component_id, n.doc_id = min(r.node) AS kept FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n
+"""

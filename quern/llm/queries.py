@@ -75,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_near_dedup": near.ORACLE_SQL,
         "op5_exact_dedup": exact.ORACLE_SQL,
         "op8_url_filter": urls.ORACLE_SQL,
         "op9_warc": warc.ORACLE_SQL,
