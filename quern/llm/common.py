@@ -9,6 +9,7 @@ import re
 import struct
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,13 @@ def byte_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in col.to_pylist()]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that few texts are Python objects at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def words_of(raw: bytes) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased: what bytes.lower and bytes.split do."""
     return raw.lower().split()
@@ -102,7 +110,7 @@ def words_of(raw: bytes) -> list[bytes]:
 class WordHashes(dict):
     """word -> 64-bit hash; of `limit` words those used since the last turnover stay, so that memory is bounded."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit, self.old = limit, {}
 

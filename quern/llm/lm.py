@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import WordHashes, back, byte_column, ids, mix, words_of, written
+from quern.llm.common import WordHashes, back, byte_column, ids, mix, sliced, words_of, written
 from quern.llm.language import fold
 
 #: Counts are held as levels: up to the first number a level for each count, beyond it levels that grow by the second.
@@ -25,7 +25,7 @@ DISCOUNT = 0.75
 #: Share of the unigram distribution after any word, at least.
 LEAST_UNIGRAM = 0.02
 #: Words after which a task sorts and hands on its counts.
-FLUSH_WORDS = 1_500_000
+FLUSH_WORDS = 1_000_000
 
 END = np.uint64(0x5A17E4D30F6B92C1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -75,7 +75,7 @@ def _counted(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, ones, twos, held = _Tokens(), [], [], 0
-        for batch in batches:
+        for batch in sliced(batches):
             for raw in byte_column(batch, "text"):
                 t = tokens.of(raw)
                 ones.append(t)
@@ -232,7 +232,7 @@ class Model:
     def word_counts(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of words and of what follows them, by probes; those of common words are probed once in a process."""
         if self.memo is None:
-            self.memo = np.full((2, len(self.exact_hashes) + 1), -1.0)
+            self.memo = np.full((2, len(self.exact_hashes) + 1), -1, np.float32)
         at = np.full(len(words), len(self.exact_hashes))
         if len(self.exact_hashes):
             found = np.minimum(np.searchsorted(self.exact_hashes, words), len(self.exact_hashes) - 1)
@@ -300,7 +300,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame, int]
     return Model(bits, least, segments, (hashes[by], counts[by]), int(sums[0]), int(sums[1])), table, cut
 
 
-def _slices(raws: list[bytes], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def _slices(raws: list[bytes], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     start = held = 0
     for i, raw in enumerate(raws):
         held += len(raw)
@@ -318,7 +318,7 @@ def _scored(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, tokens = held.value, _Tokens()
         room = np.log10(model.total + model.distinct + 1.0)
-        for batch in batches:
+        for batch in sliced(batches):
             raws = byte_column(batch, "text")
             for x, y in _slices(raws):
                 parts = [tokens.of(raw) for raw in raws[x:y]]

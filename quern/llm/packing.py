@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import back, encoder_of, ids, text_column
+from quern.llm.common import back, encoder_of, ids, sliced, text_column
 
 WINDOW = 4096
 #: Open windows of a task at most; beyond that the fullest is closed by cutting pieces of the emptiest into it.
@@ -162,7 +162,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_i
             out.clear()
             return got
 
-        for batch in batches:
+        for batch in sliced(batches):
             for id_, text in zip(batch.column("id").to_pylist(), text_column(batch, "text"), strict=True):
                 tokens = encoder.ids_of(text) + end
                 for held in packer.place(Piece(id_, 0, tokens, len(tokens) // 4)):
