@@ -10,11 +10,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import NULL_ID, WordHashes, back, byte_column, ids, mix, shingle_set, words_of, written
+from quern.llm.common import NULL_ID, WordHashes, back, byte_column, ids, mix, shingle_set, sliced, words_of, written
 
 WIDTH = 5
-#: A pair of similarity 0.85 shares none of 26 bands of 5 hashes with probability 3e-7.
-BANDS, ROWS = 26, 5
+#: A pair of similarity 0.85 shares none of 32 bands of 5 hashes with probability 7e-9, one of 0.8 with 3e-6.
+BANDS, ROWS = 32, 5
 #: One-permutation MinHash samples that the Odd sketch holds, one for each bin of the shingle hashes that isn't empty.
 BINS = 1024
 SKETCH_BITS = 1024
@@ -84,7 +84,7 @@ SIGNED = "id long, digest binary, n long, bands array<long>, m long, " + ", ".jo
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, known = WordHashes(), {}
-    for batch in batches:
+    for batch in sliced(batches):
         out: list[list] = [[] for _ in _SIGNED]
         for id_, raw in zip(batch.column("id").to_pylist(), byte_column(batch, "text"), strict=True):
             words = words_of(raw)
@@ -292,9 +292,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """The documents that stand for their group, columns as they were."""
-    kept = near_dedup(docs, id_col, text_col).filter("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id")).distinct()
+    kept = near_dedup(docs, id_col, text_col, percent).filter("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id")).distinct()
     return docs.withColumn("__id", ids(id_col)).join(kept, "__id", "left_semi").drop("__id")
 
 
