@@ -31,7 +31,9 @@ def letters(text: str) -> np.ndarray:
     """Code points of the lower-cased letters, other characters as one space for each run, a space at both ends; empty
     if there is no letter."""
     raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    is_letter = np.where(raw < 0x10000, _LETTER[np.minimum(raw, 0xFFFF)], raw >= 0x10000)
+    is_letter = _LETTER[np.minimum(raw, 0xFFFF)]
+    if (high := raw > 0xFFFF).any():
+        is_letter[high] = [chr(c).isalpha() for c in raw[high]]
     if not is_letter.any():
         return np.empty(0, np.uint32)
     raw = np.concatenate([[_SPACE], np.where(is_letter, raw, _SPACE), [_SPACE]]).astype(np.uint32)
