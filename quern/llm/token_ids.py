@@ -9,10 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import back, encoder_of, filesystem, ids, new_folder, put_file, text_column
+from quern.llm.common import back, encoder_of, filesystem, ids, new_folder, put_file, sliced, text_column, written
 
 MAGIC = b"QDAC0001"
 #: Bits of an id held at each level; the last level takes what is left.
@@ -146,7 +146,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
             names.clear()
             return row
 
-        for batch in batches:
+        for batch in sliced(batches):
             for id_, text in zip(batch.column("id").to_pylist(), text_column(batch, "text"), strict=True):
                 held.append(encoder.ids_of(text) + end)
                 names.append(id_)
@@ -183,16 +183,14 @@ def encode_and_read(docs: DataFrame, vocabulary: str, end_id: int = 0, id_col: s
     """One row per document, read from its token-id file: doc_id, start, n_tokens, ids_crc32.
 
     Null texts count as empty and hold the end id alone. Null ids come first; documents with one id are in the order of
-    their texts. Other columns aren't looked at. An empty table gives no rows. The driver gets one small row for each
-    file, to add up where each begins.
+    their texts. Other columns aren't looked at. An empty table gives no rows. Where a file begins is a running sum over
+    its partition's files, and over one row a partition; the driver sees none of it.
     """
     spark = docs.sparkSession
-    made = write_token_files(docs, new_folder(spark, "token-ids"), vocabulary, end_id, id_col, text_col).collect()
-    listed, base = [], 0
-    for row in sorted(made, key=lambda r: (r["part"], r["file"])):
-        listed.append((row["path"], base))
-        base += row["tokens"]
-    if not listed:
-        return docs.limit(0).select(ids(id_col).alias("doc_id"), *(F.lit(0).cast("long").alias(c) for c in ("start", "n_tokens", "ids_crc32")))
-    files = spark.createDataFrame(listed, "path string, base long").repartition(len(listed), "path")
+    made = written(write_token_files(docs, new_folder(spark, "token-ids"), vocabulary, end_id, id_col, text_col), "token-files")
+    before = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = made.groupBy("part").agg(F.sum("tokens").alias("tokens")).select("part", before(Window.orderBy("part")).alias("base"))
+    within = made.select("part", "path", before(Window.partitionBy("part").orderBy("file")).alias("within"))
+    files = within.join(parts, "part").select("path", (F.col("base") + F.col("within")).alias("base"))
+    files = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
     return read_token_files(files).select(back("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")

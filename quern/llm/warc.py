@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import back, filesystem, ids, new_folder, put_file
+from quern.llm.common import back, filesystem, ids, new_folder, put_file, written
 
 #: Magic number of the skippable frame that holds an archive's dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -177,10 +177,8 @@ def archive_and_read(pages: DataFrame, least_bytes: int = 0, id_col: str = "page
     no rows.
     """
     spark = pages.sparkSession
-    made = write_archives(pages, new_folder(spark, "warc"), least_bytes, id_col, url_col, html_col).collect()
-    if not made:
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    files = spark.createDataFrame([(r["path"],) for r in made], "path string").repartition(len(made), "path")
+    made = written(write_archives(pages, new_folder(spark, "warc"), least_bytes, id_col, url_col, html_col), "archives")
+    files = made.select("path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
     return read_archives(files).select(back("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", back("refers_to").alias("refers_to"))
 
 

@@ -338,6 +338,7 @@ def test_language_mixture_and_odd_cases(spark, smoke, odd, empty):
     assert {x for x, _ in mix} == {"fr", "de"} and mix[0][0] == "fr" and 0.5 < share < 0.8
     got = {r.doc_id: r for r in language.identify(odd).collect()}
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (4, 5, 6, 8)) and got[1].lang_pred in ("en", "de", "fr")
+    assert [len(language.letters(x)) > 0 for x in ("🙂 12", "𝒳", "中", "é", "")] == [False, True, True, True, False]
     assert language.identify(empty).count() == 0
     assert {r.lang_pred for r in language.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     kept = language.keep_identified(odd)
@@ -474,7 +475,7 @@ def test_pipeline_stages_against_plain_versions(spark, smoke):
     last = {rows[i]: i for i in sorted(kept)}
     assert {r.doc_id for r in state.collect()} == set(last.values())
     state = stages["near"](spark, state, smoke)
-    comp = brute_components([(i, rows[i]) for i in last.values()])
+    comp = brute_components([(i, rows[i]) for i in last.values()], 80)
     kept = {r.doc_id for r in state.collect()}
     assert kept == {i for i, (_, c) in comp.items() if i == c}
     state = stages["decontamination"](spark, state, smoke)
