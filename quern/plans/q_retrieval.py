@@ -385,9 +385,9 @@ def r18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _asked(spark).select("qid", k.alias("k"), chars.alias("chars"))
 
 
-_CHUNKS = [("c1", "career", "职业生涯", "hadoop", ""), ("c2", "projects", "项目", "rag", "portfolio"), ("c3", "trends", "自动快照", "", ""), ("c4", "trends", "分析", "plugin", ""), ("c5", "skills", "技术栈", "", "")]
+_CHUNKS = [("c1", "career", "职业生涯", "hadoop", ""), ("c2", "projects", "项目", "rag", "widget"), ("c3", "trends", "自动快照", "", ""), ("c4", "trends", "分析", "plugin", ""), ("c5", "skills", "技术栈", "", "")]
 _CHUNKS_SQL = "k AS (SELECT * FROM (VALUES " + ", ".join(map(str, _CHUNKS)) + ") t(chunk_id, category, section, topic, project))"
-NAMED = ["portfolio", "databricks", "hadoop"]
+NAMED = ["widget", "databricks", "hadoop"]
 
 
 @query(
