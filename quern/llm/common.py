@@ -52,10 +52,10 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return uri
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """df as a table written to the shared folder: it cuts the lineage and survives lost executors."""
     uri = new_folder(df.sparkSession, label)
-    df.write.parquet(uri)
+    df.write.parquet(uri, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 

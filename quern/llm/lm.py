@@ -6,26 +6,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import WordHashes, back, byte_column, ids, mix, sliced, words_of, written
+from quern.llm.common import WordHashes, back, byte_column, filesystem, ids, mix, new_folder, put_file, sliced, words_of, written
 from quern.llm.language import fold
 
 #: Counts are held as levels: up to the first number a level for each count, beyond it levels that grow by the second.
 SCALES = {1: (16, 1.06), 2: (4, 1.25), 3: (16, 1.06)}
 BITS_PER_ITEM, PROBES = 14, 5
-#: The filter that is broadcast has at most this many bytes. Where all n-grams need more, those of the lowest levels of
-#: the order that takes more are left out of it, level by level.
-MOST_FILTER_BYTES = 48_000_000
+#: The lowest level of each kind of count: the filter has one segment for each order and bucket, with all levels from there.
+FIRST = {1: 1, 2: 2, 3: 1}
 #: Exact counts of the commonest words that are broadcast; those of other words come from a join.
 MOST_EXACT = 1_000_000
 #: What is taken off a bigram's count for words not yet seen after its first word; a bigram seen once counts as unseen.
 DISCOUNT = 0.75
 #: Share of the unigram distribution after any word, at least.
 LEAST_UNIGRAM = 0.02
-#: Words after which a task sorts and hands on its counts.
-FLUSH_WORDS = 1_000_000
+#: Bytes of text after which a block of documents is full. A block's n-grams are counted and probed once each.
+BLOCK_BYTES = 6_000_000
 
 END = np.uint64(0x5A17E4D30F6B92C1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -58,36 +59,90 @@ class _Tokens:
         return out
 
 
-_BLOCK = "gram int, bucket int, hashes binary, counts binary"
-_BLOCK_ARROW = pa.schema([("gram", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+_PACKED = "block long, ids binary, text_hashes binary, trained binary, sizes binary, texts binary"
+_PACKED_ARROW = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("ids", "text_hashes", "trained", "sizes", "texts"))])
+_BLOCK = "gram int, bucket int, block long, hashes binary, counts binary"
+_BLOCK_ARROW = pa.schema([("gram", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+_MERGED = "gram int, bucket int, block long, hashes binary, counts binary, total long, distinct long, at array<long>, levels binary"
+_MERGED_ARROW = pa.schema([*_BLOCK_ARROW, ("total", pa.int64()), ("distinct", pa.int64()), ("at", pa.list_(pa.int64())), ("levels", pa.binary())])
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's documents (id, text_hash, trained, text) in blocks, a row each."""
+    held, room, n = [], BLOCK_BYTES, 0
+
+    def row() -> pa.RecordBatch:
+        i, h, trained, raws = zip(*held, strict=True)
+        got = (TaskContext.get().partitionId() << 32 | n, np.array(i, "<i8"), np.array(h, "<i8"), np.array(trained, bool), np.array([len(r) for r in raws], "<u4"))
+        return _rows([(got[0], *(x.tobytes() for x in got[1:]), b"".join(raws))], _PACKED_ARROW).to_batches()[0]
+
+    for batch in sliced(batches):
+        for x in zip(*(batch.column(c).to_pylist() for c in ("id", "text_hash", "trained")), byte_column(batch, "text"), strict=True):
+            held.append(x)
+            room -= len(x[3])
+            if room <= 0:
+                yield row()
+                held, room, n = [], BLOCK_BYTES, n + 1
+    if held:
+        yield row()
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The values' first bytes, then their second bytes and so on: bytes that are mostly zero lie together."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _of_planes(raw: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, len(raw) // width).T).view(kind).reshape(-1)
+
+
+def _steps(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as the steps between them."""
+    return _planes(np.diff(hashes.astype("<u8"), prepend=np.zeros(1, "<u8")))
+
+
+def _of_steps(raw: bytes) -> np.ndarray:
+    return np.cumsum(_of_planes(raw, "<u8"), dtype=np.uint64)
+
+
+def _texts(raw: bytes, sizes: bytes) -> list[bytes]:
+    ends = np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64).tolist()
+    return [raw[x:y] for x, y in zip([0, *ends], ends)]
+
+
+def _cut(hashes: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(bucket, start, end) of sorted hashes: a bucket is the upper bits."""
+    cuts = np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist()
+    return [(b, x, y) for b, (x, y) in enumerate(zip([0, *cuts], [*cuts, len(hashes)])) if y > x]
 
 
 def _counted(bits: int):
-    """Sorted n-gram counts of a task's texts, in a row for each order and bucket (the upper bits of the hash)."""
+    """A block's distinct n-grams, sorted, with their counts in its training texts, in a row for each order and bucket.
 
-    def rows(order: int, found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = np.unique(np.concatenate(found), return_counts=True)
-        cuts = np.searchsorted(hashes, (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))) if bits else np.empty(0, np.int64)
-        edges = [0, *cuts.tolist(), len(hashes)]
-        got = [(order, b, hashes[x:y].astype("<u8").tobytes(), counts[x:y].astype("<u4").tobytes()) for b, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
-        for i in range(0, len(got), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got[i : i + 64], strict=True), _BLOCK_ARROW.types, strict=True)], schema=_BLOCK_ARROW)
+    Rows of SEEN ask for the contexts' counts of the block's words and have no counts of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, ones, twos, held = _Tokens(), [], [], 0
-        for batch in sliced(batches):
-            for raw in byte_column(batch, "text"):
-                t = tokens.of(raw)
-                ones.append(t)
-                twos.append(bigrams(np.concatenate([[END], t[:-1]]), t))
-                held += len(t)
-                if held >= FLUSH_WORDS:
-                    yield from rows(UNIGRAM, ones)
-                    yield from rows(BIGRAM, twos)
-                    ones, twos, held = [], [], 0
-        if held:
-            yield from rows(UNIGRAM, ones)
-            yield from rows(BIGRAM, twos)
+        tokens = _Tokens()
+        for batch in batches:
+            for r in range(batch.num_rows):
+                block, trained, sizes, raw = (batch.column(c)[r].as_py() for c in ("block", "trained", "sizes", "texts"))
+                ones = [tokens.of(t) for t in _texts(raw, sizes)]
+                counts_in = np.repeat(np.frombuffer(trained, bool), [len(t) for t in ones])
+                twos = np.concatenate([bigrams(np.concatenate([[END], t[:-1]]), t) for t in ones])
+                ones = np.concatenate(ones)
+                for order, all_ in ((UNIGRAM, ones), (BIGRAM, twos)):
+                    hashes, at = np.unique(all_, return_inverse=True)
+                    counts = np.bincount(at, counts_in, len(hashes)).astype("<u4")
+                    yield from _rows([(order, b, block, _steps(hashes[x:y]), _planes(counts[x:y])) for b, x, y in _cut(hashes, bits)], _BLOCK_ARROW).to_batches()
+                asked = np.unique(mix(context_of(ones)))
+                yield from _rows([(SEEN, b, block, _steps(asked[x:y]), None) for b, x, y in _cut(asked, bits)], _BLOCK_ARROW).to_batches()
 
     return run
 
@@ -112,57 +167,68 @@ def count_at(level: np.ndarray, gram: int) -> np.ndarray:
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """One bucket's counts added up, with how many n-grams are at each level."""
+    """One bucket's counts added up, with how many n-grams are at each level, and each block's levels from the bucket's
+    segment of the filter."""
     order, bucket = table.column("gram")[0].as_py(), table.column("bucket")[0].as_py()
-    hashes = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("hashes").to_pylist()])
-    counts = np.concatenate([np.frombuffer(x, "<i8" if order == SEEN else "<u4") for x in table.column("counts").to_pylist()]).astype(np.int64)
+    blocks, tallies = table.column("block").to_pylist(), table.column("counts").to_pylist()
+    parts = [_of_steps(h) for h in table.column("hashes").to_pylist()]
+    hashes = np.concatenate(parts)
+    counts = np.concatenate([np.zeros(len(h), np.int64) if n is None else _of_planes(n, "<i8" if order == SEEN else "<u4").astype(np.int64) for h, n in zip(parts, tallies, strict=True)])
     by = np.argsort(hashes, kind="stable")
-    hashes, counts = hashes[by], counts[by]
-    starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-    hashes, counts = hashes[starts], np.add.reduceat(counts, starts)
+    hashes = hashes[by]
+    new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+    starts = np.flatnonzero(new)
+    at = np.empty(len(by), np.int64)
+    at[by] = np.cumsum(new) - 1
+    hashes, counts = hashes[starts], np.add.reduceat(counts[by], starts)
     total = int(counts.sum())
     if order == SEEN:  # in hundredths so far
-        counts = np.maximum(1, np.rint(counts / 100)).astype(np.int64)
-    if order == BIGRAM:
-        hashes, counts = hashes[counts > 1], counts[counts > 1]
-    at = np.bincount(levels(counts, order))
-    return pa.table(
-        {
-            "gram": pa.array([order], pa.int32()),
-            "bucket": pa.array([bucket], pa.int32()),
-            "hashes": pa.array([hashes.astype("<u8").tobytes()], pa.binary()),
-            "counts": pa.array([counts.astype("<i8").tobytes()], pa.binary()),
-            "total": pa.array([total], pa.int64()),
-            "distinct": pa.array([len(hashes)], pa.int64()),
-            "at": pa.array([at.tolist()], pa.list_(pa.int64())),
-        }
-    )
-
-
-def count(docs: DataFrame, text_col: str) -> tuple[DataFrame, int]:
-    """The n-gram counts of all texts, a row for each order and bucket, and the bits that number a bucket."""
-    bits = max(2, (int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    rows = docs.select(F.col(text_col).cast("string").alias("text"))
-    merged = "gram int, bucket int, hashes binary, counts binary, total long, distinct long, at array<long>"
-    words = written(rows.mapInArrow(_counted(bits), _BLOCK).groupBy("gram", "bucket").applyInArrow(_merge, merged), "counts")
+        counts = np.where(counts > 0, np.maximum(1, np.rint(counts / 100)), 0).astype(np.int64)
+    keep = counts > (1 if order == BIGRAM else 0)
+    level = levels(counts[keep], order)
+    bits = segment(hashes[keep], level, order)
+    # what several blocks ask for is probed once
+    got = probe(bits, np.full(len(hashes), 8 * len(bits), np.uint64), np.zeros(len(hashes), np.uint64), hashes, order).astype("<u2")
+    rows = [(order, bucket, None, _steps(hashes[keep]), _planes(counts[keep].astype("<i8")), total, int(keep.sum()), np.bincount(level).tolist(), None)]
+    ends = np.cumsum([len(h) for h in parts]).tolist()
+    for block, x, y in zip(blocks, [0, *ends], ends):
+        if block is not None:
+            rows.append((order, bucket, block, None, None, None, None, None, _planes(got[at[x:y]])))
+    return _rows(rows, _MERGED_ARROW)
+
+
+def _merge_words(table: pa.Table) -> pa.Table:
+    """As _merge, but what asks for contexts is handed on: their counts come from those of the bigrams."""
+    if table.column("gram")[0].as_py() != SEEN:
+        return _merge(table)
+    return _rows([(*row, None, None, None, None) for row in zip(*(table.column(c).to_pylist() for c in _BLOCK_ARROW.names), strict=True)], _MERGED_ARROW)
+
+
+def count(blocks: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The n-gram counts of all blocks' training texts, a row for each order and bucket; what the filter has for each
+    block's n-grams (block, gram, bucket, levels); and the bits that number a bucket."""
+    bits = max(2, (int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    words = written(blocks.select("block", "trained", "sizes", "texts").mapInArrow(_counted(bits), _BLOCK).groupBy("gram", "bucket").applyInArrow(_merge_words, _MERGED), "counts", "zstd")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The discounted counts of a task's bigrams by context, in blocks like those of n-grams."""
         for batch in batches:
             for raw, n in zip(batch.column("hashes").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                context, at = np.unique(np.frombuffer(raw, "<u8") & _LOW, return_inverse=True)
+                context, at = np.unique(_of_steps(raw) & _LOW, return_inverse=True)
                 if not len(context):
                     continue
-                kept = np.rint(100 * np.bincount(at, np.frombuffer(n, "<i8") - DISCOUNT)).astype("<i8")
+                kept = np.rint(100 * np.bincount(at, _of_planes(n, "<i8") - DISCOUNT)).astype("<i8")
                 hashes = mix(context)
                 by = np.argsort(hashes)
                 hashes, kept = hashes[by], kept[by]
-                cuts = np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist()
-                got = [(SEEN, b, hashes[x:y].tobytes(), kept[x:y].tobytes()) for b, (x, y) in enumerate(zip([0, *cuts], [*cuts, len(hashes)])) if y > x]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), _BLOCK_ARROW.types, strict=True)], schema=_BLOCK_ARROW)
+                yield from _rows([(SEEN, b, None, _steps(hashes[x:y]), _planes(kept[x:y])) for b, x, y in _cut(hashes, bits)], _BLOCK_ARROW).to_batches()
 
-    seen = words.filter(F.col("gram") == BIGRAM).select("hashes", "counts").mapInArrow(contexts, _BLOCK)
-    return words.unionByName(written(seen.groupBy("gram", "bucket").applyInArrow(_merge, merged), "contexts")), bits
+    of_all, of_block = F.col("block").isNull(), F.col("block").isNotNull()
+    seen = words.filter((F.col("gram") == BIGRAM) & of_all).select("hashes", "counts").mapInArrow(contexts, _BLOCK)
+    asked = words.filter(F.col("gram") == SEEN).select("gram", "bucket", "block", "hashes", "counts")
+    found = written(seen.unionByName(asked).groupBy("gram", "bucket").applyInArrow(_merge, _MERGED), "contexts", "zstd")
+    words = words.filter(F.col("gram") != SEEN).unionByName(found)
+    return words.filter(of_all).drop("block", "levels"), words.filter(of_block).select("block", "gram", "bucket", "levels"), bits
 
 
 def _keys(hashes: np.ndarray, level: int) -> np.ndarray:
@@ -175,38 +241,63 @@ def _position(keys: np.ndarray, probe: int, sizes: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(32)) * sizes) >> np.uint64(32)
 
 
-def _segment(least: dict[int, int]):
-    """A bucket's part of the filter: each n-gram is entered once for each of its levels from the least one kept."""
+def segment(hashes: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
+    """A bucket's part of the filter: each n-gram is entered once for each of its levels."""
+    q = FIRST[order]
+    size = max(64, -(-int(np.maximum(level - q + 1, 0).sum()) * BITS_PER_ITEM // 8) * 8)
+    bits = np.zeros(size, bool)
+    while True:
+        keep = level >= q
+        hashes, level = hashes[keep], level[keep]
+        if not len(hashes):
+            return np.packbits(bits, bitorder="little")
+        keys = _keys(hashes, q)
+        for i in range(PROBES):
+            bits[_position(keys, i, np.uint64(size)).astype(np.int64)] = True
+        q += 1
+
+
+def probe(bits: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, order: int) -> np.ndarray:
+    """Levels by repeated membership probes: level after level until the filter says no."""
+    level, live, q = np.zeros(len(hashes), np.int64), np.arange(len(hashes)), FIRST[order]
+    while len(live):
+        keys = _keys(hashes[live], q)
+        for i in range(PROBES):  # a key that one probe refutes isn't probed again
+            at = _position(keys, i, sizes[live]) + offsets[live]
+            yes = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            keys, live = keys[yes], live[yes]
+        level[live] = q
+        q += 1
+    return level
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for order, bucket, raw, n in zip(*(batch.column(c).to_pylist() for c in ("gram", "bucket", "hashes", "counts")), strict=True):
+            bits = segment(_of_steps(raw), levels(_of_planes(n, "<i8"), order), order)
+            yield pa.RecordBatch.from_pydict({"gram": pa.array([order], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for order, bucket, raw, n in zip(*(batch.column(c).to_pylist() for c in ("gram", "bucket", "hashes", "counts")), strict=True):
-                hashes, level = np.frombuffer(raw, "<u8"), levels(np.frombuffer(n, "<i8"), order)
-                items = int(np.maximum(level - least[order] + 1, 0).sum())
-                size = max(64, -(-items * BITS_PER_ITEM // 8) * 8)
-                bits = np.zeros(size, bool)
-                q = least[order]
-                while True:
-                    keep = level >= q
-                    hashes, level = hashes[keep], level[keep]
-                    if not len(hashes):
-                        break
-                    keys = _keys(hashes, q)
-                    for i in range(PROBES):
-                        bits[_position(keys, i, np.uint64(size)).astype(np.int64)] = True
-                    q += 1
-                yield pa.RecordBatch.from_pydict({"gram": pa.array([order], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    return run
+class Common:
+    """The exact counts of the commonest words, and the totals."""
+
+    def __init__(self, exact: tuple[np.ndarray, np.ndarray], total: int, distinct: int):
+        self.exact_hashes, self.exact_counts = exact
+        self.total, self.distinct = total, distinct
+
+    def exact(self, hashes: np.ndarray) -> np.ndarray:
+        """Exact counts of common words; -1 for other words."""
+        if not len(self.exact_hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.exact_hashes, hashes), len(self.exact_hashes) - 1)
+        return np.where(self.exact_hashes[at] == hashes, self.exact_counts[at], -1)
 
 
 class Model:
-    """The filter's segments, the exact counts of the commonest words, and the totals."""
+    """All of the filter's segments in one place, and the totals."""
 
-    def __init__(self, bits: int, least: dict[int, int], segments: dict[tuple[int, int], bytes], exact: tuple[np.ndarray, np.ndarray], total: int, distinct: int):
-        self.bits, self.least, self.total, self.distinct = bits, least, total, distinct
-        self.exact_hashes, self.exact_counts = exact
-        self.memo: np.ndarray | None = None
+    def __init__(self, bits: int, segments: dict[tuple[int, int], bytes], common: Common):
+        self.bits, self.total, self.distinct = bits, common.total, common.distinct
         self.filter, self.offset, self.size = {}, {}, {}
         for order in SCALES:
             parts = [np.frombuffer(segments.get((order, b), bytes(8)), np.uint8) for b in range(1 << bits)]
@@ -215,44 +306,8 @@ class Model:
             self.offset[order] = np.concatenate([[0], np.cumsum([8 * len(p) for p in parts])])[:-1].astype(np.uint64)
 
     def counts(self, hashes: np.ndarray, order: int) -> np.ndarray:
-        """Counts by repeated membership probes: level after level until the filter says no."""
         bucket = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-        level, live, q = np.zeros(len(hashes), np.int64), np.arange(len(hashes)), self.least[order]
-        bits, sizes, offsets = self.filter[order], self.size[order][bucket], self.offset[order][bucket]
-        while len(live):
-            keys = _keys(hashes[live], q)
-            for i in range(PROBES):  # a key that one probe refutes isn't probed again
-                at = _position(keys, i, sizes[live]) + offsets[live]
-                yes = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                keys, live = keys[yes], live[yes]
-            level[live] = q
-            q += 1
-        return count_at(level, order)
-
-    def word_counts(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of words and of what follows them, by probes; those of common words are probed once in a process."""
-        if self.memo is None:
-            self.memo = np.full((2, len(self.exact_hashes) + 1), -1, np.float32)
-        at = np.full(len(words), len(self.exact_hashes))
-        if len(self.exact_hashes):
-            found = np.minimum(np.searchsorted(self.exact_hashes, words), len(self.exact_hashes) - 1)
-            at = np.where(self.exact_hashes[found] == words, found, at)
-        common = at < len(self.exact_hashes)
-        out = np.where(common, self.memo[:, at], -1.0)
-        new = np.flatnonzero(out[0] < 0)
-        if len(new):
-            out[0, new] = self.counts(words[new], UNIGRAM)
-            out[1, new] = self.counts(mix(context_of(words[new])), SEEN)
-            kept = new[common[new]]
-            self.memo[:, at[kept]] = out[:, kept]
-        return out[0], out[1]
-
-    def exact(self, hashes: np.ndarray) -> np.ndarray:
-        """Exact counts of common words; -1 for other words."""
-        if not len(self.exact_hashes):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.exact_hashes, hashes), len(self.exact_hashes) - 1)
-        return np.where(self.exact_hashes[at] == hashes, self.exact_counts[at], -1)
+        return count_at(probe(self.filter[order], self.size[order][bucket], self.offset[order][bucket], hashes, order), order)
 
 
 def probability(context: np.ndarray, seen: np.ndarray, both: np.ndarray, word: np.ndarray, single: np.ndarray) -> np.ndarray:
@@ -264,96 +319,120 @@ def probability(context: np.ndarray, seen: np.ndarray, both: np.ndarray, word: n
     return (1 - LEAST_UNIGRAM) * np.maximum(both - DISCOUNT, 0) / np.maximum(context, 1) + rest * single
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame, int]:
-    """The model, the table of all counts, and the count below which a word's exact count isn't in the model."""
-    table, bits = count(docs, text_col)
-    stats = table.select("gram", "total", "distinct", F.posexplode("at").alias("level", "n")).groupBy("gram", "level").agg(F.sum("n").alias("n")).collect()
-    at = {o: {r["level"]: r["n"] for r in stats if r["gram"] == o} for o in SCALES}
-    sums = table.filter(F.col("gram") == UNIGRAM).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    least = {o: min((q for q, n in at[o].items() if n), default=1) for o in at}
-
-    def items(o: int) -> int:
-        return sum(n * (q - least[o] + 1) for q, n in at[o].items() if q >= least[o])
-
-    while sum(map(items, SCALES)) * BITS_PER_ITEM > 8 * MOST_FILTER_BYTES:
-        least[max(SCALES, key=items)] += 1
-    found = table.select("gram", "bucket", "hashes", "counts").mapInArrow(_segment(least), "gram int, bucket int, bits binary").collect()
-    segments = {(r["gram"], r["bucket"]): bytes(r["bits"]) for r in found}
-
-    level, room = max(at[UNIGRAM], default=1), MOST_EXACT
-    while level > 1 and room >= at[UNIGRAM].get(level, 0):
-        room -= at[UNIGRAM].get(level, 0)
+def _blocks(docs: DataFrame, id_col: str, text_col: str, trained) -> DataFrame:
+    """The documents in blocks, as a written table; trained says of which documents n-grams are counted."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(ids(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), trained.alias("trained"), text.alias("text"))
+    return written(rows.mapInArrow(_packed, _PACKED), "blocks", "zstd")
+
+
+def commonest(table: DataFrame) -> tuple[Common, int]:
+    """The commonest words' exact counts and the totals, and the count below which a word isn't among them."""
+    words = table.filter(F.col("gram") == UNIGRAM)
+    stats = words.select(F.posexplode("at").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()
+    at = {r["level"]: r["n"] for r in stats}
+    sums = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    level, room = max(at, default=1), MOST_EXACT
+    while level > 1 and room >= at.get(level, 0):
+        room -= at.get(level, 0)
         level -= 1
-    cut = least_at(level + 1 if room < at[UNIGRAM].get(level, 0) else level, UNIGRAM) if at[UNIGRAM] else 1
+    cut = least_at(level + 1 if room < at.get(level, 0) else level, UNIGRAM) if at else 1
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw, n in zip(batch.column("hashes").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                n = np.frombuffer(n, "<i8")
+                n = _of_planes(n, "<i8")
                 keep = n >= cut
-                yield pa.RecordBatch.from_pydict({"hashes": [np.frombuffer(raw, "<u8")[keep].tobytes()], "counts": [n[keep].tobytes()]})
+                yield pa.RecordBatch.from_pydict({"hashes": [_of_steps(raw)[keep].tobytes()], "counts": [n[keep].tobytes()]})
 
-    rows = table.filter(F.col("gram") == UNIGRAM).select("hashes", "counts").mapInArrow(common, "hashes binary, counts binary").collect()
+    rows = words.select("hashes", "counts").mapInArrow(common, "hashes binary, counts binary").collect()
     hashes = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(r["hashes"], "<u8") for r in rows)])
     counts = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(r["counts"], "<i8") for r in rows)])
     by = np.argsort(hashes)
-    return Model(bits, least, segments, (hashes[by], counts[by]), int(sums[0]), int(sums[1])), table, cut
+    return Common((hashes[by], counts[by]), int(sums[0]), int(sums[1])), cut
 
 
-def _slices(raws: list[bytes], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    start = held = 0
-    for i, raw in enumerate(raws):
-        held += len(raw)
-        if held >= most:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(raws):
-        yield start, len(raws)
+def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame, int]:
+    """The whole filter on the driver, for tables that are small; the table of all counts; and commonest's count.
+    score_lm never brings the segments together."""
+    table, _, bits = count(_blocks(docs.withColumn("__id", F.lit(0)), "__id", text_col, F.lit(True)))
+    found = table.select("gram", "bucket", "hashes", "counts").mapInArrow(_segments, "gram int, bucket int, bits binary").collect()
+    common, cut = commonest(table)
+    return Model(bits, {(r["gram"], r["bucket"]): bytes(r["bits"]) for r in found}, common), table, cut
+
+
+def _put_levels(uri: str):
+    """Writes a block's levels as a file: by order the number of its n-grams, then all levels in the order of hashes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("gram", "ascending"), ("bucket", "ascending")])
+        block, parts = table.column("block")[0].as_py(), {o: [] for o in SCALES}
+        for order, raw in zip(table.column("gram").to_pylist(), table.column("levels").to_pylist(), strict=True):
+            parts[order].append(_of_planes(raw, "<u2"))
+        joined = [np.concatenate([np.empty(0, "<u2"), *parts[o]]) for o in SCALES]
+        raw = np.array([len(x) for x in joined], "<u8").tobytes() + _planes(np.concatenate(joined))
+        put_file(f"{uri}/{block}", zstandard.ZstdCompressor().compress(raw))
+        return pa.table({"block": pa.array([block], pa.int64())})
+
+    return run
+
+
+def _levels(uri: str, block: int) -> dict[int, np.ndarray]:
+    fs, path = filesystem(f"{uri}/{block}")
+    with fs.open_input_stream(path) as f:
+        raw = zstandard.ZstdDecompressor().decompress(f.read())
+    ends = np.cumsum(np.frombuffer(raw, "<u8", len(SCALES))).tolist()
+    all_ = _of_planes(raw[8 * len(SCALES) :], "<u2").astype(np.int64)
+    return {o: all_[int(x) : int(y)] for o, x, y in zip(SCALES, [0, *ends], ends)}
 
 
 _SCORED = "id long, text_hash long, n_tokens long, n_common long, common_score double, score double, rare array<long>, times array<long>"
 
 
-def _scored(held):
+def _scored(held, uri: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, tokens = held.value, _Tokens()
-        room = np.log10(model.total + model.distinct + 1.0)
-        for batch in sliced(batches):
-            raws = byte_column(batch, "text")
-            for x, y in _slices(raws):
-                parts = [tokens.of(raw) for raw in raws[x:y]]
+        common, tokens = held.value, _Tokens()
+        room = np.log10(common.total + common.distinct + 1.0)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                block, i, text_hashes, sizes, raw = (batch.column(c)[r].as_py() for c in ("block", "ids", "text_hashes", "sizes", "texts"))
+                found = _levels(uri, block)
+                parts = [tokens.of(t) for t in _texts(raw, sizes)]
                 sizes = np.array([len(p) for p in parts])
                 starts = np.cumsum(sizes) - sizes
                 all_ = np.concatenate(parts)
                 before = np.concatenate([[END], all_[:-1]])
                 before[starts] = END
                 words, at = np.unique(all_, return_inverse=True)
-                known = model.exact(words)
+                known = common.exact(words)
                 # log10((c + 1) / (N + V + 1)) of the common words
                 base = np.where(known >= 0, np.log10(np.maximum(known, 0) + 1.0) - room, 0.0)[at]
-                ones, after = model.word_counts(words)
-                single = (ones + 1) / (model.total + model.distinct + 1.0)
+                asked, asked_at = np.unique(mix(context_of(words)), return_inverse=True)
+                pairs, pair_at = np.unique(bigrams(before, all_), return_inverse=True)
+                if [len(words), len(pairs), len(asked)] != [len(found[o]) for o in (UNIGRAM, BIGRAM, SEEN)]:
+                    raise ValueError(f"block {block}: levels of other n-grams")
+                ones = count_at(found[UNIGRAM], UNIGRAM)
+                after = count_at(found[SEEN], SEEN)[asked_at]
+                single = (ones + 1) / (common.total + common.distinct + 1.0)
                 # the word before is the one at the place before; the start is the end's hash
                 end = np.searchsorted(words, END)
                 before_at = np.concatenate([[end], at[:-1]])
                 before_at[starts] = end
-                pairs, pair_at = np.unique(bigrams(before, all_), return_inverse=True)
-                both = model.counts(pairs, BIGRAM)[pair_at]
-                context = ones[before_at]
-                p = probability(context, after[before_at], both, ones[at], single[at])
+                both = count_at(found[BIGRAM], BIGRAM)[pair_at]
+                p = probability(ones[before_at], after[before_at], both, ones[at], single[at])
                 sums = lambda v: np.add.reduceat(v, starts)
-                common = known[at] >= 0
+                is_common = known[at] >= 0
                 rare, times = [], []
-                rare_of = [np.unique(p_[~common[s : s + n]], return_counts=True) for p_, s, n in zip(parts, starts, sizes, strict=True)]
-                for h, n in rare_of:
+                for p_, s, n in zip(parts, starts, sizes, strict=True):
+                    h, n = np.unique(p_[~is_common[s : s + n]], return_counts=True)
                     rare.append(h.view(np.int64))
                     times.append(n)
-                yield pa.RecordBatch.from_arrays(
+                out = pa.RecordBatch.from_arrays(
                     [
-                        batch.column("id").slice(x, y - x),
-                        batch.column("text_hash").slice(x, y - x),
+                        pa.array(np.frombuffer(i, "<i8")),
+                        pa.array(np.frombuffer(text_hashes, "<i8")),
                         pa.array(sizes, pa.int64()),
-                        pa.array(sums(common.astype(np.int64)), pa.int64()),
+                        pa.array(sums(is_common.astype(np.int64)), pa.int64()),
                         pa.array(sums(base), pa.float64()),
                         pa.array(sums(np.log10(p)), pa.float64()),
                         pa.array(rare, pa.list_(pa.int64())),
@@ -361,6 +440,7 @@ def _scored(held):
                     ],
                     names=["id", "text_hash", "n_tokens", "n_common", "common_score", "score", "rare", "times"],
                 )
+                yield from sliced([out])
 
     return run
 
@@ -368,7 +448,7 @@ def _scored(held):
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for raw, n in zip(batch.column("hashes").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            hashes, counts = np.frombuffer(raw, "<i8"), np.frombuffer(n, "<i8")
+            hashes, counts = _of_steps(raw).view(np.int64), _of_planes(n, "<i8")
             for i in range(0, len(hashes), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[i : i + 50_000]), pa.array(counts[i : i + 50_000])], names=["h", "c"])
 
@@ -382,13 +462,17 @@ def score_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     words are broadcast, the others' are joined to the documents that hold them. Words are told apart by 64-bit hashes.
 
     Null and empty texts are the end alone. Documents with a null id aren't held out. Rows that repeat an id are scored
-    each. Other columns aren't looked at. An empty table gives no rows. The broadcast is MOST_FILTER_BYTES and
-    12 bytes a word of MOST_EXACT, at most.
+    each. Other columns aren't looked at. An empty table gives no rows. The filter is never in one place: each block's
+    n-grams are probed in the task that has their bucket's segment. The broadcast is 16 bytes a word of MOST_EXACT, at
+    most.
     """
-    rows = docs.select(ids(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    model, table, cut = fit(docs.filter(fold(id_col, folds) != held_out), text_col)
+    blocks = _blocks(docs, id_col, text_col, F.coalesce(fold(id_col, folds) != held_out, F.lit(False)))
+    table, found, _ = count(blocks)
+    model, cut = commonest(table)
+    uri = new_folder(docs.sparkSession, "levels")
+    found.groupBy("block").applyInArrow(_put_levels(uri), "block long").agg(F.count("*")).collect()
     held = docs.sparkSession.sparkContext.broadcast(model)
-    scored = written(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_scored(held), _SCORED), "scored")
+    scored = written(blocks.drop("trained").mapInArrow(_scored(held, uri), _SCORED), "scored")
     rare = scored.filter(F.size("rare") > 0).select("id", "text_hash", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("id", "text_hash", F.col("x.rare").alias("h"), F.col("x.times").alias("n")).distinct()
     words = table.filter(F.col("gram") == UNIGRAM).select("hashes", "counts").mapInArrow(_spread, "h long, c long").filter(F.col("c") < cut)
     room = float(np.log10(model.total + model.distinct + 1.0))

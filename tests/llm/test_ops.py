@@ -406,6 +406,18 @@ def test_lm_probabilities_add_up(spark, smoke):
         assert 0.85 < total < 1.05
 
 
+def test_lm_filter_keeps_its_lowest_levels(spark, smoke, monkeypatch):
+    """A bound on the filter's size, which there was, must not make rarer n-grams read as unseen."""
+    docs = load(spark, smoke, "documents")
+    whole = sorted((r.doc_id, r.score) for r in lm.score_lm(docs).collect())
+    monkeypatch.setattr(lm, "MOST_FILTER_BYTES", 4_000, raising=False)
+    assert sorted((r.doc_id, r.score) for r in lm.score_lm(docs).collect()) == whole
+    model, _, _ = lm.fit(docs)
+    counts = Counter(w for r in docs.collect() for w in (r.text or "").encode().lower().split())
+    words = lm._Tokens().hashes.of(list(counts))
+    assert (model.counts(words, lm.UNIGRAM) > 0).all() and (model.counts(lm.mix(lm.context_of(words)), lm.SEEN) > 0).any()
+
+
 def test_lm_odd_cases(odd, empty):
     rows = lm.score_lm(odd).collect()
     got = {r.doc_id: r for r in rows}
