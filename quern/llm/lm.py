@@ -17,11 +17,9 @@ from quern.llm.language import fold
 #: Counts are held as levels: up to the first number a level for each count, beyond it levels that grow by the second.
 SCALES = {1: (16, 1.06), 2: (4, 1.25), 3: (16, 1.06)}
 BITS_PER_ITEM, PROBES = 14, 5
-#: The lowest level of each kind of count: the filter has one segment for each order and bucket, with all levels from there.
-FIRST = {1: 1, 2: 2, 3: 1}
 #: Exact counts of the commonest words that are broadcast; those of other words come from a join.
 MOST_EXACT = 1_000_000
-#: What is taken off a bigram's count for words not yet seen after its first word; a bigram seen once counts as unseen.
+#: What is taken off a bigram's count for words not yet seen after its first word.
 DISCOUNT = 0.75
 #: Share of the unigram distribution after any word, at least.
 LEAST_UNIGRAM = 0.02
@@ -30,7 +28,7 @@ BLOCK_BYTES = 6_000_000
 
 END = np.uint64(0x5A17E4D30F6B92C1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Kinds of counts. SEEN is a context's discounted count of bigrams seen more than once.
+#: Kinds of counts. SEEN is a context's discounted count of bigrams, held in quarters, which are exact.
 UNIGRAM, BIGRAM, SEEN = 1, 2, 3
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -163,7 +161,8 @@ def least_at(level: int, gram: int) -> int:
 def count_at(level: np.ndarray, gram: int) -> np.ndarray:
     """The count that a level stands for, its middle, so that sums of counts aren't biased; 0 for level 0."""
     linear, base = SCALES[gram]
-    return np.where(level <= linear, level, linear * base ** (np.maximum(level, linear) - float(linear)) * (1 + base) / 2)
+    count = np.where(level <= linear, level, linear * base ** (np.maximum(level, linear) - float(linear)) * (1 + base) / 2)
+    return count / 4 if gram == SEEN else count
 
 
 def _merge(table: pa.Table) -> pa.Table:
@@ -182,9 +181,7 @@ def _merge(table: pa.Table) -> pa.Table:
     at[by] = np.cumsum(new) - 1
     hashes, counts = hashes[starts], np.add.reduceat(counts[by], starts)
     total = int(counts.sum())
-    if order == SEEN:  # in hundredths so far
-        counts = np.where(counts > 0, np.maximum(1, np.rint(counts / 100)), 0).astype(np.int64)
-    keep = counts > (1 if order == BIGRAM else 0)
+    keep = counts > 0
     level = levels(counts[keep], order)
     bits = segment(hashes[keep], level, order)
     # what several blocks ask for is probed once
@@ -217,7 +214,7 @@ def count(blocks: DataFrame) -> tuple[DataFrame, DataFrame, int]:
                 context, at = np.unique(_of_steps(raw) & _LOW, return_inverse=True)
                 if not len(context):
                     continue
-                kept = np.rint(100 * np.bincount(at, _of_planes(n, "<i8") - DISCOUNT)).astype("<i8")
+                kept = np.rint(4 * np.bincount(at, _of_planes(n, "<i8") - DISCOUNT)).astype("<i8")
                 hashes = mix(context)
                 by = np.argsort(hashes)
                 hashes, kept = hashes[by], kept[by]
@@ -243,8 +240,8 @@ def _position(keys: np.ndarray, probe: int, sizes: np.ndarray) -> np.ndarray:
 
 def segment(hashes: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
     """A bucket's part of the filter: each n-gram is entered once for each of its levels."""
-    q = FIRST[order]
-    size = max(64, -(-int(np.maximum(level - q + 1, 0).sum()) * BITS_PER_ITEM // 8) * 8)
+    q = 1
+    size = max(64, -(-int(level.sum()) * BITS_PER_ITEM // 8) * 8)
     bits = np.zeros(size, bool)
     while True:
         keep = level >= q
@@ -259,7 +256,7 @@ def segment(hashes: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
 
 def probe(bits: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, order: int) -> np.ndarray:
     """Levels by repeated membership probes: level after level until the filter says no."""
-    level, live, q = np.zeros(len(hashes), np.int64), np.arange(len(hashes)), FIRST[order]
+    level, live, q = np.zeros(len(hashes), np.int64), np.arange(len(hashes)), 1
     while len(live):
         keys = _keys(hashes[live], q)
         for i in range(PROBES):  # a key that one probe refutes isn't probed again
@@ -313,7 +310,7 @@ class Model:
 def probability(context: np.ndarray, seen: np.ndarray, both: np.ndarray, word: np.ndarray, single: np.ndarray) -> np.ndarray:
     """P(v | u) of c(u), s(u), c(u v), c(v) and p(v). A pair can't be commoner than its words or than all pairs of its
     context, which refutes most of the filter's false answers."""
-    both = np.where((seen > 0) & (word > 1), np.minimum(both, np.minimum(word, seen + DISCOUNT)), 0)
+    both = np.where((seen > 0) & (word > 0), np.minimum(both, np.minimum(word, seen + DISCOUNT)), 0)
     context = np.maximum(context, seen)
     rest = np.where(context > 0, np.maximum(LEAST_UNIGRAM, 1 - seen / np.maximum(context, 1)), 1.0)
     return (1 - LEAST_UNIGRAM) * np.maximum(both - DISCOUNT, 0) / np.maximum(context, 1) + rest * single

@@ -418,6 +418,15 @@ def test_lm_filter_keeps_its_lowest_levels(spark, smoke, monkeypatch):
     assert (model.counts(words, lm.UNIGRAM) > 0).all() and (model.counts(lm.mix(lm.context_of(words)), lm.SEEN) > 0).any()
 
 
+def test_lm_keeps_bigrams_seen_once(spark):
+    docs = spark.createDataFrame([(1, "red fox runs home"), (2, "blue fox sits")], "doc_id long, text string")
+    model, _, _ = lm.fit(docs)
+    red, blue, fox, runs, sits = lm._Tokens().hashes.of([b"red", b"blue", b"fox", b"runs", b"sits"])
+    before, words = np.array([red, fox, fox, red]), np.array([fox, runs, sits, sits])
+    assert model.counts(lm.bigrams(before, words), lm.BIGRAM).tolist() == [1, 1, 1, 0]
+    assert model.counts(lm.mix(lm.context_of(np.array([red, blue, fox]))), lm.SEEN).tolist() == [0.25, 0.25, 0.5]
+
+
 def test_lm_odd_cases(odd, empty):
     rows = lm.score_lm(odd).collect()
     got = {r.doc_id: r for r in rows}
