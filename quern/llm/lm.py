@@ -24,7 +24,7 @@ DISCOUNT = 0.75
 #: Share of the unigram distribution after any word, at least.
 LEAST_UNIGRAM = 0.02
 #: Bytes of text after which a block of documents is full. A block's n-grams are counted and probed once each.
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 1_500_000
 
 END = np.uint64(0x5A17E4D30F6B92C1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
