@@ -64,8 +64,9 @@ def _shrunk(groups: DataFrame, above: str) -> DataFrame:
     return out.withColumn("mean", (F.col("bad") + F.col("s") * F.col(above)) / (F.col("n") + F.col("s"))).withColumn("weight", F.col("n") + F.col("s"))
 
 
-def reputations(outcomes: DataFrame) -> DataFrame:
-    """(host, mean, weight) of labelled outcomes (host, bad 0 or 1), shrunk from suffix to domain to host.
+def reputations(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(host, mean, weight) of labelled outcomes (host, bad 0 or 1), shrunk from suffix to domain to host; then
+    (domain, domain_mean, domain_weight), (suffix, suffix_mean, suffix_weight) and the one row (root, root_weight).
 
     Each level is an aggregate of the one below, so only the first reads pages, and it is combined before the shuffle.
     """
@@ -73,19 +74,21 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    whole = suffixes.agg(F.coalesce((F.sum("bad") + 0.5) / (F.sum("n") + 1.0), F.lit(0.5)).alias("root"))
-    suffixes = _shrunk(suffixes.crossJoin(F.broadcast(whole)), "root").select("suffix", F.col("mean").alias("suffix_mean"))
-    domains = _shrunk(domains.join(suffixes, "suffix"), "suffix_mean").select("domain", "suffix", F.col("mean").alias("domain_mean"))
+    whole = suffixes.agg(F.coalesce((F.sum("bad") + 0.5) / (F.sum("n") + 1.0), F.lit(0.5)).alias("root"), (F.coalesce(F.sum("n"), F.lit(0.0)) + 1.0).alias("root_weight"))
+    suffixes = _shrunk(suffixes.crossJoin(F.broadcast(whole.select("root"))), "root").select("suffix", F.col("mean").alias("suffix_mean"), F.col("weight").alias("suffix_weight"))
+    domains = _shrunk(domains.join(suffixes, "suffix"), "suffix_mean").select("domain", "suffix", F.col("mean").alias("domain_mean"), F.col("weight").alias("domain_weight"))
     hosts = _shrunk(hosts.join(domains, ["domain", "suffix"]), "domain_mean")
-    return hosts.select("host", "mean", "weight")
+    return hosts.select("host", "mean", "weight"), domains.select("domain", "domain_mean", "domain_weight"), suffixes, whole
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, bad_rate, bad_bound.
 
     The rule that fits decides; where none does, the page is blocked if the lower posterior bound of its host's bad rate
-    is above MOST_BAD. outcomes has (id, bad) rows of labelled pages; a page with several counts once for each. Hosts
-    without labelled pages have no reputation of their own and are allowed (bad_rate is null).
+    is above MOST_BAD. outcomes has (id, bad) rows of labelled pages; a page with several counts once for each. A host
+    without labelled pages is judged by its domain's bound, else by its suffix's, else by that of all pages (where it has a
+    host at all); bad_rate and
+    bad_bound are a host's own, as in ORACLE_SQL, so they are null there.
 
     A null url, or one without ://, has an empty host and path and no rule. Rows that repeat an id are judged each. A
     null id is judged but never labelled. Other columns aren't looked at. An empty table gives no rows.
@@ -95,10 +98,16 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] =
     marked = parts.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     known = outcomes.select(F.col("id").cast("long").alias("page_id"), F.col("bad").cast("int").alias("bad")).filter("bad IS NOT NULL")
     labelled = parts.select("page_id", "host").join(known, "page_id").select("host", "bad")
-    bound = F.col("mean") - DEVIATIONS * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
-    found = marked.join(reputations(labelled), "host", "left")
+    def low(mean: str, weight: str) -> Column:
+        return F.col(mean) - DEVIATIONS * F.sqrt(F.col(mean) * (1 - F.col(mean)) / (F.col(weight) + 1))
+
+    hosts, domains, suffixes, whole = reputations(labelled)
+    marked = marked.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    found = marked.join(hosts, "host", "left").join(domains, "domain", "left").join(suffixes, "suffix", "left").crossJoin(F.broadcast(whole))
+    bound = low("mean", "weight")
+    nearest = F.coalesce(bound, low("domain_mean", "domain_weight"), low("suffix_mean", "suffix_weight"), F.when(F.col("host") != "", low("root", "root_weight")))
     blocks = [r for v, r in rules if v == "block"]
-    method = F.when(bound > MOST_BAD, "block").otherwise("allow")
+    method = F.when(nearest > MOST_BAD, "block").otherwise("allow")
     verdict = F.when(F.col("rule").isNull(), method).when(F.col("rule").isin(blocks), "block").otherwise("allow")
     return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round("mean", 9).alias("bad_rate"), F.round(bound, 9).alias("bad_bound"))
 
