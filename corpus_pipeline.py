@@ -12,27 +12,28 @@ from quern.llm.common import written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language that leads their mixture, go."""
+    """Rows without a letter, or without a language that leads their mixture, go. In this stage and the others each row is
+    decided on by its own text, whatever its id is; columns stay as they are, and an empty table gives none."""
     return language.keep_identified(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id stays."""
+    """Of equal texts the one with the largest id stays; null texts count as empty."""
     return exact.keep_first_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return near.keep_one_each(docs)
+    """One document of each group of near duplicates stays; copies are those of a similarity of 0.8 or more."""
+    return near.keep_one_each(docs, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Rows that hold a benchmark item go; null and empty texts hold none."""
     return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in sequences of at most 4096 tokens."""
+    """The pieces of the documents in sequences of at most 4096 tokens; a null text is empty."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -9,10 +9,11 @@ import re
 import struct
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +26,14 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder of
+    its own; on a cluster that is an error, since other hosts wouldn't see such a folder."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(d)
         atexit.register(_remove, spark, d)
@@ -66,14 +70,27 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else "file:" + uri.removeprefix("file:"))
 
 
-def put_file(uri: str, data: bytes) -> None:
-    """Write a whole file under a name of its own, then move it: a retried or doubled task leaves one whole file."""
+def put_file(uri: str, data: bytes) -> str:
+    """Write a whole file under a name that no other attempt uses, and return it. Only names of finished tasks are read."""
+    stem, dot, end = uri.rpartition("/")[2].partition(".")
+    uri = f"{uri.rpartition('/')[0]}/{stem}-{uuid.uuid4().hex}{dot}{end}"
     fs, path = filesystem(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(part) as out:
+    with fs.open_output_stream(path, compression=None) as out:
         out.write(data)
-    fs.move(part, path)
+    return uri
+
+
+def put_named(uri: str, data: bytes) -> None:
+    """Write a file under a given name, whole at once. All attempts write the same bytes, so the first one's file stays."""
+    fs, path = filesystem(uri)
+    part_path = filesystem(put_file(uri + ".tmp", data))[1]
+    try:
+        fs.move(part_path, path)
+    except OSError:
+        if fs.get_file_info(path).type.name != "File":
+            raise
+        fs.delete_file(part_path)
 
 
 def ids(column: str) -> "F.Column":
@@ -85,6 +102,35 @@ def back(column: str) -> "F.Column":
     return F.when(F.col(column) != NULL_ID, F.col(column))
 
 
+def text_of(column: str) -> "F.Column":
+    """The text column; null is empty."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def key_of(column: str) -> "F.Column":
+    """A hash of the text. Rows with one id (or none) are told apart by it; rows that repeat both are the same document."""
+    return F.xxhash64(text_of(column))
+
+
+def keep_rows(docs: DataFrame, text_col: str, wanted: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows whose text is wanted, columns as they were: each is decided on where it is read, so neither its id nor
+    another row with that id matters, and nothing is shuffled. `wanted` makes a task's judge of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = wanted()
+        for batch in sliced(batches):
+            yield batch.filter(pa.array(judge(text_column(batch, text_col)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def keep_keyed(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose id and text's hash are in kept (id, key), columns as they were."""
+    i, k = (f"{n}_{uuid.uuid4().hex}" for n in ("id", "key"))
+    named = kept.select(F.col("id").alias(i), F.col("key").alias(k)).distinct()
+    return docs.withColumns({i: ids(id_col), k: key_of(text_col)}).join(named, [i, k], "left_semi").drop(i, k)
+
+
 # ---------------------------------------------------------------- words and hashes
 
 
@@ -108,13 +154,18 @@ def words_of(raw: bytes) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash; of `limit` words those used since the last turnover stay, so that memory is bounded."""
+    """word -> 64-bit hash. Of `limit` words those used since the last turnover stay; words of more than MOST_KEPT bytes are
+    hashed each time. So memory is bounded in bytes, also for texts without spaces."""
+
+    MOST_KEPT = 64
 
     def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit, self.old = limit, {}
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > self.MOST_KEPT:
+            return xxhash.xxh3_64_intdigest(word)
         if len(self) >= self.limit // 2:
             self.old = dict(self)
             self.clear()
@@ -153,11 +204,16 @@ def shingle_set(hashes: np.ndarray, width: int = 5) -> np.ndarray:
 
 
 class _Pieces(dict):
-    """Ids of pieces, with a space before them or without. Of `limit` pieces those used since the last turnover stay."""
+    """Ids of pieces, with a space before them or without. Of `limit` bytes of pieces those used since the last turnover
+    stay; pieces of more than MOST_KEPT characters, such as texts without spaces, are encoded each time."""
+
+    MOST_KEPT = 64
+    #: Bytes of an entry besides its characters and ids: two objects and their places in the table.
+    ENTRY = 200
 
     def __init__(self, owner: "CachedEncoder", space: bool, limit: int):
         super().__init__()
-        self.owner, self.limit, self.old = owner, limit, {}
+        self.owner, self.limit, self.old, self.held = owner, limit, {}, 0
         self.space = " " if space else ""
         self.spelled = owner.spell(" ") if space and not owner.lowers else ""
 
@@ -165,8 +221,11 @@ class _Pieces(dict):
         out = self.old.get(piece)
         if out is None:
             out = self._new(piece)
-        if len(self) >= self.limit // 2:
-            self.old = dict(self)
+            if len(piece) > self.MOST_KEPT:
+                return out
+        self.held += self.ENTRY + 4 * len(piece) + len(out)
+        if self.held >= self.limit // 2:
+            self.old, self.held = dict(self), 0
             self.clear()
         self[piece] = out
         return out
@@ -207,7 +266,7 @@ class CachedEncoder:
     piece of Latin letters is one pre-token, which goes to the library's model directly.
     """
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 240_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -246,4 +305,7 @@ _CUT = re.compile(r"(?<=\S)(?= )")
 
 def text_column(batch: pa.RecordBatch, name: str) -> list[str]:
     """A text column; null is empty."""
-    return [x or "" for x in batch.column(name).to_pylist()]
+    col = batch.column(name)
+    if not (pa.types.is_string(col.type) or pa.types.is_large_string(col.type)):
+        col = pc.cast(col, pa.string())
+    return [x or "" for x in col.to_pylist()]

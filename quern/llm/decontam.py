@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import back, ids, text_column
+from quern.llm.common import keep_rows, sliced, text_column, text_of, written
 
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.1
@@ -89,7 +90,7 @@ def tree(length: int, edits: int) -> list[tuple[int, int, list[tuple[int, int, i
 class Matcher:
     """Finds items in normalised texts within their error budgets."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]]):
         self.items = [(i, t, budget(len(t))) for i, t in ((i, normal(t)) for i, t in items) if t]
         at: dict[str, list[tuple[int, int, list[tuple[int, int, int]]]]] = {}
         for k, (_, t, edits) in enumerate(self.items):
@@ -101,71 +102,114 @@ class Matcher:
         if at:
             self.automaton.make_automaton()
 
-    def find(self, text: str) -> list[tuple[int, int]]:
-        """(item, edits) of each item in the text, least edits."""
+    def find(self, text: str) -> list[tuple[int | None, int]]:
+        """(item, edits) of each item in the text; edits is the least distance to any part of it.
+
+        A match within the budget lies within `budget` characters of where one of its pieces puts it. Where such a place
+        is confirmed, the distance is taken over all that the place's other pieces could reach too, so that those hits
+        are no news; every hit outside of what was looked at is followed anew.
+        """
         if self.automaton is None:
             return []
         text = normal(text)
         best: dict[int, int] = {}
-        seen: dict[int, int] = {}
+        seen: dict[int, list[tuple[int, int]]] = {}
         for end, (size, places) in self.automaton.iter(text):
             for k, start, above in places:
+                if best.get(k) == 0:
+                    continue
                 begin = end + 1 - size - start  # where the item would begin without edits
-                if best.get(k) == 0 or begin < seen.get(k, -1):
+                _, item, most = self.items[k]
+                low, high = max(0, begin - most), min(len(text), begin + len(item) + most)
+                if any(a <= low and high <= b for a, b in seen.get(k, ())):
+                    continue
+                if any(myers(item[a:b], text[max(0, begin + a - edits) : begin + b + edits], edits) < 0 for a, b, edits in above[:-1]):
                     continue
-                item = self.items[k][1]
-                got = 0
-                for a, b, edits in above:
-                    got = myers(item[a:b], text[max(0, begin + a - edits) : begin + b + edits], edits)
-                    if got < 0:
-                        break
+                low, high = max(0, begin - 3 * most), min(len(text), begin + len(item) + 3 * most)
+                got = myers(item, text[low:high], most) if most else 0
+                seen.setdefault(k, []).append((low, high))
                 if got >= 0:
                     best[k] = min(got, best.get(k, got))
-                    seen[k] = begin + self.items[k][2]  # the other pieces of this place are no news
-        return sorted((self.items[k][0], edits) for k, edits in best.items())
+        return sorted(((self.items[k][0], edits) for k, edits in best.items()), key=lambda x: (x[0] is not None, x))
 
 
-def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per document and item that it holds: doc_id, item_id, edits.
+_last: tuple[str, Matcher] | None = None
 
-    An item is held if some part of the text, both normalised, is within ERROR_RATE edits a character. The test items'
-    size is measured first; beyond PASS_CHARS they are searched for in several passes over the documents. Null and empty
-    texts and items match nothing. A null item id comes back as null. Rows that repeat an id are searched each. Other
-    columns aren't looked at. An empty table gives no rows.
-    """
-    rows = docs.select(ids(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    wanted = items.select(ids(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).filter("text IS NOT NULL").distinct()
+
+def _matcher(held) -> Matcher:
+    """The process's matcher for the items that were broadcast last: tasks of one pass share it."""
+    global _last
+    name, items = held.value
+    if _last is None or _last[0] != name:
+        _last = name, Matcher(items)
+    return _last[1]
+
+
+def _passes(items: DataFrame, item_col: str, item_text_col: str) -> Iterator:
+    """The items in broadcasts of about PASS_CHARS characters. Each is released when the next is asked for."""
+    sc = items.sparkSession.sparkContext
+    wanted = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).filter("text IS NOT NULL").distinct()
     chars = wanted.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-chars // PASS_CHARS))
-    out = None
     for k in range(passes):
         part = [(r["item"], r["text"]) for r in wanted.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).collect()]
-        held = docs.sparkSession.sparkContext.broadcast(part)
+        held = sc.broadcast((uuid.uuid4().hex, part))
+        yield held, k == passes - 1
+        held.unpersist()
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(held.value)
-            for batch in batches:
-                found = [(id_, item, edits) for id_, text in zip(batch.column("id").to_pylist(), text_column(batch, "text"), strict=True) for item, edits in matcher.find(text)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], names=["id", "item", "edits"])
 
-        got = rows.mapInArrow(run, "id long, item long, edits long")
-        out = got if out is None else out.unionByName(got)
-    return out.select(back("id").alias("doc_id"), back("item").alias("item_id"), "edits", "id")
+_FOUND = "id long, text string, items array<long>, edits array<int>"
+_FOUND_ARROW = pa.schema([("id", pa.int64()), ("text", pa.string()), ("items", pa.list_(pa.int64())), ("edits", pa.list_(pa.int32()))])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, contaminated, item_ids (ascending), least_edits (null if there are none).
+def _found(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """A row for each row of docs: id, items, edits (arrays of equal length). Rows are never put together by id."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    rows = rows.withColumns({"items": F.array().cast("array<long>"), "edits": F.array().cast("array<int>")})
+    for held, last in _passes(items, item_col, item_text_col):
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, last=last) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(held)
+            for batch in sliced(batches):
+                found = [matcher.find(t) for t in text_column(batch, "text")]
+                both = [[x + [f[i] for f in got] for x, got in zip(batch.column(c).to_pylist(), found, strict=True)] for i, c in enumerate(("items", "edits"))]
+                text = pa.nulls(batch.num_rows, pa.string()) if last else batch.column("text")
+                yield pa.RecordBatch.from_arrays([batch.column("id"), text, *map(pa.array, both, _FOUND_ARROW.types[2:])], schema=_FOUND_ARROW)
 
-    Rows that repeat an id are one document here: it is contaminated if any of them is. Otherwise as find_items.
+        # a pass is over, and its broadcast can go, when its rows are written
+        rows = written(rows.mapInArrow(run, _FOUND), "matches")
+    return rows.drop("text")
+
+
+def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row per row of docs and item that it holds: doc_id, item_id, edits (the least distance to a part of the text).
+
+    An item is held if some part of the text, both normalised, is within ERROR_RATE edits a character. The test items'
+    size is measured first; beyond PASS_CHARS they are searched for in several passes over the documents, each with its
+    own broadcast and written before the next. Null and empty texts and items match nothing. A null item id comes back as
+    null. Rows that repeat an id, or have none, are searched each. Other columns aren't looked at. An empty table gives no
+    rows.
     """
-    found = find_items(docs, items, id_col, text_col).groupBy("id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.min("edits").alias("least_edits"))
-    all_ids = docs.select(ids(id_col).alias("id"))
-    joined = all_ids.join(found, "id", "left")
-    none = F.array().cast("array<long>")
-    return joined.select(back("id").alias("doc_id"), F.col("least_edits").isNotNull().alias("contaminated"), F.coalesce("item_ids", none).alias("item_ids"), "least_edits")
+    found = _found(docs, items, id_col, text_col, item_col, item_text_col)
+    return found.select(F.col("id").alias("doc_id"), F.explode(F.arrays_zip("items", "edits")).alias("x")).select("doc_id", F.col("x.items").alias("item_id"), F.col("x.edits").cast("long").alias("edits"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, contaminated, item_ids (ascending, distinct, without null), least_edits (null if there
+    are none). Rows that repeat an id, or have none, are judged each by its own text. Otherwise as find_items."""
+    found = _found(docs, items, id_col, text_col, "item_id", "text")
+    names = F.sort_array(F.array_distinct(F.filter("items", lambda x: x.isNotNull())))
+    return found.select(F.col("id").alias("doc_id"), (F.size("items") > 0).alias("contaminated"), names.alias("item_ids"), F.array_min("edits").cast("long").alias("least_edits"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no item, columns as they were."""
-    found = find_items(docs, items, id_col, text_col).select(F.col("id").alias("__id")).distinct()
-    return docs.withColumn("__id", ids(id_col)).join(found, "__id", "left_anti").drop("__id")
+    """The rows of docs that hold no item, columns as they were. Each is decided on by its own text where it is read; null
+    and empty texts stay. Beyond one pass the rows that are left are written after each."""
+    for held, last in _passes(items, "item_id", "text"):
+
+        def wanted(held=held):
+            matcher = _matcher(held)
+            return lambda texts: [not matcher.find(t) for t in texts]
+
+        docs = written(keep_rows(docs, text_col, wanted), "clean")
+    return docs

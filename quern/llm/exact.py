@@ -1,7 +1,8 @@
-"""Exact deduplication by a cuckoo filter whose hits are verified against bucketed keys."""
+"""Exact deduplication by a cuckoo filter whose hits are verified against bucketed content."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import NULL_ID, back, ids, written
+from quern.llm.common import back, ids, sliced, text_column, text_of, written
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -19,9 +20,10 @@ class CuckooIndex:
     """Live digests with insertion, deletion and exact membership.
 
     A table of buckets of four 16-bit fingerprints answers most probes; each slot also names a stored key, so that a
-    fingerprint's hit counts only if the stored digest is equal. When an insertion finds no place the number of buckets
+    fingerprint's hit counts only if the stored digest is equal and, where the entry has content, if that is equal too:
+    two contents of one digest are an error, never one group. When an insertion finds no place the number of buckets
     doubles and all live digests are placed anew from the stored keys. Deleted entries' places in the store are used
-    again. Each digest carries a payload (the id that stays, the size of its group).
+    again. Each digest carries a payload (the id that stays, the size of its group) and, if wanted, its content.
     """
 
     def __init__(self, buckets: int = 256):
@@ -29,7 +31,8 @@ class CuckooIndex:
         self.kept: list[int] = []
         self.size: list[int] = []
         self.free: list[int] = []
-        self.resizes = 0
+        self.content: dict[int, str] = {}
+        self.resizes = self.verified = 0
         self._empty(buckets)
 
     def _empty(self, buckets: int) -> None:
@@ -60,11 +63,15 @@ class CuckooIndex:
         slot = self._slot(digest)
         return None if slot < 0 else (self.kept[self.entry[slot]], self.size[self.entry[slot]])
 
-    def insert(self, digest: bytes, id_: int, count: int = 1) -> bool:
-        """True if the digest is new; otherwise its group grows and keeps the larger id."""
+    def insert(self, digest: bytes, id_: int, count: int = 1, content: str | None = None) -> bool:
+        """True if the digest is new; otherwise its group grows and keeps the larger id, if the contents are equal."""
         slot = self._slot(digest)
         if slot >= 0:
             e = self.entry[slot]
+            if content is not None and e in self.content:
+                if self.content[e] != content:
+                    raise ValueError(f"two contents have the digest {digest.hex()}")
+                self.verified += 1
             self.kept[e] = max(self.kept[e], id_)
             self.size[e] += count
             return False
@@ -76,10 +83,16 @@ class CuckooIndex:
             self.keys.append(digest)
             self.kept.append(id_)
             self.size.append(count)
+        if content is not None:
+            self.content[e] = content
         while not self._place(digest, e):
             self._resize()
         return True
 
+    def forget(self) -> None:
+        """Drop the contents; the digests stay."""
+        self.content.clear()
+
     def delete(self, digest: bytes) -> bool:
         slot = self._slot(digest)
         if slot < 0:
@@ -87,6 +100,7 @@ class CuckooIndex:
         e = self.entry[slot]
         self.prints[slot], self.entry[slot] = 0, -1
         self.keys[e] = None
+        self.content.pop(e, None)
         self.free.append(e)
         return True
 
@@ -129,46 +143,79 @@ class CuckooIndex:
 
 INDEX_SCHEMA = "digest binary, keep_id long, group_size long"
 _ARROW = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+_MET = "digest binary, keep_id long, group_size long, text string"
+_MET_ARROW = pa.schema([*_ARROW, ("text", pa.string())])
+#: Contents that an input task holds at once, in characters, and live digests of any task.
+MOST_CHARS, MOST_LIVE = 16_000_000, 200_000
+
+
+def _batches(rows: list[tuple], schema: pa.Schema, most: int = 2000) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), most):
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + most], strict=True), schema.types, strict=True)], schema=schema)
+
 
+def _met(most_chars: int, most_live: int):
+    """An input task's texts (digest, id, text), copies put together: each distinct text leaves once, with its content,
+    whenever the task holds enough."""
 
-def _indexed(flush_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = CuckooIndex()
+        index, held = CuckooIndex(), 0
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            found = list(index.items())
-            for i in range(0, len(found), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found[i : i + 20_000], strict=True), _ARROW.types, strict=True)], schema=_ARROW)
+        def rows() -> list[tuple]:
+            return [(k, index.kept[e], index.size[e], index.content[e]) for e, k in enumerate(index.keys) if k is not None]
 
-        for batch in batches:
-            for d, i, n in zip(*(batch.column(c).to_pylist() for c in ("digest", "keep_id", "group_size")), strict=True):
-                index.insert(d, i, n)
-            if flush_at and len(index) >= flush_at:
-                yield from rows()
-                index = CuckooIndex()
-        yield from rows()
+        for batch in sliced(batches):
+            for d, i, text in zip(batch.column("digest").to_pylist(), batch.column("id").to_pylist(), text_column(batch, "text"), strict=True):
+                if index.insert(d, i, 1, text):
+                    held += len(text)
+                if held >= most_chars or len(index) >= most_live:
+                    yield from _batches(rows(), _MET_ARROW, 500)
+                    index, held = CuckooIndex(), 0
+        yield from _batches(rows(), _MET_ARROW, 500)
+
+    return run
+
+
+def _indexed(most_live: int):
+    """A partition's rows (digest, keep_id, group_size, text) in order of their digests, so that a bucket's contents are at
+    hand one after the other: those of digests that have passed are dropped, and a full index is handed on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, last = CuckooIndex(), None
+        for batch in sliced(batches):
+            for d, i, n, text in zip(*(batch.column(c).to_pylist() for c in ("digest", "keep_id", "group_size")), text_column(batch, "text"), strict=True):
+                if d != last:
+                    index.forget()
+                    if len(index) >= most_live:
+                        yield from _batches(list(index.items()), _ARROW)
+                        index = CuckooIndex()
+                    last = d
+                index.insert(d, i, n, text)
+        yield from _batches(list(index.items()), _ARROW)
 
     return run
 
 
-def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(ids(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("sha"))
+def texts_by_digest(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = text_of(text_col)
+    return docs.select(ids(id_col).alias("id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
 
 
 def build_index(found: DataFrame, partitions: int) -> DataFrame:
-    """Digest index of `digests()` rows: equal texts meet first in each input task, then in their digest's partition.
+    """Digest index of rows (id, text, digest): equal texts meet first in each input task, then in their digest's partition.
 
-    A text that a third of all rows share leaves each input task as one row, so no partition gets more than one row a
-    task for it. An input task hands on what it has at 500,000 live digests; a partition holds its share of the distinct
-    digests, which more partitions make smaller.
+    Every hit, in either place, is verified against the content. A text that a third of all rows share leaves an input
+    task once each time that MOST_CHARS of distinct texts are full, so no partition gets more than a few rows a task for
+    it. A task holds MOST_LIVE digests at most, and of the second kind one content.
     """
-    rows = found.select(F.unhex("sha").alias("digest"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    met = rows.mapInArrow(_indexed(500_000), INDEX_SCHEMA)
-    return met.repartition(partitions, "digest").mapInArrow(_indexed(0), INDEX_SCHEMA)
+    met = found.select("digest", "id", "text").mapInArrow(_met(MOST_CHARS, MOST_LIVE), _MET)
+    return met.repartition(partitions, "digest").sortWithinPartitions("digest").mapInArrow(_indexed(MOST_LIVE), INDEX_SCHEMA)
 
 
 def update_index(index: DataFrame, inserts: DataFrame, deletes: DataFrame, partitions: int) -> DataFrame:
-    """The index after deleting `deletes` (digest) and then inserting `inserts` (digest, keep_id, group_size)."""
+    """The index after deleting `deletes` (digest) and then inserting `inserts` (digest, keep_id, group_size).
+
+    Null ids in the index are the smallest. A digest to delete that isn't live makes no difference."""
     none = F.lit(None).cast("long")
     moves = index.withColumn("op", F.lit(0)).unionByName(deletes.select("digest", none.alias("keep_id"), none.alias("group_size"), F.lit(1).alias("op"))).unionByName(inserts.select("digest", "keep_id", "group_size", F.lit(2).alias("op")))
 
@@ -180,9 +227,7 @@ def update_index(index: DataFrame, inserts: DataFrame, deletes: DataFrame, parti
                     live.delete(d)
                 else:
                     live.insert(d, i, n)
-        found = list(live.items())
-        for i in range(0, len(found), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found[i : i + 20_000], strict=True), _ARROW.types, strict=True)], schema=_ARROW)
+        yield from _batches(list(live.items()), _ARROW)
 
     return moves.repartition(partitions, "digest").sortWithinPartitions("op").mapInArrow(run, INDEX_SCHEMA)
 
@@ -197,23 +242,30 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = written(digests(docs, id_col, text_col), "digests")
-    index = build_index(found, partitions).select(F.lower(F.hex("digest")).alias("sha"), "keep_id", "group_size")
-    return found.join(index, "sha").select(
+    found = texts_by_digest(docs, id_col, text_col)
+    index = written(build_index(found, partitions), "index")
+    return found.select("id", "digest").join(index, "digest").select(
         back("id").alias("doc_id"),
         back("keep_id").alias("keep_id"),
         "group_size",
         (F.col("id") == F.col("keep_id")).alias("kept"),
-        F.col("sha").alias("text_sha256"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with exact copies dropped; of rows that repeat id and text, one stays. Columns as they were."""
-    gone = exact_dedup(docs, id_col, text_col).filter("kept").select(ids("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha"))
-    keyed = docs.withColumns({"__id": ids(id_col), "__sha": F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))})
+    """The documents with exact copies dropped; of rows that repeat id and text, one stays. Columns as they were.
+
+    Of a group's rows those with its largest id stay (where no row has an id, those without one): rows without an id, or
+    with one id and different texts, are told apart by their texts.
+    """
+    found = texts_by_digest(docs, id_col, text_col)
+    index = build_index(found, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    i, d = (f"{n}_{uuid.uuid4().hex}" for n in ("id", "digest"))
+    gone = written(index.select(F.col("keep_id").alias(i), F.col("digest").alias(d)), "kept")
+    keyed = docs.withColumns({i: ids(id_col), d: F.unhex(F.sha2(text_of(text_col), 256))})
     # the kept rows of a digest share one id, so a repeated row is the only way for two to remain
-    return keyed.join(gone.distinct(), ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"]).drop("__id", "__sha")
+    return keyed.join(gone, [i, d], "left_semi").dropDuplicates([i, d]).drop(i, d)
 
 
 ORACLE_SQL = """

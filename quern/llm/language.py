@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import back, ids, text_column
+from quern.llm.common import back, ids, keep_rows, sliced, text_column
 
 #: Hashed n-grams of one, two and three letters share this many places.
 PLACES = 1 << 15
@@ -22,6 +22,8 @@ LEAST_SHARE = 0.03
 PENALTY = 1.5
 ROUNDS = 15
 UNKNOWN = "und"
+#: Languages of a model at most: it is broadcast, PLACES doubles (256 KB) for each.
+MOST_LANGUAGES = 1000
 
 _LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
 _SPACE = 32
@@ -120,11 +122,12 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Count n-grams by language over all given documents. A task hands on one array of PLACES counts for each language;
-    the arrays are added up in two further steps, so no task gets more than a part of them at once."""
+    the arrays are added up in two further steps, so no task gets more than a part of them at once. More than
+    MOST_LANGUAGES names are an error: a column with that many holds something else."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), text_column(batch, "text"), strict=True):
                 if lang not in sums:
                     sums[lang] = np.zeros(PLACES, np.int64)
@@ -134,6 +137,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
         yield pa.RecordBatch.from_arrays([*got.columns, pa.array([part] * len(sums), pa.int64())], names=["lang", "counts", "part"])
 
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    names = rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if names > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: the model would be too large to broadcast")
     parts = rows.mapInArrow(run, _COUNTS + ", part long")
     some = parts.repartition(32, "lang", F.col("part") % 16).mapInArrow(_add, _COUNTS)
     found = sorted(some.repartition(4, "lang").mapInArrow(_add, _COUNTS).collect(), key=lambda r: r["lang"])
@@ -146,7 +152,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for batch in batches:
+        for batch in sliced(batches):
             got = [m.judge(t) for t in text_column(batch, "text")]
             mixes = [g[2] for g in got]
             yield pa.RecordBatch.from_arrays(
@@ -183,7 +189,19 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_share: float = 0.4) -> DataFrame:
-    """The documents with a leading language of at least `least_share`, columns as they were."""
-    found = identify(docs, id_col, text_col, lang_col)
-    gone = found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least_share)).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id")).distinct()
-    return docs.withColumn("__id", ids(id_col)).join(gone, "__id", "left_anti").drop("__id")
+    """The documents with a leading language of at least `least_share`, columns as they were.
+
+    Learned as by identify. Each row is decided on by its own text: null ids and repeated ids make no difference, null texts
+    and those without a letter go, and so does everything where nothing could be learned. An empty table gives no rows.
+    """
+    model = train(docs.filter(fold(id_col, 4) != 2), text_col, lang_col)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def wanted():
+        def judge(texts: list[str]) -> list[bool]:
+            found = (held.value.judge(t) for t in texts)
+            return [name != UNKNOWN and share >= least_share for name, share, _ in found]
+
+        return judge
+
+    return keep_rows(docs, text_col, wanted)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import NULL_ID, WordHashes, back, byte_column, ids, mix, shingle_set, sliced, words_of, written
+from quern.llm.common import WordHashes, back, byte_column, ids, keep_keyed, key_of, mix, shingle_set, sliced, text_of, words_of, written
 
 WIDTH = 5
 #: A pair of similarity 0.85 shares none of 32 bands of 5 hashes with probability 7e-9, one of 0.8 with 3e-6.
@@ -77,16 +77,16 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return keys
 
 
-_SIGNED = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("m", pa.int64()), *((f"s{i}", pa.int64()) for i in range(WORDS))])
+_SIGNED = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("m", pa.int64()), *((f"s{i}", pa.int64()) for i in range(WORDS))])
 SKETCH = [f"s{i}" for i in range(WORDS)]
-SIGNED = "id long, digest binary, n long, bands array<long>, m long, " + ", ".join(f"{c} long" for c in SKETCH)
+SIGNED = "id long, key long, digest binary, n long, bands array<long>, m long, " + ", ".join(f"{c} long" for c in SKETCH)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, known = WordHashes(), {}
     for batch in sliced(batches):
         out: list[list] = [[] for _ in _SIGNED]
-        for id_, raw in zip(batch.column("id").to_pylist(), byte_column(batch, "text"), strict=True):
+        for id_, key, raw in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), byte_column(batch, "text"), strict=True):
             words = words_of(raw)
             digest = xxhash.xxh3_128_digest(b" ".join(words)) if words else None
             row = known.get(digest)
@@ -100,7 +100,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(known) >= 4096:
                     known.clear()
                 known[digest] = row
-            for c, x in zip(out, (id_, *row), strict=True):
+            for c, x in zip(out, (id_, key, *row), strict=True):
                 c.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _SIGNED.types, strict=True)], schema=_SIGNED)
 
@@ -114,19 +114,19 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 class _Sets:
-    """Shingle sets by document, computed once while they fit."""
+    """Shingle sets by node, computed once while they fit."""
 
     def __init__(self, most: int = 4_000_000):
         self.hashes, self.sets, self.most, self.held = WordHashes(), {}, most, 0
 
-    def of(self, id_: int, raw: bytes) -> np.ndarray:
-        got = self.sets.get(id_)
+    def of(self, node: int, raw: bytes) -> np.ndarray:
+        got = self.sets.get(node)
         if got is None:
             got = shingle_set(self.hashes.of(words_of(raw)), WIDTH)
             if self.held + len(got) > self.most:
                 self.sets.clear()
                 self.held = 0
-            self.sets[id_] = got
+            self.sets[node] = got
             self.held += len(got)
         return got
 
@@ -174,7 +174,7 @@ def _wanted(percent: int):
         """The rows of a block pair that have a candidate."""
         rows = [np.unique(x[:, 1:]) for x in _candidates(table, percent)]
         rows = np.unique(np.concatenate(rows)) if rows else np.empty(0, np.int64)
-        return table.select(["bucket", "i", "j", "node"]).take(pa.array(rows, pa.int64()))
+        return table.select(["bucket", "i", "j", "node", "id", "key"]).take(pa.array(rows, pa.int64()))
 
     return run
 
@@ -225,77 +225,130 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("group")).select(F.col("u").alias("node"), "group")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, percent: int, label: str) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough."""
-    need = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    some = texts.join(need, "id", "left_semi")
-    rows = pairs.join(some.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    rows = rows.join(some.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    return written(rows.mapInArrow(_verify(percent), "a long, b long"), label)
+#: A class's row: its node, and the document that stands for it.
+_WHO = ["node", "id", "key"]
+_NODE = "node long, id long, key long"
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept. Links are pairs with 100 * |A & B| >= percent * |A | B|.
+def _texts_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, key, text) for the documents (id, key) that are wanted, repeated rows once. The same plan at every size: texts
+    cross one shuffle, by id and key, which serves the joins that follow."""
+    some = texts.join(wanted.select("id", "key").distinct().hint("merge"), ["id", "key"], "left_semi")
+    return some.dropDuplicates(["id", "key"])
 
-    Texts with the same words share one class, which one document stands for. Classes are banded by MinHash. First each
-    bucket's smallest document is held against the others, which joins most groups at a pair per document. In buckets
-    whose documents aren't one component then, all pairs of different components are gone through, in blocks and within
-    a task, so that pairs never become rows. Pairs whose Odd sketches differ in more bits than a link plausibly can are
-    left out; the others are confirmed on their full shingle sets.
 
-    Null and empty texts, and those of white space, have no shingles and link with nothing, not even each other. Rows
-    that repeat an id are one node. A null id counts as the smallest; component_id is null where it is the smallest.
-    Other columns aren't looked at. An empty table gives no rows.
+def _star_links(buckets: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links between each bucket's smallest node and its others, as a written table (a, b) of nodes."""
+    pairs = buckets.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    side = lambda x: sketches.select(*(F.col(c).alias(x + c) for c in sketches.columns))
+    bits = sum(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCH)
+    near = pairs.withColumnsRenamed({"a": "a_node", "b": "b_node"}).join(side("b_"), "b_node").join(side("a_"), "a_node")
+    near = written(near.filter(bits <= most_bits(F.greatest("a_m", "b_m"), percent)).select(*(x + c for x in ("a_", "b_") for c in _WHO)), "pairs")
+    ends = near.select(F.col("a_id").alias("id"), F.col("a_key").alias("key")).unionByName(near.select(F.col("b_id").alias("id"), F.col("b_key").alias("key")))
+    some = _texts_of(ends, texts)
+    end = lambda x: some.select(F.col("id").alias(f"{x}_id"), F.col("key").alias(f"{x}_key"), F.col("text").alias(f"t{x}"))
+    rows = near.hint("merge").join(end("b"), ["b_id", "b_key"]).hint("merge").join(end("a"), ["a_id", "a_key"])
+    rows = rows.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "ta", "tb")
+    return written(rows.mapInArrow(_verify(percent), "a long, b long"), "links")
+
+
+def _dealt(buckets: DataFrame, groups: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The rows of buckets whose nodes aren't one component yet, dealt to pairs of blocks (bucket, i, j) as a written table.
+
+    A bucket of up to BLOCK nodes is one block. In a larger one, nodes are first put into classes by the logarithm of their
+    sets' sizes, a link's ratio wide: a link's ends are in one class or in neighbouring ones, so only blocks of those meet.
+    Blocks are numbered (class << 32 | place); a bucket's classes are fewer than 140, so its list of them is short.
     """
-    texts = docs.select(ids(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    step = float(np.log(100 / percent)) + 1e-9
+    placed = buckets.filter("size > 2").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    kind = F.when(F.col("size") > BLOCK, F.floor(F.log("n") / step)).otherwise(0).cast("long")
+    placed = placed.select("bucket", "node", "group", kind.alias("kind"))
+    kinds = placed.groupBy("bucket", "kind").agg(F.count("*").alias("size"), F.min("group").alias("low"), F.max("group").alias("high"))
+    cells = F.map_from_entries(F.collect_list(F.struct("kind", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))))
+    # written, so that the planner sees its size: it is broadcast only if that is small, and otherwise hot buckets are split
+    mixed = written(kinds.groupBy("bucket").agg(F.min("low").alias("low"), F.max("high").alias("high"), cells.alias("cells")).filter("low != high").select("bucket", "cells"), "mixed")
+    dealt = placed.join(mixed, "bucket")
+    number = lambda k: F.coalesce(F.try_element_at("cells", k), F.lit(0).cast("long"))
+    own = F.pmod(F.xxhash64("node"), number(F.col("kind")))
+    name = lambda k, at: F.shiftleft(k, 32).bitwiseOR(at)
+
+    def meets(kind: Column, pair) -> Column:
+        return F.transform(F.filter(F.sequence(F.lit(0).cast("long"), number(kind)), lambda m: m < number(kind)), pair)
+
+    def row(i: Column, j: Column, side: Column) -> Column:
+        return F.struct(i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+
+    here, up, down = F.col("kind"), F.col("kind") + 1, F.col("kind") - 1
+    mine = name(here, F.col("own"))
+    same = meets(here, lambda m: row(F.least(mine, name(here, m)), F.greatest(mine, name(here, m)), F.when(m == F.col("own"), 0).when(m > F.col("own"), 1).otherwise(2)))
+    above = meets(up, lambda m: row(mine, name(up, m), F.lit(1)))
+    below = meets(down, lambda m: row(name(down, m), mine, F.lit(2)))
+    dealt = dealt.withColumn("own", own).withColumn("at", F.explode(F.concat(same, above, below)))
+    dealt = dealt.select("bucket", "at.i", "at.j", "at.side", "node", "group")
+    return written(dealt.join(sketches, "node"), "open")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """id, key, n, component (an id) and kept for each row of docs; see near_dedup."""
+    texts = docs.select(ids(id_col).alias("id"), key_of(text_col).alias("key"), text_of(text_col).alias("text"))
     signed = written(texts.mapInArrow(_sign, SIGNED), "signed")
-    classes = signed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"))
-    joined = signed.join(classes, "digest", "left")
-    members = written(joined.select("id", "n", F.coalesce("rep", "id").alias("rep"), F.when(F.col("rep") == F.col("id"), F.col("bands")).alias("bands"), "m", *SKETCH), "members")
-    reps = members.filter("bands IS NOT NULL").dropDuplicates(["id"])
-    sketches = written(reps.select("id", "m", "bands", *SKETCH), "sketches")
-
-    banded = reps.select(F.col("id").alias("node"), F.explode("bands").alias("bucket"))
+    # a node's number follows the order of (id, key), so the smallest node of a component has its smallest id
+    classes = signed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "key")).alias("rep"))
+    classes = classes.select("digest", F.col("rep.id").alias("rep_id"), F.col("rep.key").alias("rep_key")).sort("rep_id", "rep_key")
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    joined = signed.filter("digest IS NOT NULL").join(classes, "digest")
+    stands = (F.col("id") == F.col("rep_id")) & (F.col("key") == F.col("rep_key"))
+    members = written(joined.select("id", "key", "n", "node", stands.alias("stands"), F.when(stands, F.col("bands")).alias("bands"), "m", *SKETCH), "members")
+    reps = members.filter("stands").dropDuplicates(["node"])
+    sketches = written(reps.select(*_WHO, "m", "bands", *SKETCH), "sketches")
+
+    banded = reps.select("node", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
     buckets = written(banded.join(shared, "bucket"), "buckets")
 
-    pairs = buckets.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    left = sketches.select(F.col("id").alias("a"), F.col("m").alias("ma"), *(F.col(c).alias(f"a{c}") for c in SKETCH))
-    right = sketches.select(F.col("id").alias("b"), F.col("m").alias("mb"), *(F.col(c).alias(f"b{c}") for c in SKETCH))
-    bits = sum(F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in SKETCH)
-    near = pairs.join(right, "b").join(left, "a").filter(bits <= most_bits(F.greatest("ma", "mb"), percent)).select("a", "b")
-    near = written(near, "pairs")
-    need = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
-    some = texts.join(need.hint("merge"), "id", "left_semi")  # the same plan at every size: texts cross one shuffle
-    rows = near.hint("merge").join(some.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").hint("merge").join(some.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    links = written(rows.select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long"), "links")
+    links = _star_links(buckets, sketches, texts, percent)
     groups = components(links)
-
-    placed = buckets.filter("size > 2").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low != high").select("bucket")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = placed.join(mixed, "bucket").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "group", side.alias("side"))
-    dealt = written(dealt.join(sketches.withColumnRenamed("id", "node"), "node"), "open")
-    wanted = written(dealt.groupBy("bucket", "i", "j").applyInArrow(_wanted(percent), "bucket long, i int, j int, node long"), "wanted")
+    dealt = _dealt(buckets, groups, sketches, percent)
+    wanted = written(dealt.groupBy("bucket", "i", "j").applyInArrow(_wanted(percent), f"bucket long, i long, j long, {_NODE}"), "wanted")
     if not wanted.isEmpty():
-        some = texts.withColumnRenamed("id", "node").join(wanted.select("node").distinct().hint("merge"), "node", "left_semi")
-        rows = dealt.join(wanted, ["bucket", "i", "j", "node"], "left_semi").hint("merge").join(some, "node")
+        rows = dealt.join(wanted.select("bucket", "i", "j", "node"), ["bucket", "i", "j", "node"], "left_semi")
+        rows = rows.hint("merge").join(_texts_of(wanted, texts), ["id", "key"])
         more = rows.groupBy("bucket", "i", "j").applyInArrow(_joined(percent), "a long, b long")
         groups = components(links.unionByName(written(more, "links")))
 
-    out = members.join(groups.select(F.col("node").alias("rep"), "group"), "rep", "left")
-    return out.select(back("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("group", "rep").alias("c"), "id").select(
-        "doc_id", "n_shingles", back("c").alias("component_id"), (F.col("c") == F.col("id")).alias("kept")
-    )
+    names = classes.select(F.col("node").alias("group"), F.col("rep_id").alias("least"))
+    groups = groups.join(names, "group")
+    out = members.join(groups, "node", "left").join(classes.select("node", "rep_id"), "node")
+    out = out.select("id", "key", "n", F.coalesce("least", "rep_id").alias("component"), (F.col("stands") & (F.coalesce("group", "node") == F.col("node"))).alias("kept"))
+    alone = signed.filter("digest IS NULL").select("id", "key", "n", F.col("id").alias("component"), F.lit(True).alias("kept"))
+    return out.unionByName(alone)
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept. Links are pairs with 100 * |A & B| >= percent * |A | B|.
+
+    Texts with the same words share one class, which the document with the smallest id stands for. Classes are banded by
+    MinHash. First each bucket's smallest node is held against the others, which joins most groups at a pair per document.
+    In buckets whose nodes aren't one component then, all pairs of different components are gone through, in blocks and
+    within a task, so that pairs never become rows. Pairs whose Odd sketches differ in more bits than a link plausibly can
+    are left out; the others are confirmed on their full shingle sets.
+
+    Null and empty texts, and those of white space, have no shingles and link with nothing, not even each other. Rows are
+    told apart by their id and text: several rows without an id, or with one id and different texts, are documents of their
+    own, and only rows that repeat both are one. A null id counts as the smallest; component_id is null where it is the
+    smallest. kept holds for the document that stands for the component, and for rows that repeat it. Other columns aren't
+    looked at. An empty table gives no rows.
+    """
+    out = _grouped(docs, id_col, text_col, percent)
+    return out.select(back("id").alias("doc_id"), F.col("n").alias("n_shingles"), back("component").alias("component_id"), "kept")
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """The documents that stand for their group, columns as they were."""
-    kept = near_dedup(docs, id_col, text_col, percent).filter("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id")).distinct()
-    return docs.withColumn("__id", ids(id_col)).join(kept, "__id", "left_semi").drop("__id")
+    """The documents that stand for their group, columns as they were; documents are told apart as by near_dedup.
+
+    A filter of a corpus takes a similarity of 0.8 or more as a copy, unless the caller says otherwise.
+    """
+    return keep_keyed(docs, _grouped(docs, id_col, text_col, percent).filter("kept"), id_col, text_col)
 
 
 ORACLE_SQL = r"""
