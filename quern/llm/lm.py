@@ -11,12 +11,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import WordHashes, back, byte_column, filesystem, ids, mix, new_folder, put_file, sliced, words_of, written
+from quern.llm.common import WordHashes, back, byte_column, filesystem, ids, mix, new_folder, put_named, sliced, text_of, words_of, written
 from quern.llm.language import fold
 
 #: Counts are held as levels: up to the first number a level for each count, beyond it levels that grow by the second.
-SCALES = {1: (16, 1.06), 2: (4, 1.25), 3: (16, 1.06)}
-BITS_PER_ITEM, PROBES = 14, 5
+SCALES = {1: (64, 1.01), 2: (32, 1.03), 3: (256, 1.01)}
+BITS_PER_ITEM, PROBES = 20, 8
 #: Exact counts of the commonest words that are broadcast; those of other words come from a join.
 MOST_EXACT = 1_000_000
 #: What is taken off a bigram's count for words not yet seen after its first word.
@@ -25,6 +25,8 @@ DISCOUNT = 0.75
 LEAST_UNIGRAM = 0.02
 #: Bytes of text after which a block of documents is full. A block's n-grams are counted and probed once each.
 BLOCK_BYTES = 1_500_000
+#: Blocks whose n-grams of one order a task gets, about: buckets and tasks become more with the blocks.
+BLOCKS_A_BUCKET = 12
 
 END = np.uint64(0x5A17E4D30F6B92C1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -34,11 +36,16 @@ _LOW = np.uint64(0xFFFFFFFF)
 
 
 def context_of(words: np.ndarray) -> np.ndarray:
-    return mix(words * np.uint64(0xD6E8FEB86659FD93)) & _LOW
+    """The upper half of the word's hash: a word and what is known of the words after it have the same bucket."""
+    return words >> np.uint64(32)
+
+
+def context_key(context: np.ndarray) -> np.ndarray:
+    return (context << np.uint64(32)) | (mix(context) & _LOW)
 
 
 def bigrams(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The pair's hash in the upper half, which deals pairs of one context to all buckets; the context's in the lower."""
+    """The pair's hash in the upper half, which deals pairs of one context to all buckets; the context in the lower."""
     context = context_of(before)
     return (mix(context + words * np.uint64(0xA0761D6478BD642F)) & ~_LOW) | context
 
@@ -70,24 +77,28 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(block_bytes: int):
     """A task's documents (id, text_hash, trained, text) in blocks, a row each."""
-    held, room, n = [], BLOCK_BYTES, 0
 
-    def row() -> pa.RecordBatch:
-        i, h, trained, raws = zip(*held, strict=True)
-        got = (TaskContext.get().partitionId() << 32 | n, np.array(i, "<i8"), np.array(h, "<i8"), np.array(trained, bool), np.array([len(r) for r in raws], "<u4"))
-        return _rows([(got[0], *(x.tobytes() for x in got[1:]), b"".join(raws))], _PACKED_ARROW).to_batches()[0]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, room, n = [], block_bytes, 0
+
+        def row() -> pa.RecordBatch:
+            i, h, trained, raws = zip(*held, strict=True)
+            got = (TaskContext.get().partitionId() << 32 | n, np.array(i, "<i8"), np.array(h, "<i8"), np.array(trained, bool), np.array([len(r) for r in raws], "<u4"))
+            return _rows([(got[0], *(x.tobytes() for x in got[1:]), b"".join(raws))], _PACKED_ARROW).to_batches()[0]
+
+        for batch in sliced(batches):
+            for x in zip(*(batch.column(c).to_pylist() for c in ("id", "text_hash", "trained")), byte_column(batch, "text"), strict=True):
+                held.append(x)
+                room -= len(x[3])
+                if room <= 0:
+                    yield row()
+                    held, room, n = [], block_bytes, n + 1
+        if held:
+            yield row()
 
-    for batch in sliced(batches):
-        for x in zip(*(batch.column(c).to_pylist() for c in ("id", "text_hash", "trained")), byte_column(batch, "text"), strict=True):
-            held.append(x)
-            room -= len(x[3])
-            if room <= 0:
-                yield row()
-                held, room, n = [], BLOCK_BYTES, n + 1
-    if held:
-        yield row()
+    return run
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -121,10 +132,7 @@ def _cut(hashes: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
 
 
 def _counted(bits: int):
-    """A block's distinct n-grams, sorted, with their counts in its training texts, in a row for each order and bucket.
-
-    Rows of SEEN ask for the contexts' counts of the block's words and have no counts of their own.
-    """
+    """A block's distinct n-grams, sorted, with their counts in its training texts, in a row for each order and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _Tokens()
@@ -139,8 +147,6 @@ def _counted(bits: int):
                     hashes, at = np.unique(all_, return_inverse=True)
                     counts = np.bincount(at, counts_in, len(hashes)).astype("<u4")
                     yield from _rows([(order, b, block, _steps(hashes[x:y]), _planes(counts[x:y])) for b, x, y in _cut(hashes, bits)], _BLOCK_ARROW).to_batches()
-                asked = np.unique(mix(context_of(ones)))
-                yield from _rows([(SEEN, b, block, _steps(asked[x:y]), None) for b, x, y in _cut(asked, bits)], _BLOCK_ARROW).to_batches()
 
     return run
 
@@ -165,14 +171,15 @@ def count_at(level: np.ndarray, gram: int) -> np.ndarray:
     return count / 4 if gram == SEEN else count
 
 
-def _merge(table: pa.Table) -> pa.Table:
+def _merge(table: pa.Table, bits_per_item: int) -> pa.Table:
     """One bucket's counts added up, with how many n-grams are at each level, and each block's levels from the bucket's
-    segment of the filter."""
+    segment of the filter. A block's row for words also has their places among the bucket's, of which those that no
+    training text holds have a count of 0."""
     order, bucket = table.column("gram")[0].as_py(), table.column("bucket")[0].as_py()
     blocks, tallies = table.column("block").to_pylist(), table.column("counts").to_pylist()
     parts = [_of_steps(h) for h in table.column("hashes").to_pylist()]
     hashes = np.concatenate(parts)
-    counts = np.concatenate([np.zeros(len(h), np.int64) if n is None else _of_planes(n, "<i8" if order == SEEN else "<u4").astype(np.int64) for h, n in zip(parts, tallies, strict=True)])
+    counts = np.concatenate([_of_planes(n, "<u4") for n in tallies]).astype(np.int64)
     by = np.argsort(hashes, kind="stable")
     hashes = hashes[by]
     new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
@@ -180,51 +187,69 @@ def _merge(table: pa.Table) -> pa.Table:
     at = np.empty(len(by), np.int64)
     at[by] = np.cumsum(new) - 1
     hashes, counts = hashes[starts], np.add.reduceat(counts[by], starts)
-    total = int(counts.sum())
-    keep = counts > 0
-    level = levels(counts[keep], order)
-    bits = segment(hashes[keep], level, order)
+    total, level = int(counts.sum()), levels(counts, order)
+    bits = segment(hashes, level, bits_per_item)
     # what several blocks ask for is probed once
-    got = probe(bits, np.full(len(hashes), 8 * len(bits), np.uint64), np.zeros(len(hashes), np.uint64), hashes, order).astype("<u2")
-    rows = [(order, bucket, None, _steps(hashes[keep]), _planes(counts[keep].astype("<i8")), total, int(keep.sum()), np.bincount(level).tolist(), None)]
+    got = probe(bits, np.full(len(hashes), 8 * len(bits), np.uint64), np.zeros(len(hashes), np.uint64), hashes).astype("<u2")
+    keep = counts > 0 if order == BIGRAM else np.ones(len(counts), bool)
+    rows = [(order, bucket, None, _steps(hashes[keep]), _planes(counts[keep].astype("<i8")), total, int((counts > 0).sum()), np.bincount(level).tolist(), None)]
     ends = np.cumsum([len(h) for h in parts]).tolist()
     for block, x, y in zip(blocks, [0, *ends], ends):
-        if block is not None:
-            rows.append((order, bucket, block, None, None, None, None, None, _planes(got[at[x:y]])))
+        places = _planes(np.diff(at[x:y], prepend=0).astype("<u4")) if order == UNIGRAM else None
+        rows.append((order, bucket, block, places, None, None, None, None, _planes(got[at[x:y]])))
     return _rows(rows, _MERGED_ARROW)
 
 
-def _merge_words(table: pa.Table) -> pa.Table:
-    """As _merge, but what asks for contexts is handed on: their counts come from those of the bigrams."""
-    if table.column("gram")[0].as_py() != SEEN:
-        return _merge(table)
-    return _rows([(*row, None, None, None, None) for row in zip(*(table.column(c).to_pylist() for c in _BLOCK_ARROW.names), strict=True)], _MERGED_ARROW)
+def _merge_contexts(table: pa.Table, bits_per_item: int) -> pa.Table:
+    """One bucket's contexts with their discounted counts added up, and the levels of each block's words as contexts.
+
+    Rows of SEEN have counts; the row of words without a block has the bucket's words, those with one a block's places
+    among them.
+    """
+    kinds, blocks, raws, tallies = (table.column(c).to_pylist() for c in ("gram", "block", "hashes", "counts"))
+    seen = [(_of_steps(h), _of_planes(n, "<i8")) for k, h, n in zip(kinds, raws, tallies, strict=True) if k == SEEN]
+    hashes = np.concatenate([np.empty(0, np.uint64), *(h for h, _ in seen)])
+    hashes, at = np.unique(hashes, return_inverse=True)
+    counts = np.bincount(at, np.concatenate([np.empty(0, np.int64), *(n for _, n in seen)]), len(hashes)).astype(np.int64)
+    level, bucket = levels(counts, SEEN), table.column("bucket")[0].as_py()
+    bits = segment(hashes, level, bits_per_item)
+    rows = [(SEEN, bucket, None, _steps(hashes), _planes(counts.astype("<i8")), int(counts.sum()), len(hashes), np.bincount(level).tolist(), None)]
+    words = next((_of_steps(h) for k, b, h in zip(kinds, blocks, raws, strict=True) if k == UNIGRAM and b is None), np.empty(0, np.uint64))
+    keys, which = np.unique(context_key(context_of(words)), return_inverse=True)
+    got = probe(bits, np.full(len(keys), 8 * len(bits), np.uint64), np.zeros(len(keys), np.uint64), keys).astype("<u2")[which]
+    for k, block, raw in zip(kinds, blocks, raws, strict=True):
+        if k == UNIGRAM and block is not None:
+            rows.append((SEEN, bucket, block, None, None, None, None, None, _planes(got[np.cumsum(_of_planes(raw, "<u4"), dtype=np.int64)])))
+    return _rows(rows, _MERGED_ARROW)
 
 
 def count(blocks: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """The n-gram counts of all blocks' training texts, a row for each order and bucket; what the filter has for each
-    block's n-grams (block, gram, bucket, levels); and the bits that number a bucket."""
-    bits = max(2, (int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    words = written(blocks.select("block", "trained", "sizes", "texts").mapInArrow(_counted(bits), _BLOCK).groupBy("gram", "bucket").applyInArrow(_merge_words, _MERGED), "counts", "zstd")
+    block's n-grams (block, gram, bucket, levels); and the bits that number a bucket.
+
+    The number of buckets and of tasks follows the number of blocks, so that neither a row nor a task grows with the
+    corpus."""
+    parts = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks.count() // BLOCKS_A_BUCKET)
+    bits, item_bits = max(2, (parts - 1).bit_length()), BITS_PER_ITEM
+    rows = blocks.select("block", "trained", "sizes", "texts").mapInArrow(_counted(bits), _BLOCK)
+    words = written(rows.repartition(parts, "gram", "bucket").groupBy("gram", "bucket").applyInArrow(lambda t: _merge(t, item_bits), _MERGED), "counts", "zstd")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The discounted counts of a task's bigrams by context, in blocks like those of n-grams."""
+        """The discounted counts of a task's bigrams by context, in rows by bucket."""
         for batch in batches:
             for raw, n in zip(batch.column("hashes").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 context, at = np.unique(_of_steps(raw) & _LOW, return_inverse=True)
                 if not len(context):
                     continue
                 kept = np.rint(4 * np.bincount(at, _of_planes(n, "<i8") - DISCOUNT)).astype("<i8")
-                hashes = mix(context)
-                by = np.argsort(hashes)
-                hashes, kept = hashes[by], kept[by]
+                hashes = context_key(context)
                 yield from _rows([(SEEN, b, None, _steps(hashes[x:y]), _planes(kept[x:y])) for b, x, y in _cut(hashes, bits)], _BLOCK_ARROW).to_batches()
 
     of_all, of_block = F.col("block").isNull(), F.col("block").isNotNull()
     seen = words.filter((F.col("gram") == BIGRAM) & of_all).select("hashes", "counts").mapInArrow(contexts, _BLOCK)
-    asked = words.filter(F.col("gram") == SEEN).select("gram", "bucket", "block", "hashes", "counts")
-    found = written(seen.unionByName(asked).groupBy("gram", "bucket").applyInArrow(_merge, _MERGED), "contexts", "zstd")
-    words = words.filter(F.col("gram") != SEEN).unionByName(found)
+    asked = words.filter(F.col("gram") == UNIGRAM).select("gram", "bucket", "block", "hashes", F.lit(None).cast("binary").alias("counts"))
+    found = written(seen.unionByName(asked).repartition(parts, "bucket").groupBy("bucket").applyInArrow(lambda t: _merge_contexts(t, item_bits), _MERGED), "contexts", "zstd")
+    words = words.unionByName(found)
     return words.filter(of_all).drop("block", "levels"), words.filter(of_block).select("block", "gram", "bucket", "levels"), bits
 
 
@@ -238,10 +263,10 @@ def _position(keys: np.ndarray, probe: int, sizes: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(32)) * sizes) >> np.uint64(32)
 
 
-def segment(hashes: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
+def segment(hashes: np.ndarray, level: np.ndarray, bits_per_item: int = BITS_PER_ITEM) -> np.ndarray:
     """A bucket's part of the filter: each n-gram is entered once for each of its levels."""
     q = 1
-    size = max(64, -(-int(level.sum()) * BITS_PER_ITEM // 8) * 8)
+    size = max(64, -(-int(level.sum()) * bits_per_item // 8) * 8)
     bits = np.zeros(size, bool)
     while True:
         keep = level >= q
@@ -254,7 +279,7 @@ def segment(hashes: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
         q += 1
 
 
-def probe(bits: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, order: int) -> np.ndarray:
+def probe(bits: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Levels by repeated membership probes: level after level until the filter says no."""
     level, live, q = np.zeros(len(hashes), np.int64), np.arange(len(hashes)), 1
     while len(live):
@@ -271,7 +296,7 @@ def probe(bits: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, hashes: np.n
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for order, bucket, raw, n in zip(*(batch.column(c).to_pylist() for c in ("gram", "bucket", "hashes", "counts")), strict=True):
-            bits = segment(_of_steps(raw), levels(_of_planes(n, "<i8"), order), order)
+            bits = segment(_of_steps(raw), levels(_of_planes(n, "<i8"), order))
             yield pa.RecordBatch.from_pydict({"gram": pa.array([order], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
 
@@ -304,7 +329,7 @@ class Model:
 
     def counts(self, hashes: np.ndarray, order: int) -> np.ndarray:
         bucket = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-        return count_at(probe(self.filter[order], self.size[order][bucket], self.offset[order][bucket], hashes, order), order)
+        return count_at(probe(self.filter[order], self.size[order][bucket], self.offset[order][bucket], hashes), order)
 
 
 def probability(context: np.ndarray, seen: np.ndarray, both: np.ndarray, word: np.ndarray, single: np.ndarray) -> np.ndarray:
@@ -312,15 +337,15 @@ def probability(context: np.ndarray, seen: np.ndarray, both: np.ndarray, word: n
     context, which refutes most of the filter's false answers."""
     both = np.where((seen > 0) & (word > 0), np.minimum(both, np.minimum(word, seen + DISCOUNT)), 0)
     context = np.maximum(context, seen)
-    rest = np.where(context > 0, np.maximum(LEAST_UNIGRAM, 1 - seen / np.maximum(context, 1)), 1.0)
-    return (1 - LEAST_UNIGRAM) * np.maximum(both - DISCOUNT, 0) / np.maximum(context, 1) + rest * single
+    known = (1 - LEAST_UNIGRAM) / np.maximum(context, 1)
+    return known * np.maximum(both - DISCOUNT, 0) + (1 - known * seen) * single
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, trained) -> DataFrame:
     """The documents in blocks, as a written table; trained says of which documents n-grams are counted."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = text_of(text_col)
     rows = docs.select(ids(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), trained.alias("trained"), text.alias("text"))
-    return written(rows.mapInArrow(_packed, _PACKED), "blocks", "zstd")
+    return written(rows.mapInArrow(_packed(BLOCK_BYTES), _PACKED), "blocks", "zstd")
 
 
 def commonest(table: DataFrame) -> tuple[Common, int]:
@@ -368,7 +393,7 @@ def _put_levels(uri: str):
             parts[order].append(_of_planes(raw, "<u2"))
         joined = [np.concatenate([np.empty(0, "<u2"), *parts[o]]) for o in SCALES]
         raw = np.array([len(x) for x in joined], "<u8").tobytes() + _planes(np.concatenate(joined))
-        put_file(f"{uri}/{block}", zstandard.ZstdCompressor().compress(raw))
+        put_named(f"{uri}/{block}", zstandard.ZstdCompressor().compress(raw))
         return pa.table({"block": pa.array([block], pa.int64())})
 
     return run
@@ -376,7 +401,7 @@ def _put_levels(uri: str):
 
 def _levels(uri: str, block: int) -> dict[int, np.ndarray]:
     fs, path = filesystem(f"{uri}/{block}")
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path, compression=None) as f:
         raw = zstandard.ZstdDecompressor().decompress(f.read())
     ends = np.cumsum(np.frombuffer(raw, "<u8", len(SCALES))).tolist()
     all_ = _of_planes(raw[8 * len(SCALES) :], "<u2").astype(np.int64)
@@ -404,12 +429,11 @@ def _scored(held, uri: str):
                 known = common.exact(words)
                 # log10((c + 1) / (N + V + 1)) of the common words
                 base = np.where(known >= 0, np.log10(np.maximum(known, 0) + 1.0) - room, 0.0)[at]
-                asked, asked_at = np.unique(mix(context_of(words)), return_inverse=True)
                 pairs, pair_at = np.unique(bigrams(before, all_), return_inverse=True)
-                if [len(words), len(pairs), len(asked)] != [len(found[o]) for o in (UNIGRAM, BIGRAM, SEEN)]:
+                if [len(words), len(pairs), len(words)] != [len(found[o]) for o in (UNIGRAM, BIGRAM, SEEN)]:
                     raise ValueError(f"block {block}: levels of other n-grams")
                 ones = count_at(found[UNIGRAM], UNIGRAM)
-                after = count_at(found[SEEN], SEEN)[asked_at]
+                after = count_at(found[SEEN], SEEN)
                 single = (ones + 1) / (common.total + common.distinct + 1.0)
                 # the word before is the one at the place before; the start is the end's hash
                 end = np.searchsorted(words, END)
@@ -453,10 +477,12 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Counts come from all documents outside the held-out fold. score adds up log10 of
-    max(0, c(u v) - DISCOUNT) / c(u) + (1 - s(u) / c(u)) * p(v) with p(v) = (c(v) + 1) / (N + V + 1) and s(u) what the
-    first term adds up to over all v, all counts read from the filter; the start of a text counts as an end. base_score has exact counts: those of the MOST_EXACT commonest
-    words are broadcast, the others' are joined to the documents that hold them. Words are told apart by 64-bit hashes.
+    Counts come from all documents outside the held-out fold; all of them are in the filter, those of 1 too. score adds up
+    log10 of l * max(0, c(u v) - DISCOUNT) / c(u) + (1 - l * s(u) / c(u)) * p(v), where l is 1 - LEAST_UNIGRAM,
+    p(v) = (c(v) + 1) / (N + V + 1) and s(u) what c(u v) - DISCOUNT adds up to over all v; all counts are read from the
+    filter, c(u) as s(u) at least and c(u v) as the lesser of it, c(v) and s(u) + DISCOUNT at most. The start of a text
+    counts as an end. base_score has exact counts: those of the MOST_EXACT commonest words are broadcast, the others' are
+    joined to the documents that hold them. Words are told apart by 64-bit hashes, contexts by 32 bits of them.
 
     Null and empty texts are the end alone. Documents with a null id aren't held out. Rows that repeat an id are scored
     each. Other columns aren't looked at. An empty table gives no rows. The filter is never in one place: each block's
@@ -471,7 +497,7 @@ def score_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     held = docs.sparkSession.sparkContext.broadcast(model)
     scored = written(blocks.drop("trained").mapInArrow(_scored(held, uri), _SCORED), "scored")
     rare = scored.filter(F.size("rare") > 0).select("id", "text_hash", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("id", "text_hash", F.col("x.rare").alias("h"), F.col("x.times").alias("n")).distinct()
-    words = table.filter(F.col("gram") == UNIGRAM).select("hashes", "counts").mapInArrow(_spread, "h long, c long").filter(F.col("c") < cut)
+    words = table.filter(F.col("gram") == UNIGRAM).select("hashes", "counts").mapInArrow(_spread, "h long, c long").filter((F.col("c") > 0) & (F.col("c") < cut))
     room = float(np.log10(model.total + model.distinct + 1.0))
     log = F.log10(F.coalesce("c", F.lit(0)) + 1.0) - F.lit(room)
     joined = rare.join(words, "h", "left").groupBy("id", "text_hash").agg(F.sum(F.col("n") * log).alias("rare_score"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_rare"))
