@@ -121,7 +121,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     """Write the documents' ids in ascending order of id and return a row for each file: part, file, path, documents, tokens.
 
     A range partition writes a new file whenever it holds `tokens_per_file` ids, so a task's memory doesn't follow the
-    size of its partition. Files are moved into place whole, under names that a retried task uses again.
+    size of its partition. Each attempt of a task writes files of its own; only those of finished tasks are named in the result.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -139,7 +139,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
             nonlocal made, size
             path = f"{folder}/part-{part:06d}-{made:05d}.dac"
             values = np.frombuffer(b"".join(held), "<u4")
-            put_file(path, to_bytes(np.array(names, np.int64), np.array([len(x) // 4 for x in held], np.int64), values))
+            path = put_file(path, to_bytes(np.array(names, np.int64), np.array([len(x) // 4 for x in held], np.int64), values))
             row = pa.RecordBatch.from_pydict({"part": [part], "file": [made], "path": [path], "documents": [len(names)], "tokens": [len(values)]})
             made, size = made + 1, 0
             held.clear()

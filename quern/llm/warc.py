@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -17,45 +18,59 @@ from quern.llm.common import back, filesystem, ids, new_folder, put_file, writte
 #: Magic number of the skippable frame that holds an archive's dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
 DICTIONARY_BYTES = 65_536
-#: A dictionary is trained on records of at most this many bytes in all, spread evenly over the archive.
-SAMPLE_BYTES = 2_000_000
+#: A dictionary is trained on pieces of records of about this many bytes in all, spread evenly over the archive.
+SAMPLE_BYTES, PIECE_BYTES = 2_000_000, 65_536
 ARCHIVE_BYTES = 32_000_000
 LEVEL = 3
 
 
 def train(records: list[bytes]) -> bytes:
-    """A dictionary of the archive's records; empty if they are too few to train one."""
+    """A dictionary of the archive's records. Where they are too few or too unlike to train one, it is a dictionary of raw
+    content: pieces of them, a tenth of their bytes or a record's head at least."""
     total = sum(map(len, records))
-    step = max(1, -(-total // SAMPLE_BYTES))
-    samples = [r[:100_000] for r in records[::step]]
-    if len(samples) < 8 or sum(map(len, samples)) < 20_000:
-        return b""
-    try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 10), samples, k=512, d=8).as_bytes()
-    except zstandard.ZstdError:  # too little that repeats
-        return b""
+    pieces = [r[i : i + PIECE_BYTES] for r in records for i in range(0, len(r), PIECE_BYTES)]
+    samples = pieces[:: max(1, -(-total // SAMPLE_BYTES))]
+    size = min(DICTIONARY_BYTES, max(512, sum(map(len, samples)) // 10))
+    if len(samples) >= 8:
+        try:
+            return zstandard.train_dictionary(size, samples, k=512, d=8).as_bytes()
+        except zstandard.ZstdError:  # too little that repeats
+            pass
+    each = max(512, size // max(1, len(samples)))
+    return b"".join(s[:each] for s in samples)[:size]
 
 
 def to_archive(records: list[bytes]) -> bytes:
     """The archive's bytes: the dictionary in a leading skippable frame, then a frame for each record."""
     raw = train(records)
     lead = struct.pack("<II", DICTIONARY_FRAME, len(raw)) + raw
-    kind = zstandard.ZstdCompressionDict(raw) if raw else None
-    pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=kind) if kind else zstandard.ZstdCompressor(level=LEVEL)
+    pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw)) if raw else zstandard.ZstdCompressor(level=LEVEL)
     return b"".join([lead, *map(pack.compress, records)])
 
 
+def frame_end(raw: memoryview, at: int) -> int:
+    """Where the frame that begins at `at` ends: its blocks' headers say how long they are."""
+    checksum = zstandard.get_frame_parameters(raw[at : at + 18]).has_checksum
+    at += zstandard.frame_header_size(raw[at : at + 18])
+    last = 0
+    while not last:
+        head = int.from_bytes(raw[at : at + 3], "little")
+        last, kind, size = head & 1, head >> 1 & 3, head >> 3
+        at += 3 + (1 if kind == 1 else size)  # a run-length block holds one byte
+    return at + 4 * checksum
+
+
 def from_archive(raw: bytes) -> Iterator[bytes]:
+    """The archive's records; each of its bytes is looked at once."""
     magic, n = struct.unpack_from("<II", raw, 0)
     if magic != DICTIONARY_FRAME:
         raise ValueError("no dictionary frame leads the archive")
-    kind = zstandard.ZstdCompressionDict(raw[8 : 8 + n]) if n else None
-    rest = memoryview(raw)[8 + n :]
-    while len(rest):
-        unpack = zstandard.ZstdDecompressor(dict_data=kind).decompressobj() if kind else zstandard.ZstdDecompressor().decompressobj()
-        out = [unpack.decompress(rest)]
-        yield b"".join(out)
-        rest = rest[len(rest) - len(unpack.unused_data) :]
+    unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw[8 : 8 + n])) if n else zstandard.ZstdDecompressor()
+    whole, at = memoryview(raw), 8 + n
+    while at < len(raw):
+        end = frame_end(whole, at)
+        yield unpack.decompress(whole[at:end])
+        at = end
 
 
 def urn(page: int) -> str:
@@ -102,6 +117,15 @@ def parse(raw: bytes) -> dict:
     }
 
 
+def checked(found: dict) -> dict:
+    """A parsed record whose declared length and digest are those of its payload, as read; a revisit has no payload."""
+    if found["payload"] is not None:
+        got = (len(found["payload"]), base64.b32encode(hashlib.sha1(found["payload"]).digest()).decode())
+        if got != (found["payload_bytes"], found["payload_digest"]):
+            raise ValueError(f"page {found['page']}: the payload isn't what its record declares")
+    return found
+
+
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write a record for each page and return a row for each archive: path, records.
 
@@ -123,7 +147,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col:
         def flush() -> pa.RecordBatch:
             nonlocal made, size
             path = f"{folder}/part-{part:06d}-{made:05d}.warc.zst"
-            put_file(path, to_archive(held))
+            path = put_file(path, to_archive(held))
             row = pa.RecordBatch.from_pydict({"path": [path], "records": [len(held)]})
             made, size = made + 1, 0
             held.clear()
@@ -142,7 +166,8 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col:
 
 
 def read_archives(files: DataFrame) -> DataFrame:
-    """A row for each record of the archives (path): page, payload_bytes, payload_digest, record_type, refers."""
+    """A row for each record of the archives (path): page, payload_bytes, payload_digest, record_type, refers_to. Length and
+    digest of responses are taken anew from the payload and must agree with the record's headers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("page", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -158,7 +183,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                     raw = f.read()
                 found = []
                 for rec in from_archive(raw):
-                    got = parse(rec)
+                    got = checked(parse(rec))
                     got.pop("payload")
                     found.append(got)
                     if len(found) == 2000:
@@ -173,7 +198,7 @@ def archive_and_read(pages: DataFrame, least_bytes: int = 0, id_col: str = "page
     """One row per page, read from its archive: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Null html counts as empty, a null url as empty. A null id counts as the smallest and comes back as null, also in
-    refers_to. Rows that repeat id and payload have the same role. Other columns aren't looked at. An empty table gives
+    refers_to. Rows that repeat id and payload have the same role. Every archive has a dictionary. Other columns aren't looked at. An empty table gives
     no rows.
     """
     spark = pages.sparkSession
