@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import common, decontam, exact, language, lm, near, warc
+from quern.llm import common, decontam, exact, language, lm, near, queries, urls, warc
 from tests.llm.test_ops import brute_components, brute_distance, load
 
 TWICE = "doc_id long, text string, lang string, __id string, __sha int"
@@ -194,3 +194,44 @@ def test_the_archive_reader_is_linear():
         return min(best)
 
     assert seconds(16_000) < 12 * seconds(4_000)
+
+
+def test_beta_tail_against_integration(spark):
+    """The tail of beta distributions with small and large weights, by a fine sum over the rate itself."""
+    cases = [(0.9, 1.0), (0.6, 3.0), (0.7, 40.0), (0.52, 500.0), (0.501, 200_000.0), (0.3, 7.0), (0.05, 2.0), (0.97, 1000.0)]
+    got = [r.t for r in spark.createDataFrame(cases, "m double, w double").select(urls.tail(F.col("m"), F.col("w")).alias("t")).collect()]
+    t = np.linspace(-400, 400, 4_000_001)
+    low, high = -np.logaddexp(0, -t), -np.logaddexp(0, t)
+    for (m, w), x in zip(cases, got, strict=True):
+        f = m * w * low + (1 - m) * w * high
+        f = np.exp(f - f.max())
+        assert x == pytest.approx((f[:2_000_000].sum() + f[2_000_000] / 2) / f.sum(), rel=5e-4, abs=1e-9)  # the plain sum is that coarse at the largest weight
+
+
+def test_suffixes_of_several_labels_and_odd_hosts(spark):
+    hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "x.y.com", "1.2.3.4", "[::1]", "com", "me.github.io", "u:p@a.b.com.", "a.b.com:8080"]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string").withColumn("site", urls.site_of(F.col("host")))
+    rows = df.select("host", urls.domain_of(F.col("site"), ["github.io"]).alias("d"), urls.suffix_of(F.col("site"), ["github.io"]).alias("s")).collect()
+    assert {r.host: (r.d, r.s) for r in rows} == {
+        "a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.com": ("y.com", "com"), "1.2.3.4": ("1.2.3.4", "1.2.3.4"),
+        "[::1]": ("[::1]", "[::1]"), "com": ("com", "com"), "me.github.io": ("me.github.io", "github.io"), "u:p@a.b.com.": ("b.com", "com"), "a.b.com:8080": ("b.com", "com"),
+    }
+
+
+def test_url_sql_with_suffixes_of_two_labels(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(4)
+    sites = [f"{a}.{b}.{c}" for a in ("www", "m") for b in ("one", "two", "six") for c in ("co.uk", "com", "com.au")] + ["9.8.7.6", "[::1]:80", ""]
+    urls_ = [(i, f"http://{rng.choice(sites)}/p{i}") for i in range(400)] + [(400, None), (401, "no scheme")]
+    labels = [(i, int(rng.random() < (0.9 if "one" in u else 0.2)), int(rng.random() < 0.05)) for i, u in urls_[:300]]
+    spark.createDataFrame(urls_, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    db = duckdb.connect()
+    for name in ("pages", "labels"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = db.execute(urls.ORACLE_SQL)
+    names = [d[0] for d in want.description]
+    want = {r[0]: dict(zip(names, r)) for r in want.fetchall()}
+    got = {r.page_id: r.asDict() for r in queries.op8_url_filter(spark, str(tmp_path)).collect()}
+    assert got == want and {r["verdict"] for r in got.values()} == {"allow", "block"}
