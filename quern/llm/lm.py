@@ -171,10 +171,20 @@ def count_at(level: np.ndarray, gram: int) -> np.ndarray:
     return count / 4 if gram == SEEN else count
 
 
-def _merge(table: pa.Table, bits_per_item: int) -> pa.Table:
+def _contexts(hashes: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[tuple]:
+    """The discounted counts of some bigrams by context, in rows by bucket."""
+    context, at = np.unique(hashes & _LOW, return_inverse=True)
+    kept = np.rint(4 * np.bincount(at, counts - DISCOUNT, len(context))).astype("<i8")
+    keys = context_key(context)
+    for b, x, y in _cut(keys, bits):
+        yield SEEN, b, None, _steps(keys[x:y]), _planes(kept[x:y]), None, None, None, None
+
+
+def _merge(table: pa.Table, bits: int, bits_per_item: int, pairs: bool) -> pa.Table:
     """One bucket's counts added up, with how many n-grams are at each level, and each block's levels from the bucket's
     segment of the filter. A block's row for words also has their places among the bucket's, of which those that no
-    training text holds have a count of 0."""
+    training text holds have a count of 0. Of bigrams what is handed on are their contexts' counts and, if `pairs`, they
+    themselves."""
     order, bucket = table.column("gram")[0].as_py(), table.column("bucket")[0].as_py()
     blocks, tallies = table.column("block").to_pylist(), table.column("counts").to_pylist()
     parts = [_of_steps(h) for h in table.column("hashes").to_pylist()]
@@ -188,11 +198,14 @@ def _merge(table: pa.Table, bits_per_item: int) -> pa.Table:
     at[by] = np.cumsum(new) - 1
     hashes, counts = hashes[starts], np.add.reduceat(counts[by], starts)
     total, level = int(counts.sum()), levels(counts, order)
-    bits = segment(hashes, level, bits_per_item)
+    filter_ = segment(hashes, level, bits_per_item)
     # what several blocks ask for is probed once
-    got = probe(bits, np.full(len(hashes), 8 * len(bits), np.uint64), np.zeros(len(hashes), np.uint64), hashes).astype("<u2")
-    keep = counts > 0 if order == BIGRAM else np.ones(len(counts), bool)
-    rows = [(order, bucket, None, _steps(hashes[keep]), _planes(counts[keep].astype("<i8")), total, int((counts > 0).sum()), np.bincount(level).tolist(), None)]
+    got = probe(filter_, np.full(len(hashes), 8 * len(filter_), np.uint64), np.zeros(len(hashes), np.uint64), hashes).astype("<u2")
+    rows, keep = [], counts > 0
+    if order == UNIGRAM or pairs:
+        rows.append((order, bucket, None, _steps(hashes), _planes(counts.astype("<i8")), total, int(keep.sum()), np.bincount(level).tolist(), None))
+    if order == BIGRAM:
+        rows += _contexts(hashes[keep], counts[keep], bits)
     ends = np.cumsum([len(h) for h in parts]).tolist()
     for block, x, y in zip(blocks, [0, *ends], ends):
         places = _planes(np.diff(at[x:y], prepend=0).astype("<u4")) if order == UNIGRAM else None
@@ -223,33 +236,21 @@ def _merge_contexts(table: pa.Table, bits_per_item: int) -> pa.Table:
     return _rows(rows, _MERGED_ARROW)
 
 
-def count(blocks: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """The n-gram counts of all blocks' training texts, a row for each order and bucket; what the filter has for each
-    block's n-grams (block, gram, bucket, levels); and the bits that number a bucket.
+def count(blocks: DataFrame, pairs: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """The n-gram counts of all blocks' training texts, a row for each order and bucket (bigrams only if `pairs`); what the
+    filter has for each block's n-grams (block, gram, bucket, levels); and the bits that number a bucket.
 
     The number of buckets and of tasks follows the number of blocks, so that neither a row nor a task grows with the
     corpus."""
     parts = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks.count() // BLOCKS_A_BUCKET)
     bits, item_bits = max(2, (parts - 1).bit_length()), BITS_PER_ITEM
     rows = blocks.select("block", "trained", "sizes", "texts").mapInArrow(_counted(bits), _BLOCK)
-    words = written(rows.repartition(parts, "gram", "bucket").groupBy("gram", "bucket").applyInArrow(lambda t: _merge(t, item_bits), _MERGED), "counts", "zstd")
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The discounted counts of a task's bigrams by context, in rows by bucket."""
-        for batch in batches:
-            for raw, n in zip(batch.column("hashes").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                context, at = np.unique(_of_steps(raw) & _LOW, return_inverse=True)
-                if not len(context):
-                    continue
-                kept = np.rint(4 * np.bincount(at, _of_planes(n, "<i8") - DISCOUNT)).astype("<i8")
-                hashes = context_key(context)
-                yield from _rows([(SEEN, b, None, _steps(hashes[x:y]), _planes(kept[x:y])) for b, x, y in _cut(hashes, bits)], _BLOCK_ARROW).to_batches()
-
+    words = rows.repartition(parts, "gram", "bucket").groupBy("gram", "bucket").applyInArrow(lambda t: _merge(t, bits, item_bits, pairs), _MERGED)
+    words = written(words, "counts", "zstd")
     of_all, of_block = F.col("block").isNull(), F.col("block").isNotNull()
-    seen = words.filter((F.col("gram") == BIGRAM) & of_all).select("hashes", "counts").mapInArrow(contexts, _BLOCK)
-    asked = words.filter(F.col("gram") == UNIGRAM).select("gram", "bucket", "block", "hashes", F.lit(None).cast("binary").alias("counts"))
-    found = written(seen.unionByName(asked).repartition(parts, "bucket").groupBy("bucket").applyInArrow(lambda t: _merge_contexts(t, item_bits), _MERGED), "contexts", "zstd")
-    words = words.unionByName(found)
+    asked = words.filter(F.col("gram") != BIGRAM).select(*_BLOCK_ARROW.names)
+    found = written(asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(lambda t: _merge_contexts(t, item_bits), _MERGED), "contexts", "zstd")
+    words = words.filter(F.col("gram") != SEEN).unionByName(found)
     return words.filter(of_all).drop("block", "levels"), words.filter(of_block).select("block", "gram", "bucket", "levels"), bits
 
 
@@ -377,7 +378,7 @@ def commonest(table: DataFrame) -> tuple[Common, int]:
 def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame, int]:
     """The whole filter on the driver, for tables that are small; the table of all counts; and commonest's count.
     score_lm never brings the segments together."""
-    table, _, bits = count(_blocks(docs.withColumn("__id", F.lit(0)), "__id", text_col, F.lit(True)))
+    table, _, bits = count(_blocks(docs.withColumn("__id", F.lit(0)), "__id", text_col, F.lit(True)), pairs=True)
     found = table.select("gram", "bucket", "hashes", "counts").mapInArrow(_segments, "gram int, bucket int, bits binary").collect()
     common, cut = commonest(table)
     return Model(bits, {(r["gram"], r["bucket"]): bytes(r["bits"]) for r in found}, common), table, cut
