@@ -237,17 +237,30 @@ def _texts_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     return some.dropDuplicates(["id", "key"])
 
 
+#: Parts that the pairs of one pivot are dealt to.
+SALTS = 64
+
+
+def _with_pivot(rows: DataFrame, pairs: DataFrame, on: list[str], found: DataFrame) -> DataFrame:
+    """rows, which belong to pairs, joined to found by the pivot's columns `on`. One pivot may have a large part of all
+    pairs: they are dealt by their salt too, and found has a row for each salt that a pivot's pairs have, SALTS at most and
+    no more than pairs."""
+    asked = pairs.select(*on, "salt").distinct()
+    return rows.hint("merge").join(asked.join(found, on), [*on, "salt"])
+
+
 def _star_links(buckets: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links between each bucket's smallest node and its others, as a written table (a, b) of nodes."""
     pairs = buckets.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     side = lambda x: sketches.select(*(F.col(c).alias(x + c) for c in sketches.columns))
     bits = sum(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCH)
-    near = pairs.withColumnsRenamed({"a": "a_node", "b": "b_node"}).join(side("b_"), "b_node").join(side("a_"), "a_node")
-    near = written(near.filter(bits <= most_bits(F.greatest("a_m", "b_m"), percent)).select(*(x + c for x in ("a_", "b_") for c in _WHO)), "pairs")
+    pairs = pairs.select(F.col("a").alias("a_node"), F.col("b").alias("b_node"), F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
+    near = _with_pivot(pairs.join(side("b_").drop("b_bands"), "b_node"), pairs, ["a_node"], side("a_").drop("a_bands"))
+    near = written(near.filter(bits <= most_bits(F.greatest("a_m", "b_m"), percent)).select(*(x + c for x in ("a_", "b_") for c in _WHO), "salt"), "pairs")
     ends = near.select(F.col("a_id").alias("id"), F.col("a_key").alias("key")).unionByName(near.select(F.col("b_id").alias("id"), F.col("b_key").alias("key")))
     some = _texts_of(ends, texts)
     end = lambda x: some.select(F.col("id").alias(f"{x}_id"), F.col("key").alias(f"{x}_key"), F.col("text").alias(f"t{x}"))
-    rows = near.hint("merge").join(end("b"), ["b_id", "b_key"]).hint("merge").join(end("a"), ["a_id", "a_key"])
+    rows = _with_pivot(near.hint("merge").join(end("b"), ["b_id", "b_key"]), near, ["a_id", "a_key"], end("a"))
     rows = rows.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "ta", "tb")
     return written(rows.mapInArrow(_verify(percent), "a long, b long"), "links")
 
