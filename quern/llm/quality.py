@@ -1,7 +1,8 @@
-"""Quality scores by nearest-neighbour voting over latent-semantic vectors."""
+"""Quality scores by nearest-neighbour voting over latent-semantic vectors of a text's terms."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,19 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import back, byte_column, ids
+from quern.llm.common import WordHashes, back, byte_column, ids, sliced, text_of
 from quern.llm.language import fold
 
 #: Labelled documents that are fitted on and vote, at most; the least hashes of their ids.
 MOST_LABELLED = 6000
-SHAPES, TRAITS = 1536, 256
-PLACES = SHAPES + TRAITS
-LATENT = 48
-NEIGHBOURS = 32
+#: Hashed places of the three kinds of terms: words as they are written, runs of character classes, and how often words and
+#: lines come again, how long words are and how long the text is.
+WORDS, SHAPES, REPEATS = 1 << 15, 1 << 12, 64
+KINDS = [(0, WORDS), (WORDS, WORDS + SHAPES), (WORDS + SHAPES, WORDS + SHAPES + REPEATS)]
+PLACES = WORDS + SHAPES + REPEATS
+LATENT = 64
+NEIGHBOURS = 16
 #: Votes weigh the cosine to this power.
-POWER = 16
-#: What a trait weighs against the whole of a text's shapes, whose vector has length 1.
-TRAIT_WEIGHT = 0.35
+POWER = 8
 
 _CLASS = np.zeros(256, np.uint32)
 _CLASS[128:] = 1
@@ -30,75 +32,99 @@ for _i in range(128):
     _CLASS[_i] = 2 if _c.islower() else 3 if _c.isupper() else 4 if _c.isdigit() else 5 if _c == "\n" else 6 if _c.isspace() or _i < 32 else 7 + _i
 
 
-def traits(raw: bytes) -> list[int]:
-    """Buckets of how the text repeats itself, of its words' lengths and of its letters."""
-    words = raw.lower().split()
-    lines = [x for x in raw.split(b"\n") if x.strip()]
-    n = max(1, len(words))
-    size = max(1, len(raw))
-    distinct = len(set(words))
-    pairs = sum(a == b for a, b in zip(words, words[1:]))
-    upper = sum(map(raw.count, (b"E", b"A", b"T", b"N", b"O", b"R", b"I", b"S", b"H", b"D", b"L", b"C", b"U")))
-    marks = len(raw.translate(None, b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \n\r\t" + bytes(range(128, 256))))
-    values = [
-        distinct / n,
-        distinct / n**0.8,
-        10 * pairs / n,
-        len(raw) / n / 15,
-        len(set(lines)) / max(1, len(lines)),
-        len(words) / max(1, len(lines)) / 100,
-        2 * upper / size,
-        5 * marks / size,
-        np.log(n) / 11,
-    ]
-    return [SHAPES + 24 * i + min(19, max(0, int(20 * v))) for i, v in enumerate(values)]
-
-
-def features(raw: bytes) -> np.ndarray:
-    """Raw counts of hashed 2-, 3- and 4-grams of character classes (runs of one class taken as one), then the traits."""
-    out = np.zeros(PLACES, np.float32)
+def _classes(counts: list[int]) -> np.ndarray:
+    """How many of all occurrences belong to things that come once, twice or three times, four to seven times and so on."""
+    n = np.array(counts, np.float64)
+    return np.bincount(np.minimum(15, np.log2(n)).astype(np.int64), n, 16) if len(n) else np.zeros(16)
+
+
+def features(raw: bytes, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """(places, counts) of the text's terms, places ascending."""
+    words = Counter(raw.split())
+    at = (hashes.of(list(words)) % np.uint64(WORDS)).astype(np.int64)
+    count = np.fromiter(words.values(), np.float64, len(words))
+    parts = [(at, count)]
     codes = _CLASS[np.frombuffer(raw, np.uint8)]
     if len(codes):
-        codes = codes[np.concatenate([[True], codes[1:] != codes[:-1]])]
+        codes = codes[np.concatenate([[True], codes[1:] != codes[:-1]])]  # a run of one class counts once
         two = codes[:-1] * np.uint32(211) + codes[1:]
         three = two[:-1] * np.uint32(211) + codes[2:]
         four = three[:-1] * np.uint32(211) + codes[3:]
-        places = np.concatenate([two + np.uint32(7), three + np.uint32(70001), four]) * np.uint32(0x9E3779B1) >> np.uint32(12)
-        out[:SHAPES] = np.bincount((places % np.uint32(SHAPES)).astype(np.int64), minlength=SHAPES)
-    out[traits(raw)] = 1
-    return out
+        found = np.concatenate([two + np.uint32(7), three + np.uint32(70001), four]) * np.uint32(0x9E3779B1) >> np.uint32(20)
+        parts.append((WORDS + found.astype(np.int64), np.ones(len(found))))
+    lines = Counter(x for x in raw.split(b"\n") if x.strip())
+    lengths = np.bincount(np.minimum(15, np.fromiter(map(len, words), np.int64, len(words))), count, 16)
+    size = np.zeros(16)
+    size[min(15, int(np.log2(count.sum() + 1)))] = 1 + count.sum()
+    again = np.concatenate([_classes(list(words.values())), _classes(list(lines.values())), lengths, size])
+    parts.append((WORDS + SHAPES + np.arange(REPEATS), again))
+    sums = np.bincount(np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts]), PLACES)
+    at = np.flatnonzero(sums)
+    return at, sums[at].astype(np.float32)
+
+
+class Rows:
+    """Sparse rows, with products by dense matrices that never hold more than some entries' worth of them at once."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
+        self.n = len(rows)
+        self.row = np.repeat(np.arange(self.n), [len(a) for a, _ in rows])
+        self.at = np.concatenate([np.empty(0, np.int64), *(a for a, _ in rows)])
+        self.value = np.concatenate([np.empty(0, np.float32), *(v for _, v in rows)])
+
+    @staticmethod
+    def _summed(to: np.ndarray, of: np.ndarray, value: np.ndarray, m: np.ndarray, size: int) -> np.ndarray:
+        """out[to] += value * m[of]; to ascends."""
+        out = np.zeros((size, m.shape[1]), np.float32)
+        for i in range(0, len(to), 100_000):
+            t = to[i : i + 100_000]
+            new = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            out[t[new]] += np.add.reduceat(m[of[i : i + 100_000]] * value[i : i + 100_000, None], new, axis=0)
+        return out
+
+    def times(self, m: np.ndarray) -> np.ndarray:
+        return self._summed(self.row, self.at, self.value, m, self.n)
+
+    def transposed_times(self, m: np.ndarray) -> np.ndarray:
+        by = np.argsort(self.at, kind="stable")
+        return self._summed(self.at[by], self.row[by], self.value[by], m, PLACES)
 
 
 class Model:
     """A projection to latent-semantic space with the labelled documents' vectors in it."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray):
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
         self.prior = float(labels.mean()) if len(labels) else 0.5
         self.labels = labels.astype(np.float32)
         n = len(counts)
-        self.idf = np.log((n + 1) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.05)
-        x = self.weigh(counts)
-        rng = np.random.default_rng(7)
-        y = x @ rng.standard_normal((PLACES, min(LATENT + 16, PLACES))).astype(np.float32)
-        for _ in range(4):  # subspace iteration towards the leading singular vectors
-            q, _ = np.linalg.qr(y)
-            z, _ = np.linalg.qr(x.T @ q)
-            y = x @ z
-        _, _, v = np.linalg.svd(y, full_matrices=False) if n else (None, None, np.zeros((LATENT, LATENT + 16), np.float32))
-        self.to_latent = (z @ v[:LATENT].T if n else np.zeros((PLACES, LATENT))).astype(np.float32)
+        seen = np.bincount(np.concatenate([np.empty(0, np.int64), *(a for a, _ in counts)]), minlength=PLACES)
+        self.idf = (np.log((n + 1) / (1 + seen)) + 0.05).astype(np.float32)
+        self.to_latent = np.zeros((PLACES, LATENT), np.float32)
+        if n:
+            x = Rows([self.weigh(*c) for c in counts])
+            y = x.times(np.random.default_rng(7).standard_normal((PLACES, LATENT + 16)).astype(np.float32))
+            for _ in range(2):  # subspace iteration towards the leading singular vectors
+                q, _ = np.linalg.qr(y)
+                z, _ = np.linalg.qr(x.transposed_times(q))
+                y = x.times(z)
+            _, _, v = np.linalg.svd(y, full_matrices=False)
+            found = z @ v[:LATENT].T
+            self.to_latent[:, : found.shape[1]] = found
         self.vectors = self.project(counts)
 
-    def weigh(self, counts: np.ndarray) -> np.ndarray:
-        w = np.log1p(counts) * self.idf
-        shapes = w[:, :SHAPES]
-        shapes = shapes / np.maximum(np.linalg.norm(shapes, axis=1, keepdims=True), 1e-9)
-        return np.concatenate([shapes, (counts[:, SHAPES:] > 0) * np.float32(TRAIT_WEIGHT)], axis=1).astype(np.float32)
+    def weigh(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of a text's terms: log(1 + count) times the inverse document frequency; each kind has length 1."""
+        w = np.log1p(n) * self.idf[at]
+        for low, high in KINDS:
+            part = slice(*np.searchsorted(at, (low, high)))
+            w[part] /= max(float(np.linalg.norm(w[part])), 1e-9)
+        return at, w
 
-    def project(self, counts: np.ndarray) -> np.ndarray:
-        v = self.weigh(counts) @ self.to_latent
+    def project(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        v = Rows([self.weigh(*c) for c in counts]).times(self.to_latent)
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
-    def score(self, counts: np.ndarray) -> np.ndarray:
+    def score(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """The nearest neighbours' labels, weighted by similarity; cosines with all labelled vectors, in blocks."""
         if not len(self.labels):
             return np.full(len(counts), self.prior)
@@ -113,25 +139,25 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, label_col: str, most: int) -> Model:
-    """Fit on at most `most` labelled documents, those with the least hashes of their ids."""
-    marked = labels.select(ids(label_id).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y IS NOT NULL AND id IS NOT NULL")
+    """Fit on at most `most` labelled documents, those with the least hashes of their ids. Of an id with several texts the
+    one whose terms sort first counts."""
+    marked = labels.select(F.col(label_id).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter("y IS NOT NULL AND id IS NOT NULL")
     chosen = marked.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most)
-    texts = docs.select(ids(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [features(raw) for raw in byte_column(batch, "text")]
-            at = [np.flatnonzero(v) for v in x]
+        hashes = WordHashes()
+        for batch in sliced(batches):
+            x = [features(raw, hashes) for raw in byte_column(batch, "text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("y"), pa.array([a.astype("<i4").tobytes() for a in at], pa.binary()), pa.array([v[a].astype("<f4").tobytes() for v, a in zip(x, at, strict=True)], pa.binary())],
+                [batch.column("id"), batch.column("y"), pa.array([a.astype("<i4").tobytes() for a, _ in x], pa.binary()), pa.array([n.astype("<f4").tobytes() for _, n in x], pa.binary())],
                 names=["id", "y", "at", "n"],
             )
 
-    rows = texts.join(F.broadcast(chosen), "id").mapInArrow(run, "id long, y int, at binary, n binary").orderBy("id", "at", "n").limit(2 * most).collect()
-    counts = np.zeros((len(rows), PLACES), np.float32)
-    for c, r in zip(counts, rows, strict=True):
-        c[np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["n"], "<f4")
-    return Model(counts, np.array([r["y"] for r in rows], np.float32))
+    found = texts.join(F.broadcast(chosen), "id").mapInArrow(run, "id long, y int, at binary, n binary")
+    rows = found.groupBy("id").agg(F.min(F.struct("at", "n", "y")).alias("x")).select("id", "x.*").collect()  # `most` rows at most
+    rows.sort(key=lambda r: r["id"])
+    return Model([(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["n"], "<f4")) for r in rows], np.array([r["y"] for r in rows], np.float32))
 
 
 def score_quality(
@@ -140,19 +166,19 @@ def score_quality(
     """One row per document: doc_id, held_out, score, predicted.
 
     Labels outside the held-out fold are learned from, at most `most` of them; a document with several counts with the
-    largest. Null and empty texts are scored as texts without shapes. Without labels every score is 0.5. Documents with a
+    largest. Null and empty texts are scored as texts without words. Without labels every score is 0.5. Documents with a
     null id are scored and not held out. Rows that repeat an id are scored each. Other columns aren't looked at. An empty
-    table gives no rows. What is broadcast are PLACES * LATENT weights and `most` vectors.
+    table gives no rows. What is broadcast are PLACES * LATENT weights (9 MB) and `most` vectors.
     """
     model = train(docs, labels.filter(fold(label_id, folds) != held_out), id_col, text_col, label_id, label_col, most)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = byte_column(batch, "text")
-            parts = [held.value.score(np.stack([features(x) for x in raw[i : i + 512]])) for i in range(0, len(raw), 512)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate([np.empty(0), *parts]), pa.float64())], names=["id", "score"])
+        hashes = WordHashes()
+        for batch in sliced(batches, 256):
+            scores = held.value.score([features(x, hashes) for x in byte_column(batch, "text")])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores, pa.float64())], names=["id", "score"])
 
-    rows = docs.select(ids(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(ids(id_col).alias("id"), text_of(text_col).alias("text"))
     out = rows.mapInArrow(run, "id long, score double").withColumn("doc_id", back("id"))
     return out.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
