@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import common, decontam, exact, language, lm, near, queries, urls, warc
+from quern.llm import common, decontam, exact, language, lm, near, quality, queries, urls, warc
 from tests.llm.test_ops import brute_components, brute_distance, load
 
 TWICE = "doc_id long, text string, lang string, __id string, __sha int"
@@ -235,3 +235,103 @@ def test_url_sql_with_suffixes_of_two_labels(spark, tmp_path):
     want = {r[0]: dict(zip(names, r)) for r in want.fetchall()}
     got = {r.page_id: r.asDict() for r in queries.op8_url_filter(spark, str(tmp_path)).collect()}
     assert got == want and {r["verdict"] for r in got.values()} == {"allow", "block"}
+
+
+def test_quality_votes_equal_brute_force(spark, smoke):
+    """Projection, cosines and votes of the table's documents by plain loops over the labelled vectors."""
+    docs, labels = load(spark, smoke, "documents"), load(spark, smoke, "labels")
+    model = quality.train(docs, labels.filter(language.fold("doc_id", 5) != 0), "doc_id", "text", "doc_id", "quality", quality.MOST_LABELLED)
+    marked = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    texts, hashes = {r.doc_id: (r.text or "").encode() for r in docs.collect()}, common.WordHashes()
+
+    def vector(raw):
+        at, n = quality.features(raw, hashes)
+        v = np.zeros(quality.LATENT)
+        for low, high in quality.KINDS:
+            w = {int(a): math.log1p(c) * float(model.idf[a]) for a, c in zip(at, n) if low <= a < high}
+            size = math.sqrt(sum(x * x for x in w.values()))
+            for a, x in w.items():
+                v += x / size * model.to_latent[a]
+        return v / max(1e-9, math.sqrt(float(v @ v)))
+
+    known = {i: vector(texts[i]) for i in marked if i in texts}
+    got = {r.doc_id: (r.score, r.predicted) for r in queries.op3_quality(spark, smoke).collect()}
+    assert set(got) == set(texts)
+    for i, raw in texts.items():
+        v = vector(raw)
+        near = sorted(((float(v @ u), marked[j]) for j, u in known.items()), reverse=True)[: quality.NEIGHBOURS]
+        w = [max(c, 0.0) ** quality.POWER + 1e-12 for c, _ in near]
+        assert got[i][0] == pytest.approx(sum(a * y for a, (_, y) in zip(w, near)) / sum(w), abs=2e-3)
+        assert got[i][1] == (got[i][0] >= 0.3)
+
+
+def test_latent_space_is_that_of_the_leading_singular_vectors():
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(300):
+        at = np.unique(rng.integers(0, 40, 12) + 40 * (i % 5))
+        rows.append((at, rng.integers(1, 5, len(at)).astype(np.float32)))
+    model = quality.Model(rows, np.arange(300) % 2)
+    dense = np.zeros((300, quality.PLACES))
+    for d, (at, n) in zip(dense, rows, strict=True):
+        at, w = model.weigh(at, n.copy())
+        d[at] = w
+    want = np.linalg.svd(dense[:, :200], full_matrices=False)[1][: quality.LATENT]
+    assert np.linalg.norm(dense @ model.to_latent) == pytest.approx(np.linalg.norm(want), rel=0.02)
+
+
+def test_quality_learns_from_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(30)] + [(2, "other words"), (None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, quality int")
+    model = quality.train(docs, labels, "doc_id", "text", "doc_id", "quality", 10)
+    assert sorted(model.labels.tolist()) == [0.0, 1.0]
+
+
+def test_language_mixture_equals_plain_em(spark, smoke):
+    """The shares of every language and the choice by penalised likelihood, by plain loops over a document's n-grams."""
+    docs = load(spark, smoke, "documents")
+    model = language.train(docs)
+    for r in docs.filter("n_chars BETWEEN 60 AND 700").orderBy("doc_id").limit(25).collect():
+        n = Counter(language.grams(r.text).tolist())
+        size = sum(n.values())
+
+        def em(chosen, share):
+            for _ in range(language.ROUNDS):
+                new = [0.0] * len(chosen)
+                for g, c in n.items():
+                    parts = [s * model.p[g, k] for s, k in zip(share, chosen)]
+                    for j, x in enumerate(parts):
+                        new[j] += c * x / sum(parts) / size
+                done = max(abs(a - b) for a, b in zip(new, share)) < 1e-4
+                share = new
+                if done:
+                    break
+            return share, sum(c * math.log(sum(s * model.p[g, k] for s, k in zip(share, chosen))) for g, c in n.items())
+
+        every = list(range(len(model.names)))
+        share, value = em(every, [1 / len(every)] * len(every))
+        kept = [k for k in every if share[k] >= min(language.LEAST_SHARE, max(share))]
+        if len(kept) < len(every):
+            total = sum(share[k] for k in kept)
+            share, value = em(kept, [share[k] / total for k in kept])
+        price = language.PENALTY * math.log(size + 1)
+        while len(kept) > 1:
+            trials = []
+            for j in range(len(kept)):
+                rest = [s for i, s in enumerate(share) if i != j]
+                less = [k for i, k in enumerate(kept) if i != j]
+                trials.append((*em(less, [s / sum(rest) for s in rest]), less))
+            best = max(trials, key=lambda x: x[1])
+            if value - best[1] > price:
+                break
+            share, value, kept = best
+        want = sorted(zip((model.names[k] for k in kept), share), key=lambda x: -x[1])
+        name, top, mix = model.judge(r.text)
+        assert name == want[0][0] and top == pytest.approx(want[0][1], abs=1e-6) and dict(mix) == {k: pytest.approx(s, abs=1e-6) for k, s in want}
+
+
+def test_more_languages_than_a_model_holds_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
+    docs = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        language.identify(docs)
