@@ -237,16 +237,19 @@ def _texts_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     return some.dropDuplicates(["id", "key"])
 
 
-#: Parts that the pairs of one pivot are dealt to.
+#: Parts that the rows of one key are dealt to where a key may have a large part of all rows.
 SALTS = 64
 
 
-def _with_pivot(rows: DataFrame, pairs: DataFrame, on: list[str], found: DataFrame) -> DataFrame:
-    """rows, which belong to pairs, joined to found by the pivot's columns `on`. One pivot may have a large part of all
-    pairs: they are dealt by their salt too, and found has a row for each salt that a pivot's pairs have, SALTS at most and
-    no more than pairs."""
-    asked = pairs.select(*on, "salt").distinct()
-    return rows.hint("merge").join(asked.join(found, on), [*on, "salt"])
+def _salt(by: str) -> Column:
+    return F.pmod(F.xxhash64(by), F.lit(SALTS)).alias("salt")
+
+
+def _salted_join(rows: DataFrame, asked: DataFrame, on: list[str], found: DataFrame) -> DataFrame:
+    """rows, which have a salt, joined to found, which has a row a key. `asked` has the rows' keys and salts: found is repeated
+    for each salt that its key has, SALTS times at most and no more often than there are rows."""
+    keys = asked.select(*on, "salt").distinct()
+    return rows.hint("merge").join(keys.join(found, on), [*on, "salt"])
 
 
 def _star_links(buckets: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -254,13 +257,13 @@ def _star_links(buckets: DataFrame, sketches: DataFrame, texts: DataFrame, perce
     pairs = buckets.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     side = lambda x: sketches.select(*(F.col(c).alias(x + c) for c in sketches.columns))
     bits = sum(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCH)
-    pairs = pairs.select(F.col("a").alias("a_node"), F.col("b").alias("b_node"), F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
-    near = _with_pivot(pairs.join(side("b_").drop("b_bands"), "b_node"), pairs, ["a_node"], side("a_").drop("a_bands"))
+    pairs = pairs.select(F.col("a").alias("a_node"), F.col("b").alias("b_node"), _salt("b"))
+    near = _salted_join(pairs.join(side("b_").drop("b_bands"), "b_node"), pairs, ["a_node"], side("a_").drop("a_bands"))
     near = written(near.filter(bits <= most_bits(F.greatest("a_m", "b_m"), percent)).select(*(x + c for x in ("a_", "b_") for c in _WHO), "salt"), "pairs")
     ends = near.select(F.col("a_id").alias("id"), F.col("a_key").alias("key")).unionByName(near.select(F.col("b_id").alias("id"), F.col("b_key").alias("key")))
     some = _texts_of(ends, texts)
     end = lambda x: some.select(F.col("id").alias(f"{x}_id"), F.col("key").alias(f"{x}_key"), F.col("text").alias(f"t{x}"))
-    rows = _with_pivot(near.hint("merge").join(end("b"), ["b_id", "b_key"]), near, ["a_id", "a_key"], end("a"))
+    rows = _salted_join(near.hint("merge").join(end("b"), ["b_id", "b_key"]), near, ["a_id", "a_key"], end("a"))
     rows = rows.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "ta", "tb")
     return written(rows.mapInArrow(_verify(percent), "a long, b long"), "links")
 
@@ -305,17 +308,14 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     """id, key, n, component (an id) and kept for each row of docs; see near_dedup."""
     texts = docs.select(ids(id_col).alias("id"), key_of(text_col).alias("key"), text_of(text_col).alias("text"))
     signed = written(texts.mapInArrow(_sign, SIGNED), "signed")
+    # the document that stands for a class comes with its bands and sketch, so copies meet in each task before the shuffle;
     # a node's number follows the order of (id, key), so the smallest node of a component has its smallest id
-    classes = signed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "key")).alias("rep"))
-    classes = classes.select("digest", F.col("rep.id").alias("rep_id"), F.col("rep.key").alias("rep_key")).sort("rep_id", "rep_key")
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    joined = signed.filter("digest IS NOT NULL").join(classes, "digest")
-    stands = (F.col("id") == F.col("rep_id")) & (F.col("key") == F.col("rep_key"))
-    members = written(joined.select("id", "key", "n", "node", stands.alias("stands"), F.when(stands, F.col("bands")).alias("bands"), "m", *SKETCH), "members")
-    reps = members.filter("stands").dropDuplicates(["node"])
-    sketches = written(reps.select(*_WHO, "m", "bands", *SKETCH), "sketches")
-
-    banded = reps.select("node", "n", F.explode("bands").alias("bucket"))
+    classes = signed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "key", "n", "m", "bands", *SKETCH)).alias("rep"))
+    classes = classes.select("digest", "rep.*").sort("id", "key").withColumn("node", F.monotonically_increasing_id())
+    classes = written(classes.select("digest", *_WHO, "n", "m", "bands", *SKETCH), "classes")
+    sketches = classes.drop("digest", "n")
+
+    banded = classes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
     buckets = written(banded.join(shared, "bucket"), "buckets")
 
@@ -329,10 +329,15 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
         more = rows.groupBy("bucket", "i", "j").applyInArrow(_joined(percent), "a long, b long")
         groups = components(links.unionByName(written(more, "links")))
 
-    names = classes.select(F.col("node").alias("group"), F.col("rep_id").alias("least"))
-    groups = groups.join(names, "group")
-    out = members.join(groups, "node", "left").join(classes.select("node", "rep_id"), "node")
-    out = out.select("id", "key", "n", F.coalesce("least", "rep_id").alias("component"), (F.col("stands") & (F.coalesce("group", "node") == F.col("node"))).alias("kept"))
+    groups = groups.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    least = classes.select(F.col("node").alias("group"), F.col("id").alias("least"))
+    groups = _salted_join(groups, groups, ["group"], least).select("node", "group", "least")
+    named = classes.select("digest", *_WHO).join(groups, "node", "left")
+    named = written(named.select("digest", F.col("id").alias("rep_id"), F.col("key").alias("rep_key"), F.coalesce("least", "id").alias("component"), (F.coalesce("group", "node") == F.col("node")).alias("first")), "named")
+    rows = signed.filter("digest IS NOT NULL").select("id", "key", "n", "digest", F.pmod(F.xxhash64("id", "key"), F.lit(SALTS)).alias("salt"))
+    out = _salted_join(rows, rows, ["digest"], named)
+    stands = F.col("first") & (F.col("id") == F.col("rep_id")) & (F.col("key") == F.col("rep_key"))
+    out = out.select("id", "key", "n", "component", stands.alias("kept"))
     alone = signed.filter("digest IS NULL").select("id", "key", "n", F.col("id").alias("component"), F.lit(True).alias("kept"))
     return out.unionByName(alone)
 
