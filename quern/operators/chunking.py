@@ -16,9 +16,42 @@ _SENTENCE_END = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 _STOPS = frozenset(".!?。！？;；")
 
 
+_HAN = "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af"
+_TOKEN = re.compile(f"[{_HAN}]|[^\\s{_HAN}]+")
+
+
 def words(text: str) -> int:
-    """The default token counter: words between white space."""
-    return len(text.split())
+    """The default token counter: Han characters one by one, and other words between white space."""
+    return sum(1 for _ in _TOKEN.finditer(text))
+
+
+class Vocabulary:
+    """A token counter over a vocabulary file of the tokenizers library, loaded in each process that counts."""
+
+    def __init__(self, path: str):
+        self.path, self.encoder = path, None
+
+    def __call__(self, text: str) -> int:
+        if self.encoder is None:
+            from tokenizers import Tokenizer
+
+            self.encoder = Tokenizer.from_file(self.path)
+        return len(self.encoder.encode(text, add_special_tokens=False).ids)
+
+    def __reduce__(self):
+        return Vocabulary, (self.path,)
+
+
+def longest(size: int, fits: Callable[[int], bool], guess: int) -> int:
+    """The largest length up to `size` that fits, at least 1: first by doubling a guess, then by halving what is left, so that
+    no more is measured than a few times the answer."""
+    low, high = 1, max(1, min(guess, size))
+    while high < size and fits(high):
+        low, high = high, min(size, 2 * high)
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if fits(mid) else (low, mid - 1)
+    return low
 
 
 @dataclass(frozen=True)
@@ -96,45 +129,52 @@ class Chunker:
             yield run
 
     def cut(self, text: str) -> Iterator[str]:
-        """The longest prefixes within the budget, moved back to white space or a stop in their last third."""
-        while text:
-            low, high = 1, len(text)
-            while low < high:
-                mid = (low + high + 1) // 2
-                low, high = (mid, high) if self.count(text[:mid]) <= self.most else (low, mid - 1)
-            end = low
+        """The longest prefixes within the budget, moved back to white space or a stop in their last third. Each is found from
+        a guess of its own size, so the work is in proportion to the text."""
+        at = 0
+        while at < len(text):
+            size = longest(len(text) - at, lambda n: self.count(text[at : at + n]) <= self.most, 4 * self.most)
+            end = at + size
             if end < len(text):
-                back = next((k for k in range(end, int(end * 0.7), -1) if text[k - 1].isspace() or text[k - 1] in _STOPS), end)
-                end = back
-            part, text = text[:end].strip(), text[end:].lstrip()
-            if part:
+                ends = (k for k in range(end, at + int(size * 0.7), -1) if text[k - 1].isspace() or text[k - 1] in _STOPS)
+                end = next(ends, end)
+            if part := text[at:end].strip():
                 yield part
+            at = end
 
     def tail(self, text: str, budget: int) -> str:
-        """The end of a text within the budget, from a word's start."""
-        if budget <= 0:
+        """The end of a text within the budget. It begins after the first white space or stop of its first third (24 characters
+        at least); where there is none, as in text without spaces, it begins where the budget does."""
+        if budget <= 0 or not text or self.count(text[-1]) > budget:
             return ""
-        low, high = 0, len(text)
-        while low < high:
-            mid = (low + high) // 2
-            low, high = (low, mid) if self.count(text[mid:]) <= budget else (mid + 1, high)
-        if low and low < len(text) and not text[low - 1].isspace():
-            low = next((k for k in range(low, len(text)) if text[k].isspace()), len(text))
-        return text[low:].strip()
+        size = longest(len(text), lambda n: self.count(text[len(text) - n :]) <= budget, 4 * budget)
+        start = len(text) - size
+        whole = start == 0 or text[start - 1].isspace() or text[start - 1] in _STOPS
+        if not whole:
+            breaks = (k + 1 for k in range(start, min(len(text) - 1, start + max(24, size // 3))) if text[k].isspace() or text[k] in _STOPS)
+            start = next(breaks, start)
+        return text[start:].strip()
+
+    def lead(self, before: str, piece: str) -> str:
+        """A piece with as much of what is before it as the overlap and the budget leave room for."""
+        room = min(self.overlap, self.most - self.count(piece))
+        while room > 0 and (kept := self.tail(before, room)):
+            whole = f"{kept}\n\n{piece}"
+            if (excess := self.count(whole) - self.most) <= 0:
+                return whole
+            room -= excess
+        return piece
 
     def chunks(self, text: str, title: str) -> Iterator[tuple[str, str]]:
         """(section path, content) of each chunk."""
         section, run = "", ""
         for path, block in self.blocks(text, title):
             for piece in self.pieces(block):
-                if not run:
-                    section, run = path, piece
-                elif path == section and self.count(f"{run}\n\n{piece}") <= self.most:
-                    run = f"{run}\n\n{piece}"
-                else:
+                joined = f"{run}\n\n{piece}" if run and path == section else piece
+                if run and (path != section or self.count(joined) > self.most):
                     yield section, run.strip()
-                    kept = self.tail(run, min(self.overlap, self.most - self.count(piece) - 2)) if path == section else ""
-                    section, run = path, f"{kept}\n\n{piece}" if kept else piece
+                    joined = self.lead(run, piece) if path == section else piece
+                section, run = path, joined
         if run:
             yield section, run.strip()
 
@@ -197,6 +237,12 @@ def split_long(text: str, most: int) -> list[str]:
     return out + ([run] if run else [])
 
 
+def long_pieces(rows: DataFrame, id_col: str, text_col: str, most: int = 1200) -> DataFrame:
+    """id, part and content: the pieces of each text by split_long; blank texts have none."""
+    pieces = F.pandas_udf(lambda t: pd.Series([split_long(x or "", most) for x in t]), "array<string>")
+    return rows.select(F.col(id_col), F.posexplode(pieces(F.col(text_col))).alias("part", "content"))
+
+
 def split_markdown(text: str, most: int = 1200) -> Iterator[tuple[str, str, str, str, dict[str, str]]]:
     """(title, section, subsection, piece, front matter): ## starts a section, ### a part of it, # names the file.
     Parts that hold no more than headings and rules are left out."""
@@ -288,6 +334,43 @@ def document_context(content: Column, chunk: Column, most: int) -> Column:
     return F.when(F.length(content) <= most, content).otherwise(F.concat(F.substring(content, 1, head), F.lit("\n\n[... document excerpt omitted ...]\n\n"), window))
 
 
+def visible_text(html: Column) -> Column:
+    """What a page shows, by patterns: comments, scripts and styles go, other tags are spaces, the five named entities and the
+    hard space are characters again, and runs of white space are one space."""
+    plain = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->|<(script|style)\b.*?</(script|style)\s*>", " ")
+    plain = F.regexp_replace(plain, r"<[a-zA-Z/!?][^>]*>", " ")
+    for name, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(name), F.lit(c))
+    return F.trim(F.regexp_replace(plain, r"[ \t\r\n\f]+", " "))
+
+
+def contextual_prefix(provider: Callable[[str, str], str], document: str, chunk: str, most: int = 800, fail_open: bool = False) -> str:
+    """A provider's prefix for a chunk of a document: trimmed, without NUL characters, `most` characters at most. An empty answer
+    is an error, and an error ends the ingestion, or with fail_open leaves the chunk without a prefix."""
+    try:
+        got = (provider(document, chunk) or "").replace("\x00", "").strip()
+        if not got:
+            raise ValueError("the provider gave no prefix")
+        return got[:most].strip()
+    except Exception:
+        if not fail_open:
+            raise
+        return ""
+
+
+def with_prefixes(chunks: DataFrame, provider: Callable[[str, str], str], document: str = "document", content: str = "content", most: int = 800, fail_open: bool = False) -> DataFrame:
+    """chunks with prefix and index_content, a provider's call for each chunk."""
+    if most < 100:
+        raise ValueError("a prefix has room for 100 characters at least")
+
+    @F.pandas_udf("string")
+    def prefix(d: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([contextual_prefix(provider, x or "", y or "", most, fail_open) for x, y in zip(d, c, strict=True)])
+
+    out = chunks.withColumn("prefix", prefix(F.col(document), F.col(content)))
+    return out.withColumn("index_content", index_content(F.col("prefix"), F.col(content)))
+
+
 def metadata_prefix(source: Column, title: Column, most: int = 500) -> Column:
     """The deterministic contextual prefix: what the chunk belongs to, without NUL characters."""
     return F.substring(F.replace(F.concat(F.lit("Source: "), source, F.lit(". Title: "), title, F.lit(".")), F.lit("\x00"), F.lit("")), 1, most)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STATES = ["STAGING", "EMBEDDING", "INDEXING", "VALIDATING", "READY", "ACTIVE", "FAILED", "RETIRED"]
@@ -64,3 +64,24 @@ def integrity(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.crossJoin(F.broadcast(p))
     return out
+
+
+# ---------------------------------------------------------------- freshness
+
+
+def stale(expires: Column, as_of: str) -> Column:
+    """Blank never expires, what isn't a date has expired, else the day after expiry."""
+    blank = F.trim(F.coalesce(expires, F.lit(""))) == ""
+    return F.when(blank, False).otherwise(F.coalesce(F.lit(as_of).cast("date") > F.try_to_date(expires, "yyyy-MM-dd"), F.lit(True)))
+
+
+# What a note says of a snapshot that has expired, and of one that hasn't.
+EXPIRED_NOTE = ("快照日期 ", "，已于 ", " 过期；不得作为当前事实，实时问题必须调用工具或明确说明无法核验。")
+VALID_NOTE = ("快照日期 ", "，有效期至 ", "。")
+
+
+def freshness_note(snapshot: Column, expires: Column, as_of: str) -> Column:
+    """A snapshot's note: empty where neither date is known, else whether it has expired."""
+    s, e = (F.trim(F.coalesce(c, F.lit(""))) for c in (snapshot, expires))
+    note = lambda x: F.concat(F.lit(x[0]), s, F.lit(x[1]), e, F.lit(x[2]))
+    return F.when((s == "") & (e == ""), "").when(stale(e, as_of), note(EXPIRED_NOTE)).otherwise(note(VALID_NOTE))

@@ -59,3 +59,25 @@ def backends(predictions: DataFrame, expected: str) -> DataFrame:
     """By strategy: the lexical backends that answered, and whether the expected one alone did."""
     out = predictions.groupBy("strategy").agg(F.array_sort(F.collect_set("backend")).alias("seen"))
     return out.select("strategy", F.array_join("seen", ",").alias("backends"), (F.col("seen") == F.array(F.lit(expected))).alias("ok"))
+
+
+def outside_scores(predictions: DataFrame, names: tuple[str, ...] = ("Faithfulness", "ContextPrecision", "ContextRecall", "ResponseRelevancy"), most: int = 10_000) -> DataFrame:
+    """status, reason and scores (a map) of an outside judge's metrics over predictions (question, ground_truth, answer, contexts).
+
+    The judge is an optional package that calls models, on the driver: at most `most` predictions, more are an error. Where it
+    isn't installed or fails, the one row says NOT_EXECUTED and the error's kind.
+    """
+    spark = predictions.sparkSession
+    try:
+        import ragas
+        import ragas.metrics
+        from datasets import Dataset
+
+        rows = predictions.limit(most + 1).collect()
+        if not 0 < len(rows) <= most:
+            raise ValueError("no predictions, or too many for one call")
+        found = ragas.evaluate(Dataset.from_list([r.asDict() for r in rows]), metrics=[getattr(ragas.metrics, n)() for n in names])
+        row = ("executed", None, {k: float(v) for k, v in dict(found).items()})
+    except Exception as e:
+        row = ("NOT_EXECUTED", type(e).__name__, {})
+    return spark.createDataFrame([row], "status string, reason string, scores map<string,double>")

@@ -73,6 +73,10 @@ def pending(docs: DataFrame, done: DataFrame) -> DataFrame:
     return docs.join(finished, ["source", "external_id", "content_hash"], "left_anti")
 
 
+#: A document of a JSON batch.
+BATCH_ROW = "struct<external_id:string,source:string,source_type:string,title:string,content:string,tenant_id:string,department:string,access_level:string>"
+
+
 def batch(rows: DataFrame, most: int = MOST_IN_BATCH) -> DataFrame:
     """A validated batch; an empty one, one of more than `most` rows, or one with an invalid row is refused whole."""
     out = validated(rows)

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import rerank_tokens, tokens
+from quern.operators.index import LexicalIndex, best_vectors
 
-K1, B = 1.2, 0.75
 RRF_K = 60
 PLACES = 6
 
@@ -64,76 +64,32 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int = 12, threshold:
 def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 12, threshold: float = 0.2, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = 4096) -> DataFrame:
     """query_id, id, score and rank for each query vector against all vectors, in blocks of matrix products.
 
-    Queries are broadcast in blocks of `query_block`; each task keeps its k best of each query before the shuffle, so a
-    shuffle row is one of a task's best, not a pair.
+    Queries are broadcast in blocks of `query_block`, or as many as MOST_VECTOR_BYTES hold; each task keeps its k best of
+    each query before the shuffle, so a shuffle row is one of a task's best, not a pair. No queries give no rows.
     """
-    import numpy as np
-    import pandas as pd
-
-    ids = queries.select(F.col(id_col).alias("query_id")).distinct()
-    n = ids.count()
-    blocks = max(1, -(-n // query_block))
-    sc = vectors.sparkSession.sparkContext
-    parts = []
-    for block in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == block).filter(F.col(vector_col).isNotNull()).select(id_col, vector_col).collect()
-        if not rows:
-            continue
-        held = sc.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)))
-
-        def run(batches, held=held):
-            qid, q = held.value
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            best = None
-            for pdf in batches:
-                pdf = pdf[pdf["v"].notna()]
-                for i in range(0, len(pdf), 512):
-                    part = pdf.iloc[i : i + 512]
-                    v = np.array(part["v"].tolist(), np.float64)
-                    s = np.floor((v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)) @ q.T * 10**PLACES + 0.5) / 10**PLACES
-                    row, col = np.nonzero(s >= threshold)
-                    got = pd.DataFrame({"query_id": qid[col], "id": part["id"].to_numpy()[row], "score": s[row, col]})
-                    best = got if best is None else pd.concat([best, got])
-                    best = best.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
-            if best is not None:
-                yield best
-
-        parts.append(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInPandas(run, "query_id long, id long, score double"))
-    found = reduce(DataFrame.unionByName, parts)
-    return ranked(found, ["query_id"], "score", "id", k)
+    return ranked(best_vectors(vectors, queries, k, threshold, id_col, vector_col, query_block), ["query_id"], "score", "id", k)
 
 
 # ---------------------------------------------------------------- lexical
 
 
-def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """term, id, tf and dl: the index. Written once it serves all queries; queries only join it by term."""
-    listed = docs.select(F.col(id_col).alias("id"), tokens(text).alias("w"))
-    return listed.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-
-
-def corpus_stats(docs: DataFrame, text: Column) -> DataFrame:
-    """n_docs and avg_len (1 at least): one row."""
-    return docs.select(F.size(tokens(text)).alias("dl")).agg(F.count("*").alias("n_docs"), F.greatest(F.lit(1.0), F.avg("dl")).alias("avg_len"))
-
-
-def bm25_scores(index: DataFrame, stats: DataFrame, queries: DataFrame, text_col: str, query_id: str) -> DataFrame:
-    """query_id, id and score for every document with a term of the query; query terms count once.
+def bm25_scores(index: LexicalIndex, queries: DataFrame, text_col: str, query_id: str) -> DataFrame:
+    """query_id, id and score for every document with a term of the query; query terms count once. For what needs all scores,
+    such as their largest; a ranked list is what bm25_topk is for.
 
     The query terms are joined to the postings by term. A document's parts of a score are added up where they are made
     before they are shuffled.
     """
     terms = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term"))
-    wanted = index.join(terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.col("avg_len")))
-    weighted = wanted.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "id", part.alias("part"))
-    return weighted.join(terms, "term").groupBy("query_id", "id").agg(rounded(F.sum("part")).alias("score"))
+    known = terms.join(index.terms, "term")
+    part = index.weight(F.col("df"), F.col("tf"), F.col("dl"))
+    return index.postings().join(known, "term").groupBy("query_id", "id").agg(rounded(F.sum(part)).alias("score"))
 
 
-def bm25_topk(index: DataFrame, stats: DataFrame, queries: DataFrame, text_col: str, query_id: str, k: int = 12, cap: int = 20) -> DataFrame:
-    return ranked(bm25_scores(index, stats, queries, text_col, query_id), ["query_id"], "score", "id", min(max(1, k), cap))
+def bm25_topk(index: LexicalIndex, queries: DataFrame, text_col: str, query_id: str, k: int = 12, cap: int = 20) -> DataFrame:
+    """Ranked lists of the k best documents of each query; a query without a known term has none."""
+    k = min(max(1, k), cap)
+    return ranked(index.best(queries, text_col, query_id, k), ["query_id"], "score", "id", k)
 
 
 def parse_websearch(query: str) -> list[list[tuple[bool, list[str]]]]:

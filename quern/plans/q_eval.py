@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.operators import chunking as C
 from quern.operators import evaluate as E
 from quern.operators import retrieval as R
-from quern.plans.q_retrieval import _COS, LISTS, _lists
+from quern.plans.q_retrieval import LISTS, _COS, _lexical, _vector
 from quern.plans.registry import query
 from quern.plans.relation import DOCS, documents, table
 
@@ -49,7 +49,7 @@ def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j13_golden_match", f"WITH {LISTS} SELECT a.query_id, coalesce(min(a.rank) FILTER (WHERE contains(d.content, b.text)), 0) AS rank FROM a JOIN docs d USING (id) JOIN benchmark b ON b.item_id = a.query_id GROUP BY a.query_id")
 def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, _, _ = _lists(spark, sf_dir)
+    a = _lexical(spark, sf_dir)
     d = documents(spark, sf_dir).select("id", "content")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     j = a.join(d, "id").join(b, "query_id")
@@ -74,7 +74,7 @@ def a16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a11_metric_rollup", f"WITH {LISTS}, u AS (SELECT 'vector' AS backend, * FROM v UNION ALL SELECT 'bm25', * FROM a) SELECT count(*) AS hits, count(DISTINCT id) AS documents, string_agg(DISTINCT backend, ',' ORDER BY backend) AS backends FROM u")
 def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, _, v = _lists(spark, sf_dir)
+    a, v = _lexical(spark, sf_dir), _vector(spark, sf_dir)
     u = v.withColumn("backend", F.lit("vector")).unionByName(a.withColumn("backend", F.lit("bm25")))
     return u.agg(F.count("*").alias("hits"), F.countDistinct("id").alias("documents"), F.array_join(F.array_sort(F.collect_set("backend")), ",").alias("backends"))
 
@@ -189,6 +189,6 @@ def h6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("j12_outside_ids", f"WITH {LISTS} SELECT query_id, id FROM a WHERE id % 2 = 0")
 def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids named from outside, looked up among the hits; what wasn't a hit is dropped."""
-    a, _, _ = _lists(spark, sf_dir)
+    a = _lexical(spark, sf_dir)
     named = a.filter("id % 2 = 0").select("query_id", "id").unionByName(a.select("query_id", F.lit(-5).cast("long").alias("id")))
     return a.select("query_id", "id").join(named, ["query_id", "id"], "left_semi")

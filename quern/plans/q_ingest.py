@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import corpus, ingest
+from quern.operators.corpus import freshness_note, stale
 from quern.plans.registry import query
 from quern.plans.relation import CORPORA, DOCS, corpora, documents, table
 
@@ -287,31 +288,38 @@ def w4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.min("doc_id").alias("doc_id"))
 
 
-_STALE = [(1, None), (2, ""), (3, "2030-06-15"), (4, "2030-06-14"), (5, "garbage"), (6, "2031-01-01")]
+#: Dates of pages: valid, expired, blank and garbled ones.
+_DATES = """dated AS (SELECT page_id, url, html, CASE WHEN page_id % 5 = 0 THEN '' ELSE strftime(DATE '2030-06-01' + CAST(page_id % 30 AS INT), '%Y-%m-%d') END AS snap,
+  CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 7 = 0 THEN 'garbage' ELSE strftime(DATE '2030-06-05' + CAST(page_id % 30 AS INT), '%Y-%m-%d') END AS e FROM pages),
+noted AS (SELECT *, CASE WHEN coalesce(trim(e), '') = '' THEN false ELSE coalesce(DATE '2030-06-15' > TRY_CAST(e AS DATE), true) END AS stale FROM dated),
+fresh AS (SELECT *, CASE WHEN snap = '' AND coalesce(e, '') = '' THEN '' WHEN stale THEN '快照日期 ' || snap || '，已于 ' || e || ' 过期；不得作为当前事实，实时问题必须调用工具或明确说明无法核验。' ELSE '快照日期 ' || snap || '，有效期至 ' || coalesce(e, '') || '。' END AS note FROM noted)"""
 
 
-def stale(expires: F.Column, as_of: str) -> F.Column:
-    """Blank never expires, what isn't a date has expired, else the day after expiry."""
-    blank = F.trim(F.coalesce(expires, F.lit(""))) == ""
-    return F.when(blank, False).otherwise(F.coalesce(F.lit(as_of).cast("date") > F.try_to_date(expires, "yyyy-MM-dd"), F.lit(True)))
+def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = lambda first: F.date_format(F.date_add(F.lit(first).cast("date"), (F.col("page_id") % 30).cast("int")), "yyyy-MM-dd")
+    blank = F.col("page_id") % 5 == 0
+    expires = F.when(blank, None).when(F.col("page_id") % 7 == 0, "garbage").otherwise(day("2030-06-05"))
+    return table(spark, sf_dir, "pages").withColumns({"snap": F.when(blank, "").otherwise(day("2030-06-01")), "e": expires})
 
 
-@query(
-    "f6_staleness",
-    "SELECT n, CASE WHEN coalesce(trim(e), '') = '' THEN false ELSE coalesce(DATE '2030-06-15' > TRY_CAST(e AS DATE), true) END AS stale, CASE WHEN coalesce(trim(e), '') = '' THEN 'no expiry' WHEN coalesce(DATE '2030-06-15' > TRY_CAST(e AS DATE), true) THEN 'expired ' || e ELSE 'valid until ' || e END AS note FROM (VALUES (1, NULL), (2, ''), (3, '2030-06-15'), (4, '2030-06-14'), (5, 'garbage'), (6, '2031-01-01')) t(n, e)",
-)
+@query("f6_staleness", f"WITH {_DATES} SELECT page_id, stale FROM noted")
 def f6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame(_STALE, "n int, e string").withColumn("stale", stale(F.col("e"), "2030-06-15"))
-    return d.select("n", "stale", F.when(F.trim(F.coalesce("e", F.lit(""))) == "", "no expiry").when(F.col("stale"), F.concat(F.lit("expired "), "e")).otherwise(F.concat(F.lit("valid until "), "e")).alias("note"))
+    return _dated(spark, sf_dir).select("page_id", stale(F.col("e"), "2030-06-15").alias("stale"))
+
+
+@query("f7_freshness_note", f"WITH {_DATES} SELECT page_id, note FROM fresh")
+def f7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dated(spark, sf_dir).select("page_id", freshness_note(F.col("snap"), F.col("e"), "2030-06-15").alias("note"))
 
 
-_STRATEGIES = [(1, "vector"), (2, " HYBRID "), (3, "nothing"), (4, None), (5, "Keyword"), (6, "hybrid_rerank")]
+_STRATEGY = "CASE doc_id % 6 WHEN 0 THEN 'vector' WHEN 1 THEN ' HYBRID ' WHEN 2 THEN source WHEN 3 THEN NULL WHEN 4 THEN 'Keyword' ELSE 'hybrid_rerank' END"
 
 
-@query("f9_strategy_parse", "SELECT n, CASE WHEN upper(trim(coalesce(s, ''))) IN ('VECTOR', 'KEYWORD', 'HYBRID', 'HYBRID_RERANK') THEN upper(trim(s)) ELSE 'HYBRID_RERANK' END AS strategy FROM (VALUES (1, 'vector'), (2, ' HYBRID '), (3, 'nothing'), (4, NULL), (5, 'Keyword'), (6, 'hybrid_rerank')) t(n, s)")
+@query("f9_strategy_parse", f"WITH d AS (SELECT doc_id, {_STRATEGY} AS s FROM documents) SELECT doc_id, CASE WHEN upper(trim(coalesce(s, ''))) IN ('VECTOR', 'KEYWORD', 'HYBRID', 'HYBRID_RERANK') THEN upper(trim(s)) ELSE 'HYBRID_RERANK' END AS strategy FROM d")
 def f9(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.upper(F.trim(F.coalesce("s", F.lit(""))))
-    return spark.createDataFrame(_STRATEGIES, "n int, s string").select("n", F.when(s.isin("VECTOR", "KEYWORD", "HYBRID", "HYBRID_RERANK"), s).otherwise("HYBRID_RERANK").alias("strategy"))
+    asked = table(spark, sf_dir, "documents").select("doc_id", F.expr(_STRATEGY).alias("s"))
+    return asked.select("doc_id", F.when(s.isin("VECTOR", "KEYWORD", "HYBRID", "HYBRID_RERANK"), s).otherwise("HYBRID_RERANK").alias("strategy"))
 
 
 @query("s17_recommendations", "SELECT * FROM (VALUES ('q one', 'a'), ('q two', 'b'), ('q three', 'c')) t(question, category)")

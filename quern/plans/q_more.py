@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.operators import engine, ingest
 from quern.operators import retrieval as R
+from quern.operators.index import LexicalIndex
 from quern.plans.q_ingest import _OLD, _STATUS, _chunks, _incoming, _old
-from quern.plans.q_retrieval import LISTS, SEEN, _bm25_sql, _lists, _tok, _visible
+from quern.plans.q_retrieval import LISTS, SEEN, _bm25_sql, _lexical, _tok, _vector, lexical_index
 from quern.plans.registry import query
 from quern.plans.relation import CORPORA, DOCS, corpora, documents, table
+from quern.sources.tables import new_folder
 
 
 @query("j2_composite_join", f"WITH {DOCS}, ck AS (SELECT corpus_id, external_id AS document_id, unnest([0, 1]) AS chunk_index FROM docs) SELECT d.corpus_id, d.external_id AS document_id, chunk_index, title FROM ck JOIN docs d ON d.external_id = ck.document_id AND d.corpus_id = ck.corpus_id")
@@ -42,7 +42,7 @@ def j7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j9_candidate_merge", f"WITH {LISTS} SELECT query_id, id, max(vs) AS vs, max(bs) AS bs FROM (SELECT query_id, id, score AS vs, 0.0::DOUBLE AS bs FROM v UNION ALL SELECT query_id, id, 0.0::DOUBLE, score FROM a WHERE score > 0) GROUP BY ALL")
 def j9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, _, v = _lists(spark, sf_dir)
+    a, v = _lexical(spark, sf_dir), _vector(spark, sf_dir)
     z = F.lit(0.0)
     both = v.select("query_id", "id", F.col("score").alias("vs"), z.alias("bs")).unionByName(a.filter("score > 0").select("query_id", "id", z.alias("vs"), F.col("score").alias("bs")))
     return both.groupBy("query_id", "id").agg(F.max("vs").alias("vs"), F.max("bs").alias("bs"))
@@ -55,7 +55,7 @@ def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a6_rrf_scores", f"WITH {LISTS} SELECT query_id, id, floor(sum(1.0::DOUBLE / (60 + rank)) * 1e9 + 0.5) / 1e9 AS score FROM (SELECT query_id, id, rank FROM v UNION ALL SELECT query_id, id, rank FROM a) GROUP BY ALL")
 def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, _, v = _lists(spark, sf_dir)
+    a, v = _lexical(spark, sf_dir), _vector(spark, sf_dir)
     u = v.select("query_id", "id", "rank").unionByName(a.select("query_id", "id", "rank"))
     return u.groupBy("query_id", "id").agg(R.rounded(F.sum(F.lit(1.0) / (60 + F.col("rank"))), 9).alias("score"))
 
@@ -90,7 +90,7 @@ def k3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r4_posting_index", f"WITH {SEEN}, l AS (SELECT id, {_tok('content')} AS w FROM seen) SELECT term, id, len(w) AS dl, count(*) AS tf FROM (SELECT id, w, unnest(w) AS term FROM l) GROUP BY ALL")
 def r4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.postings(_visible(spark, sf_dir), "id", F.col("content")).select("term", "id", F.col("dl").cast("long").alias("dl"), "tf")
+    return lexical_index(spark, sf_dir).postings().select("term", "id", F.col("dl").cast("long").alias("dl"), "tf")
 
 
 @query("r5_lexical_router", f"WITH {SEEN}, {_bm25_sql('b', 'seen', 'content', 'benchmark', 'text', 'item_id', 12)} SELECT query_id, id, rank, 'FTS' AS backend, 'BM25_RUNTIMEERROR' AS reason FROM b")
@@ -101,8 +101,7 @@ def r5(spark: SparkSession, sf_dir: str) -> DataFrame:
         raise RuntimeError("replica is away")
 
     def full_text() -> DataFrame:
-        d, c = _visible(spark, sf_dir), F.col("content")
-        return R.bm25_topk(R.postings(d, "id", c), R.corpus_stats(d, c), table(spark, sf_dir, "benchmark"), "text", "item_id", 12)
+        return _lexical(spark, sf_dir)
 
     hits, backend, reason = engine.LexicalRouter({"BM25": broken, "FTS": full_text}, "BM25").hits()
     return hits.select("query_id", "id", "rank", F.lit(backend).alias("backend"), F.lit(reason).alias("reason"))
@@ -110,7 +109,7 @@ def r5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r25_identity_rerank", f"WITH {LISTS} SELECT query_id, id, rank FROM a")
 def r25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lists(spark, sf_dir)[0].select("query_id", "id", "rank")
+    return _lexical(spark, sf_dir).select("query_id", "id", "rank")
 
 
 _SMOKE = [
@@ -127,7 +126,7 @@ _SMOKE_SQL = "k AS (SELECT * FROM (VALUES " + ", ".join(map(str, _SMOKE)) + ") t
 def r26(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = spark.createDataFrame(_SMOKE, "id string, content string")
     q = spark.createDataFrame([(1, "XQ-417"), (2, "Northwind Q3 2031 sales")], "qid int, text string")
-    return R.bm25_topk(R.postings(k, "id", F.col("content")), R.corpus_stats(k, F.col("content")), q, "text", "qid", 5).select("query_id", "id", "score", "rank")
+    return R.bm25_topk(LexicalIndex(k, "id", F.col("content")), q, "text", "qid", 5).select("query_id", "id", "score", "rank")
 
 
 @query("w1_row_numbers", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rank FROM conversations")
@@ -143,7 +142,7 @@ def w3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w2_rerank_positions", f"WITH {LISTS} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) AS rank FROM a")
 def w2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _lists(spark, sf_dir)[0]
+    a = _lexical(spark, sf_dir)
     return a.select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rank"))).alias("rank"))
 
 
@@ -154,13 +153,13 @@ def o4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("u1_list_union", f"WITH {LISTS} SELECT query_id, id, min(rank) AS rank FROM (SELECT query_id, id, rank FROM v UNION ALL SELECT query_id, id, rank FROM a) GROUP BY ALL")
 def u1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, _, v = _lists(spark, sf_dir)
+    a, v = _lexical(spark, sf_dir), _vector(spark, sf_dir)
     return v.select("query_id", "id", "rank").unionByName(a.select("query_id", "id", "rank")).groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
 
 
 @query("u2_set_intersection", f"WITH {LISTS} SELECT query_id, id FROM v INTERSECT SELECT query_id, id FROM a")
 def u2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, _, v = _lists(spark, sf_dir)
+    a, v = _lexical(spark, sf_dir), _vector(spark, sf_dir)
     return v.select("query_id", "id").intersect(a.select("query_id", "id"))
 
 
@@ -196,12 +195,12 @@ def m7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m8_index_health", f"WITH {SEEN}, l AS (SELECT {_tok('content')} AS w FROM seen) SELECT count(*) > 0 AS healthy FROM l WHERE list_contains(w, 'the')")
 def m8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.postings(_visible(spark, sf_dir), "id", F.col("content")).filter("term = 'the'").agg((F.count("*") > 0).alias("healthy"))
+    return lexical_index(spark, sf_dir).terms.filter("term = 'the'").agg((F.count("*") > 0).alias("healthy"))
 
 
 @query("m12_ablation", f"WITH {LISTS}, u AS (SELECT 'VECTOR' AS strategy, query_id, id FROM v UNION ALL SELECT 'KEYWORD', query_id, id FROM a) SELECT strategy, count(DISTINCT query_id) AS answered, count(*) AS hits FROM u GROUP BY strategy")
 def m12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, _, v = _lists(spark, sf_dir)
+    a, v = _lexical(spark, sf_dir), _vector(spark, sf_dir)
     u = v.select(F.lit("VECTOR").alias("strategy"), "query_id", "id").unionByName(a.select(F.lit("KEYWORD").alias("strategy"), "query_id", "id"))
     return u.groupBy("strategy").agg(F.countDistinct("query_id").alias("answered"), F.count("*").alias("hits"))
 
@@ -218,7 +217,7 @@ def t1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream of files, taken in twice: the second run adds nothing."""
     from quern.streaming.ingest import SCHEMA, VersionedTable, ingest_stream
 
-    home = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quern-stream-")) + f"/ingest-{spark.sparkContext.startTime}-{id(object())}"
+    home = new_folder(spark, "ingest")
     store = VersionedTable(spark, f"{home}/table")
     schema = table(spark, sf_dir, "documents").schema
     for _ in range(2):

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators import retrieval as R
 from quern.operators.access import AccessContext, visible, with_contexts
+from quern.operators.index import LexicalIndex
+from quern.operators.corpus import freshness_note
+from quern.plans.q_ingest import _DATES, _dated
 from quern.plans.registry import query
 from quern.plans.relation import CORPORA, DOCS, LIVE, corpora, documents, live, table
+from quern.sources.tables import written
 
 READER = AccessContext.of("engineering", None)
 
@@ -41,19 +45,34 @@ def _bm25_sql(name: str, docs: str, text: str, queries: str, qtext: str, qid: st
 {n} AS ({top})"""
 
 
-def _bm25(docs: DataFrame, text: str, queries: DataFrame, k: int, query_id: str = "item_id", text_col: str = "text") -> DataFrame:
-    col = F.col(text)
-    return R.bm25_topk(R.postings(docs, "id", col), R.corpus_stats(docs, col), queries, text_col, query_id, k)
+_INDEXES: dict[tuple[str, str, str], LexicalIndex] = {}
+
+
+def lexical_index(spark: SparkSession, sf_dir: str, column: str = "content") -> LexicalIndex:
+    """The index of what READER may see, written once a session and read by every query."""
+    key = (spark.sparkContext.applicationId, sf_dir, column)
+    if key not in _INDEXES:
+        _INDEXES[key] = LexicalIndex(_visible(spark, sf_dir), "id", F.col(column))
+    return _INDEXES[key]
+
+
+def _lexical(spark: SparkSession, sf_dir: str, column: str = "content") -> DataFrame:
+    return R.bm25_topk(lexical_index(spark, sf_dir, column), table(spark, sf_dir, "benchmark"), "text", "item_id", 12)
+
+
+def _vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, e = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
+    return R.vector_topk_batch(e, e.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi"))
 
 
 @query("r3_bm25_topk", f"WITH {SEEN}, {_bm25_sql('b', 'seen', 'content', 'benchmark', 'text', 'item_id', 12)} SELECT query_id, id, score, rank FROM b")
 def r3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bm25(_visible(spark, sf_dir), "content", table(spark, sf_dir, "benchmark"), 12)
+    return _lexical(spark, sf_dir)
 
 
 @query("a7_bm25_statistics", f"WITH {SEEN}, l AS (SELECT id, {_tok('content')} AS w FROM seen) SELECT term, count(DISTINCT id) AS df, count(*) AS occurrences FROM (SELECT id, unnest(w) AS term FROM l) GROUP BY term")
 def a7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = R.postings(_visible(spark, sf_dir), "id", F.col("content"))
+    index = lexical_index(spark, sf_dir).postings()
     return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 
 
@@ -102,12 +121,6 @@ v AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER
   SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark)) WHERE score >= 0.2 QUALIFY rank <= 12)"""
 
 
-def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs, items, e = _visible(spark, sf_dir), table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
-    asked = e.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
-    return _bm25(docs, "content", items, 12), _bm25(docs, "title", items, 12), R.vector_topk_batch(e, asked)
-
-
 def _rrf_sql(lists: list[str], n: int, name: str = "f") -> str:
     union = " UNION ALL ".join(f"SELECT query_id, id, rank FROM {x}" for x in lists)
     return f"""{name}_s AS (SELECT query_id, id, floor(sum(1.0::DOUBLE / (60 + rank)) * 1e9 + 0.5) / 1e9 AS score FROM ({union}) GROUP BY ALL),
@@ -116,25 +129,25 @@ def _rrf_sql(lists: list[str], n: int, name: str = "f") -> str:
 
 @query("r6_rrf_two_lists", f"WITH {LISTS}, {_rrf_sql(['v', 'a'], 15)} SELECT query_id, id, score, rank FROM f")
 def r6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, _, v = _lists(spark, sf_dir)
+    a, v = _lexical(spark, sf_dir), _vector(spark, sf_dir)
     return R.rrf([v, a], 15, by=["query_id"])
 
 
 @query("r7_rrf_many_lists", f"WITH {LISTS}, {_rrf_sql(['v', 'a', 't'], 15)} SELECT query_id, id, score, rank FROM f")
 def r7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, t, v = _lists(spark, sf_dir)
+    a, t, v = _lexical(spark, sf_dir), _lexical(spark, sf_dir, "title"), _vector(spark, sf_dir)
     return R.rrf([v, a, t], 15, by=["query_id"])
 
 
 @query("a10_candidate_count", f"WITH {LISTS} SELECT query_id, count(DISTINCT id) AS candidates FROM (SELECT query_id, id FROM v UNION ALL SELECT query_id, id FROM a) GROUP BY query_id")
 def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, _, v = _lists(spark, sf_dir)
+    a, v = _lexical(spark, sf_dir), _vector(spark, sf_dir)
     return v.select("query_id", "id").unionByName(a.select("query_id", "id")).groupBy("query_id").agg(F.countDistinct("id").alias("candidates"))
 
 
 @query("j8_ranked_list_merge", f"WITH {LISTS}, u AS (SELECT *, 0 AS l, 'vector' AS origin FROM v UNION ALL SELECT *, 1, 'lexical' FROM a) SELECT query_id, id, arg_min(origin, l) AS origin, count(*) AS lists FROM u GROUP BY query_id, id")
 def j8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, _, v = _lists(spark, sf_dir)
+    a, v = _lexical(spark, sf_dir), _vector(spark, sf_dir)
     both = v.withColumn("l", F.lit(0)).withColumn("origin", F.lit("vector")).unionByName(a.withColumn("l", F.lit(1)).withColumn("origin", F.lit("lexical")))
     return both.groupBy("query_id", "id").agg(F.min_by("origin", "l").alias("origin"), F.count("*").alias("lists"))
 
@@ -159,7 +172,7 @@ def _filled(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
 
 @query("r8_heuristic_rerank", f"WITH {LISTS}, {_rrf_sql(['v', 'a'], 15)}, {_rerank_sql('f', 'r')} SELECT query_id, id, score, rank FROM r")
 def r8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, _, v = _lists(spark, sf_dir)
+    a, v = _lexical(spark, sf_dir), _vector(spark, sf_dir)
     hits = _filled(spark, sf_dir, R.rrf([v, a], 15, by=["query_id"]))
     return R.heuristic_rerank(hits, F.col("q"), ["query_id"]).select("query_id", "id", "score", "rank")
 
@@ -172,7 +185,7 @@ def _budget(source: str, name: str, k: int = 5, chars: int = 9000) -> str:
 
 @query("r20_context_budget", f"WITH {LISTS}, {_rrf_sql(['v', 'a'], 15)}, {_rerank_sql('f', 'r')}, {_budget('r', 'g')} SELECT query_id, id, new_rank AS rank, md5(content) AS content_md5, length(content) AS chars FROM g")
 def r20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, _, v = _lists(spark, sf_dir)
+    a, v = _lexical(spark, sf_dir), _vector(spark, sf_dir)
     hits = R.heuristic_rerank(_filled(spark, sf_dir, R.rrf([v, a], 15, by=["query_id"])), F.col("q"), ["query_id"])
     return R.within_budget(hits, ["query_id"]).select("query_id", "id", "rank", F.md5("content").alias("content_md5"), F.length("content").cast("long").alias("chars"))
 
@@ -187,8 +200,8 @@ UNION ALL SELECT 'HYBRID', query_id, id, score, new_rank FROM gh UNION ALL SELEC
 )
 def r21(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four strategies; vector and keyword keep their raw scores."""
-    a, _, v = _lists(spark, sf_dir)
-    fused = R.rrf([v, a], 15, by=["query_id"])
+    a, v = written(_lexical(spark, sf_dir), "hits"), written(_vector(spark, sf_dir), "hits")  # each is read three times
+    fused = written(R.rrf([v, a], 15, by=["query_id"]), "hits")
     ways = {"VECTOR": v, "KEYWORD": a, "HYBRID": fused}
     out = [R.within_budget(_filled(spark, sf_dir, x), ["query_id"]).withColumn("strategy", F.lit(name)) for name, x in ways.items()]
     out.append(R.within_budget(R.heuristic_rerank(_filled(spark, sf_dir, fused), F.col("q"), ["query_id"]), ["query_id"]).withColumn("strategy", F.lit("HYBRID_RERANK")))
@@ -207,7 +220,7 @@ def r23(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").withColumn("rw", F.split("text", r"\. "))
     items = items.withColumn("rw", R.clean_rewrites(items, F.col("text"), "rw"))
     asked = items.select((F.col("item_id") * 10).alias("qid"), F.posexplode(F.concat(F.array("text"), "rw")).alias("part", "t")).select((F.col("qid") + F.col("part")).alias("qid"), "t")
-    found = _bm25(_visible(spark, sf_dir), "content", asked, 5, "qid", "t")
+    found = R.bm25_topk(lexical_index(spark, sf_dir), asked, "t", "qid", 5)
     return R.rrf([found.select(F.floor(F.col("query_id") / 10).cast("long").alias("query_id"), "id", "rank")], 5, by=["query_id"])
 
 
@@ -228,7 +241,7 @@ SELECT a.query_id, a.id, row_number() OVER (PARTITION BY a.query_id ORDER BY pos
 )
 def r9b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An outside re-ranker that returns some hits in reverse and ids that no one asked for."""
-    a, _, _ = _lists(spark, sf_dir)
+    a = _lexical(spark, sf_dir)
     order = a.filter("id % 3 = 0").select("query_id", "id", (13 - F.col("rank")).alias("position"))
     order = order.unionByName(a.select("query_id", F.lit(-1).cast("long").alias("id"), F.lit(0).alias("position")))
     return R.merge_order(a.select("query_id", "id", "rank"), order, ["query_id"])
@@ -276,7 +289,7 @@ def p3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p8_source_frames", f"""WITH {LISTS}, j AS (SELECT a.query_id, a.rank, d.external_id, d.source, d.title FROM a JOIN docs d USING (id)) SELECT query_id, string_agg(external_id || '@' || source || '#' || rank, ';' ORDER BY rank) AS frame FROM j GROUP BY query_id""")
 def p8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, _, _ = _lists(spark, sf_dir)
+    a = _lexical(spark, sf_dir)
     j = a.join(documents(spark, sf_dir).select("id", "external_id", "source"), "id")
     one = F.concat("external_id", F.lit("@"), "source", F.lit("#"), "rank")
     return j.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", one.alias("x")))), lambda s: s["x"]), ";").alias("frame"))
@@ -288,7 +301,7 @@ def p8(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT b.item_id AS query_id, md5(coalesce(string_agg(t, chr(10) || chr(10) ORDER BY rank), 'insufficient evidence')) AS context_md5 FROM benchmark b LEFT JOIN j ON j.query_id = b.item_id GROUP BY b.item_id""",
 )
 def p9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, _, _ = _lists(spark, sf_dir)
+    a = _lexical(spark, sf_dir)
     d = documents(spark, sf_dir)
     block = F.concat(F.lit("["), "source_type", F.lit(" | "), "title", F.lit(" | "), "external_id", F.lit("]\n"), F.coalesce("content", F.lit("")))
     j = a.join(d.select("id", block.alias("t")), "id").groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "t"))), lambda s: s["t"]), "\n\n").alias("c"))
@@ -296,17 +309,24 @@ def p9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(j, "query_id", "left").select("query_id", F.md5(F.coalesce("c", F.lit("insufficient evidence"))).alias("context_md5"))
 
 
+_ESCAPED = "replace(replace(replace(replace({}, '&', '&amp;'), '\"', '&quot;'), '<', '&lt;'), '>', '&gt;')"
+
+
 @query(
     "p10_escaped_context",
-    "SELECT page_id, md5('<document source=\"' || replace(replace(replace(replace(url, '&', '&amp;'), '\"', '&quot;'), '<', '&lt;'), '>', '&gt;') || '\">' || html || '</document>') AS context_md5 FROM pages",
+    f"WITH {_DATES} SELECT page_id, md5('<document source=\"' || {_ESCAPED.format('url')} || '\" section=\"' || {_ESCAPED.format('snap')} || '\" freshness=\"' || {_ESCAPED.format('note')} || '\">' || chr(10) || html || chr(10) || '</document>') AS context_md5 FROM fresh",
 )
 def p10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(F.concat(F.lit('<document source="'), T.xml_escape(F.col("url")), F.lit('">'), "html", F.lit("</document>"))).alias("context_md5"))
+    """Each page as a document of the answer's context, with its snapshot's note; the snapshot's date stands for a section."""
+    d = _dated(spark, sf_dir)
+    named = {"source": F.col("url"), "section": F.col("snap"), "freshness": freshness_note(F.col("snap"), F.col("e"), "2030-06-15")}
+    head = F.concat_ws(" ", *(F.concat(F.lit(f'{k}="'), T.xml_escape(v), F.lit('"')) for k, v in named.items()))
+    return d.select("page_id", F.md5(F.concat(F.lit("<document "), head, F.lit(">\n"), "html", F.lit("\n</document>"))).alias("context_md5"))
 
 
 # ---------------------------------------------------------------- lexical scoring with intents
 
-# Fixed values of the intent rules: the first rule with a word in the question decides.
+# Fixed values of the intent rules: the first rule with a word in the question decides; the trend rule comes before them.
 INTENTS = [
     (["工作", "经历", "公司"], ["career"]),
     (["教育", "学校", "学历", "大学", "专业", "毕业"], ["education"]),
@@ -316,6 +336,7 @@ INTENTS = [
     (["兴趣", "性格", "爱好", "理念"], ["interests", "personality"]),
     (["定位", "求职", "目标", "岗位"], ["positioning", "goals"]),
 ]
+TREND_PAIRS = [(["github"], ["趋势", "热门", "火爆", "值得关注"]), (["插件", "plugin", "skill"], ["趋势", "热门", "生态", "分发"])]
 TREND_WORDS = ["github trend", "github trending", "github趋势", "开源趋势", "热门仓库"]
 COMPREHENSIVE = ["全部", "所有", "完整", "详细", "全面", "总览", "一览"]
 RECENT = ["最近", "最新", "本周", "当前", "现在"]
@@ -328,7 +349,7 @@ def any_of(c: F.Column, words: list[str]) -> F.Column:
 def intent(question: F.Column) -> F.Column:
     """Categories that the question asks for; empty if none."""
     q = F.lower(F.coalesce(question, F.lit("")))
-    trend = any_of(q, TREND_WORDS) | (F.contains(q, F.lit("github")) & any_of(q, ["趋势", "热门", "火爆", "值得关注"])) | (any_of(q, ["插件", "plugin", "skill"]) & any_of(q, ["趋势", "热门", "生态", "分发"]))
+    trend = reduce(lambda a, b: a | b, [any_of(q, x) & any_of(q, y) for x, y in TREND_PAIRS], any_of(q, TREND_WORDS))
     out = F.when(trend, F.array(F.lit("trends")))
     for words, names in INTENTS:
         out = out.when(any_of(q, words), F.array(*map(F.lit, names)))
@@ -356,7 +377,7 @@ def hybrid_score(vector: F.Column, bm25: F.Column, metadata: F.Column) -> F.Colu
 
 
 _ASKED = [(1, "GitHub Trending 最近有什么"), (2, "公司经历"), (3, "大学 专业"), (4, "哪些项目 RAG"), (5, "熟悉 Python 吗, 全部"), (6, "邮箱"), (7, "爱好"), (8, "目标 岗位 详细"), (9, "hello"), (10, None), (11, "plugin 生态"), (12, "hadoop")]
-_ASKED_SQL = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if t is None else repr(t)})" for i, t in _ASKED) + ") t(qid, question))"
+_ASKED_SQL = "ph AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if t is None else repr(t)})" for i, t in _ASKED) + ") t(i, phrase)), q AS (SELECT conv_id * 1000 + turn AS qid, phrase || ' ' || text AS question FROM conversations JOIN ph ON i = (conv_id + turn) % 12 + 1)"
 
 
 def _any_sql(c: str, words: list[str]) -> str:
@@ -370,19 +391,22 @@ _INTENT_SQL = (
 )
 
 
-def _asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_ASKED, "qid int, question string")
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of the conversations, led by a phrase that asks for something; where that is null, so is the question."""
+    phrases = F.array(*(F.lit(t).cast("string") for _, t in _ASKED))
+    at = ((F.col("conv_id") + F.col("turn")) % 12 + 1).cast("int")
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.concat(F.element_at(phrases, at), F.lit(" "), "text").alias("question"))
 
 
 @query("r13_intent", f"WITH {_ASKED_SQL}, z AS (SELECT qid, lower(coalesce(question, '')) AS l FROM q) SELECT qid, {_INTENT_SQL} AS categories FROM z")
 def r13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _asked(spark).select("qid", F.array_join(intent(F.col("question")), ",").alias("categories"))
+    return _asked(spark, sf_dir).select("qid", F.array_join(intent(F.col("question")), ",").alias("categories"))
 
 
 @query("r18_budget_widening", f"WITH {_ASKED_SQL}, z AS (SELECT qid, {_any_sql('lower(coalesce(question, chr(32)))', COMPREHENSIVE)} AS wide FROM q) SELECT qid, CASE WHEN wide THEN 8 ELSE 4 END AS k, CASE WHEN wide THEN 10000 ELSE 4800 END AS chars FROM z")
 def r18(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, chars = budget_of(F.col("question"))
-    return _asked(spark).select("qid", k.alias("k"), chars.alias("chars"))
+    return _asked(spark, sf_dir).select("qid", k.alias("k"), chars.alias("chars"))
 
 
 _CHUNKS = [("c1", "career", "职业生涯", "hadoop", ""), ("c2", "projects", "项目", "rag", "widget"), ("c3", "trends", "自动快照", "", ""), ("c4", "trends", "分析", "plugin", ""), ("c5", "skills", "技术栈", "", "")]
@@ -397,7 +421,7 @@ SELECT qid, chunk_id, CAST(CASE WHEN list_contains(cats, 'trends') AND {_any_sql
 """ + " ".join(f"WHEN contains(l, '{n}') THEN CASE WHEN contains(lower(topic), '{n}') OR contains(lower(project), '{n}') THEN 1.0 ELSE 0.1 END" for n in NAMED) + """ WHEN list_contains(cats, category) THEN 0.8 ELSE 0.0 END AS DOUBLE) AS metadata_score FROM y, k""",
 )
 def r14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _asked(spark).withColumn("cats", intent(F.col("question")))
+    q = _asked(spark, sf_dir).withColumn("cats", intent(F.col("question")))
     k = spark.createDataFrame(_CHUNKS, "chunk_id string, category string, section string, topic string, project string")
     score = metadata_score(F.col("question"), F.col("cats"), F.col("category"), F.col("section"), F.col("topic"), F.col("project"), NAMED)
     return q.crossJoin(F.broadcast(k)).select("qid", "chunk_id", score.alias("metadata_score"))
@@ -408,9 +432,7 @@ def r14(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {SEEN}, {_bm25_sql('b', 'seen', 'content', 'benchmark', 'text', 'item_id')}, m AS (SELECT query_id, max(score) AS top FROM b GROUP BY query_id) SELECT query_id, id, floor(score / top * 1e6 + 0.5) / 1e6 AS score FROM b JOIN m USING (query_id) WHERE top > 0",
 )
 def r10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _visible(spark, sf_dir)
-    c = F.col("content")
-    s = R.bm25_scores(R.postings(docs, "id", c), R.corpus_stats(docs, c), table(spark, sf_dir, "benchmark"), "text", "item_id")
+    s = R.bm25_scores(lexical_index(spark, sf_dir), table(spark, sf_dir, "benchmark"), "text", "item_id")
     top = s.groupBy("query_id").agg(F.max("score").alias("top")).filter("top > 0")
     return s.join(top, "query_id").select("query_id", "id", R.rounded(F.col("score") / F.col("top")).alias("score"))
 
@@ -424,7 +446,7 @@ f AS (SELECT query_id, id, floor((CASE WHEN vs = 0.0 THEN bs * 0.45 + ms * 0.55
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f WHERE score > 0.05""",
 )
 def r15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, _, v = _lists(spark, sf_dir)
+    a, v = _lexical(spark, sf_dir), _vector(spark, sf_dir)
     top = a.groupBy("query_id").agg(F.max("score").alias("top")).filter("top > 0")
     zero = F.lit(0.0)
     both = v.select("query_id", "id", F.col("score").alias("vs"), zero.alias("bs")).unionByName(a.join(top, "query_id").select("query_id", "id", zero.alias("vs"), (F.col("score") / F.col("top")).alias("bs")))
@@ -437,7 +459,7 @@ def r15(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("r16_vector_retry", f"WITH {LISTS}, n AS (SELECT v.*, d.lang FROM v JOIN documents d ON d.doc_id = v.id), h AS (SELECT query_id, count(*) FILTER (WHERE lang = 'de') AS c FROM n GROUP BY query_id) SELECT query_id, id, score FROM n JOIN h USING (query_id) WHERE c < 2 OR lang = 'de'")
 def r16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A filtered search with fewer than two hits is done again without the filter."""
-    _, _, v = _lists(spark, sf_dir)
+    v = _vector(spark, sf_dir)
     n = v.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang"), "id")
     h = n.groupBy("query_id").agg(F.count_if(F.col("lang") == "de").alias("c"))
     return n.join(h, "query_id").filter("c < 2 OR lang = 'de'").select("query_id", "id", "score")
@@ -449,7 +471,7 @@ def r16(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query_id, id, new_rank AS rank, length(content) AS chars FROM g""",
 )
 def r17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, _, _ = _lists(spark, sf_dir)
+    a = _lexical(spark, sf_dir)
     n = a.join(documents(spark, sf_dir).select("id", "source", "content"), "id")
     first = n.withColumn("__n", F.row_number().over(Window.partitionBy("query_id", "source").orderBy("rank"))).filter("__n = 1").drop("__n")
     return R.within_budget(first, ["query_id"], 4, 4800).select("query_id", "id", "rank", F.length("content").cast("long").alias("chars"))

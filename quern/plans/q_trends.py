@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import trends as X
 from quern.plans.registry import query
 from quern.plans.relation import table
+from quern.sources.tables import numbered
 
 # users ranked by the value of their events: the latest week, the latest month, and all
 _LISTS = """e AS (SELECT user_id, value, ts, max(ts) OVER () AS last FROM events),
@@ -27,7 +28,8 @@ def _list(spark: SparkSession, sf_dir: str, signal: str, days: int | None) -> Da
         e = e.crossJoin(F.broadcast(last)).filter(F.col("ts") > F.col("last") - F.expr(f"INTERVAL {days} DAYS"))
     g = e.groupBy("user_id").agg(F.count("*").alias("n"))
     text = F.when(F.col("user_id") % 7 == 0, "").when(F.col("user_id") % 3 == 0, f"agent {signal}").otherwise(f"thing | {signal}")
-    return g.select(F.concat(F.lit("u/"), "user_id").alias("repo"), text.alias("description"), F.col("n").alias("period_stars"), (F.col("n") * 1000).alias("total_stars"), F.row_number().over(Window.orderBy(F.desc("n"), "user_id")).alias("rank"))
+    g = g.select("user_id", F.concat(F.lit("u/"), "user_id").alias("repo"), text.alias("description"), F.col("n").alias("period_stars"), (F.col("n") * 1000).alias("total_stars"))
+    return numbered(g, "rank", F.desc("period_stars"), "user_id").drop("user_id")
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +48,8 @@ def w5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("o2_trend_order", f"WITH {_LISTS}, {_MERGED} SELECT repo, row_number() OVER (ORDER BY least(weekly_rank, monthly_rank), weekly_stars DESC, monthly_stars DESC, total_stars DESC, repo) AS place FROM m")
 def o2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.orderBy(F.least("weekly_rank", "monthly_rank"), F.desc("weekly_stars"), F.desc("monthly_stars"), F.desc("total_stars"), "repo")
-    return _merged(spark, sf_dir).select("repo", F.row_number().over(w).alias("place"))
+    order = (F.least("weekly_rank", "monthly_rank"), F.desc("weekly_stars"), F.desc("monthly_stars"), F.desc("total_stars"), "repo")
+    return numbered(_merged(spark, sf_dir), "place", *order).select("repo", "place")
 
 
 _SELECTED = f"""q AS (SELECT *, {_RELEVANT} AS relevant, least(weekly_rank, monthly_rank) AS best FROM m),
@@ -79,9 +81,25 @@ def k7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir).select("repo", row.alias("row"))
 
 
-@query("s15_page_articles")
+_ARTICLES = """p AS (SELECT p_partkey // 20 AS page_id, p_partkey % 20 AS k, 'brand-' || p_size || '/part_' || p_partkey AS name, p_name AS description, p_partkey * 37 % 5000 AS period_stars, CAST(p_size AS BIGINT) * 1500 AS total_stars FROM part)"""
+
+
+@query("s15_page_articles", f"WITH {_ARTICLES} SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) AS INT) AS rank, name, trim(description) AS description, period_stars, total_stars FROM p WHERE k <> 7")
 def s15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.page_rows(table(spark, sf_dir, "pages"))
+    """Saved pages of twenty rows each, made of the parts, read back; one row of a page has no link to a repository."""
+    at = F.col("p_partkey") % 20
+    name = F.concat(F.lit("brand-"), "p_size", F.lit("/part_"), "p_partkey")
+    link = F.when(at == 7, F.lit("/sponsors")).otherwise(F.concat(F.lit("/"), name))
+    about = F.replace(F.replace("p_name", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    week = F.when(F.col("p_partkey") % 2 == 0, "week").otherwise("month")
+    row = F.concat(
+        F.lit('<article class="Box-row d-flex"><h2 class="h3"><a href="/login">x</a><a href="'), link, F.lit('">name</a></h2><p class="col-9 color-fg-muted">\n '), about,
+        F.lit(' <br></p><a href="'), link, F.lit('/stargazers"><svg></svg> '), F.format_number(F.col("p_size") * 1500, 0), F.lit('</a><span class="float-sm-right"> '),
+        F.format_number(F.col("p_partkey") * 37 % 5000, 0), F.lit(" stars\n this "), week, F.lit("</span></article>"),
+    )
+    rows = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 20).alias("page_id"), at.alias("at"), row.alias("row"))
+    pages = rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "row"))), lambda x: x["row"]), "\n").alias("rows"))
+    return X.page_rows(pages.select("page_id", F.concat(F.lit("<html><body>"), "rows", F.lit("</body></html>")).alias("html")))
 
 
 @query("s16_page_headings")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import first_line, normalise_bytes, trim
+from quern.operators.chunking import long_pieces, visible_text
+from quern.operators.ingest import BATCH_ROW, batch
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -50,6 +53,53 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "path string, content binary")
 
 
+def bad_members(spark: SparkSession, path: str) -> DataFrame:
+    """archive and member of every member of the archives whose checksum is wrong; an archive that can't be opened has a row with
+    a null member."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, raw in zip(pdf["path"], pdf["content"], strict=True):
+                bad: list[str | None] = []
+                try:
+                    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                        for info in z.infolist():
+                            try:
+                                z.read(info)
+                            except (zipfile.BadZipFile, OSError, ValueError, zlib.error):
+                                bad.append(info.filename)
+                except zipfile.BadZipFile:
+                    bad.append(None)
+                yield pd.DataFrame({"archive": [name] * len(bad), "member": bad}, dtype=object)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string")
+
+
+def json_batch(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """The documents of JSON files that hold one object with a list `documents` each, through the batch guard."""
+    body = spark.read.schema(f"documents array<{BATCH_ROW}>").json(path, multiLine=True)
+    rows = body.select(F.explode("documents").alias("d")).select("d.*")
+    return batch(rows, most) if most is not None else batch(rows)
+
+
+def pages_as_documents(spark: SparkSession, path: str, most: int = 1200) -> DataFrame:
+    """path, part and content of a folder's HTML and plain-text files: what they show, in pieces by the length splitter."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    kind = F.lower(F.substring_index("path", ".", -1))
+    text = F.decode("content", "UTF-8")
+    shown = files.filter(kind.isin("html", "htm", "txt", "md")).select("path", F.when(kind.isin("html", "htm"), visible_text(text)).otherwise(text).alias("text"))
+    return long_pieces(shown, "path", "text", most)
+
+
+def write_predictions(rows: DataFrame, folder: str, key: str = "question_id") -> DataFrame:
+    """Write predictions as JSON lines, one object a row with all its fields, and return them as read back. A row without a key
+    can't be joined to its question: it is an error before anything is written."""
+    if not rows.filter(F.col(key).isNull()).isEmpty():
+        raise ValueError(f"predictions without {key}")
+    rows.write.json(folder, ignoreNullFields=False)
+    return rows.sparkSession.read.schema(rows.schema).json(folder)
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
