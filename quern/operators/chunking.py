@@ -17,11 +17,13 @@ _STOPS = frozenset(".!?。！？;；")
 
 
 _HAN = "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af"
-_TOKEN = re.compile(f"[{_HAN}]|[^\\s{_HAN}]+")
+_ONE_HAN, _TOKEN = re.compile(f"[{_HAN}]"), re.compile(f"[{_HAN}]|[^\\s{_HAN}]+")
 
 
 def words(text: str) -> int:
     """The default token counter: Han characters one by one, and other words between white space."""
+    if text.isascii() or not _ONE_HAN.search(text):
+        return len(text.split())
     return sum(1 for _ in _TOKEN.finditer(text))
 
 
