@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
 import functools
 import os
 import re
 import struct
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,9 +13,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources.tables import new_folder, written
+
+__all__ = ["new_folder", "written"]
+
 #: A null id takes part as this value, so that it sorts first; results turn it back into null.
 NULL_ID = -(2**63)
 
@@ -25,44 +27,6 @@ NULL_ID = -(2**63)
 # ---------------------------------------------------------------- shared folder
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder of
-    its own; on a cluster that is an error, since other hosts wouldn't see such a folder."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        d = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.sparkContext.setCheckpointDir(d)
-        atexit.register(_remove, spark, d)
-    return d.rstrip("/")
-
-
-def _remove(spark: SparkSession, uri: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(uri)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session is gone: its cleaner or the next run's owner removes the folder
-        return
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder in the shared one; removed when the driver ends."""
-    uri = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, uri)
-    return uri
-
-
-def written(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
-    """df as a table written to the shared folder: it cuts the lineage and survives lost executors."""
-    uri = new_folder(df.sparkSession, label)
-    df.write.parquet(uri, compression=codec)
-    return df.sparkSession.read.schema(df.schema).parquet(uri)
-
-
 def filesystem(uri: str):
     """(pyarrow filesystem, path) of a folder or file in the shared folder."""
     from pyarrow import fs

@@ -137,7 +137,10 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_i
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each input task tokenises and packs its own documents, so nothing is shuffled; at its end only one window can be
-    left unfilled, and that one is cut to powers of two. sequence_id holds the task's number in its upper bits.
+    left unfilled, and that one is cut to powers of two. A task has at most MOST_OPEN windows open, which bounds its memory
+    to that many windows' ids: beyond them the fullest half are closed by cutting pieces of the emptiest into them, so a
+    document may be cut there that a longer wait might have placed whole. sequence_id holds the task's number in its upper
+    bits.
     Null and empty texts are the end id alone. Null ids stay null; rows that repeat an id are packed each. Other columns
     aren't looked at. An empty table gives no rows.
     """

@@ -39,11 +39,11 @@ def _classes(counts: list[int]) -> np.ndarray:
 
 
 def features(raw: bytes, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """(places, counts) of the text's terms, places ascending."""
+    """(places, counts) of the text's terms: its distinct words, then shapes, then repeats. Words that share a place are apart."""
     words = Counter(raw.split())
     at = (hashes.of(list(words)) % np.uint64(WORDS)).astype(np.int64)
     count = np.fromiter(words.values(), np.float64, len(words))
-    parts = [(at, count)]
+    shapes = np.zeros(SHAPES)
     codes = _CLASS[np.frombuffer(raw, np.uint8)]
     if len(codes):
         codes = codes[np.concatenate([[True], codes[1:] != codes[:-1]])]  # a run of one class counts once
@@ -51,16 +51,15 @@ def features(raw: bytes, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
         three = two[:-1] * np.uint32(211) + codes[2:]
         four = three[:-1] * np.uint32(211) + codes[3:]
         found = np.concatenate([two + np.uint32(7), three + np.uint32(70001), four]) * np.uint32(0x9E3779B1) >> np.uint32(20)
-        parts.append((WORDS + found.astype(np.int64), np.ones(len(found))))
+        shapes = np.bincount(found, minlength=SHAPES)
     lines = Counter(x for x in raw.split(b"\n") if x.strip())
     lengths = np.bincount(np.minimum(15, np.fromiter(map(len, words), np.int64, len(words))), count, 16)
     size = np.zeros(16)
     size[min(15, int(np.log2(count.sum() + 1)))] = 1 + count.sum()
     again = np.concatenate([_classes(list(words.values())), _classes(list(lines.values())), lengths, size])
-    parts.append((WORDS + SHAPES + np.arange(REPEATS), again))
-    sums = np.bincount(np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts]), PLACES)
-    at = np.flatnonzero(sums)
-    return at, sums[at].astype(np.float32)
+    rest = np.concatenate([shapes, again])
+    there = np.flatnonzero(rest)
+    return np.concatenate([at, WORDS + there]), np.concatenate([count, rest[there]]).astype(np.float32)
 
 
 class Rows:
@@ -115,13 +114,16 @@ class Model:
     def weigh(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weights of a text's terms: log(1 + count) times the inverse document frequency; each kind has length 1."""
         w = np.log1p(n) * self.idf[at]
-        for low, high in KINDS:
-            part = slice(*np.searchsorted(at, (low, high)))
+        ends = [np.count_nonzero(at < high) for _, high in KINDS]
+        for part in map(slice, [0, *ends], ends):
             w[part] /= max(float(np.linalg.norm(w[part])), 1e-9)
         return at, w
 
     def project(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        v = Rows([self.weigh(*c) for c in counts]).times(self.to_latent)
+        v = np.zeros((len(counts), LATENT), np.float32)
+        for out, (at, n) in zip(v, counts, strict=True):
+            at, w = self.weigh(at, n)
+            np.dot(w, self.to_latent[at], out=out)
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
     def score(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:

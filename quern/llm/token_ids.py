@@ -179,7 +179,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
     return files.mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
 
 
-def encode_and_read(docs: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_and_read(docs: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", tokens_per_file: int = 8_000_000) -> DataFrame:
     """One row per document, read from its token-id file: doc_id, start, n_tokens, ids_crc32.
 
     Null texts count as empty and hold the end id alone. Null ids come first; documents with one id are in the order of
@@ -187,7 +187,7 @@ def encode_and_read(docs: DataFrame, vocabulary: str, end_id: int = 0, id_col: s
     its partition's files, and over one row a partition; the driver sees none of it.
     """
     spark = docs.sparkSession
-    made = written(write_token_files(docs, new_folder(spark, "token-ids"), vocabulary, end_id, id_col, text_col), "token-files")
+    made = written(write_token_files(docs, new_folder(spark, "token-ids"), vocabulary, end_id, id_col, text_col, tokens_per_file), "token-files")
     before = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = made.groupBy("part").agg(F.sum("tokens").alias("tokens")).select("part", before(Window.orderBy("part")).alias("base"))
     within = made.select("part", "path", before(Window.partitionBy("part").orderBy("file")).alias("within"))

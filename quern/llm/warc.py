@@ -126,7 +126,7 @@ def checked(found: dict) -> dict:
     return found
 
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write a record for each page and return a row for each archive: path, records.
 
     Of pages with equal payloads of at least `least_bytes` bytes the smallest id is the response and the others revisit
@@ -157,7 +157,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col:
             for page, url, text, sha, first in zip(*(batch.column(c).to_pylist() for c in ("page", "url", "html", "sha", "first")), strict=True):
                 held.append(record(page, url, text.encode(), sha, first))
                 size += len(held[-1])
-                if size >= ARCHIVE_BYTES:
+                if size >= archive_bytes:
                     yield flush()
         if held:
             yield flush()
