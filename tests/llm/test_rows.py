@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import common, decontam, exact, language, lm, near, quality, queries, urls, warc
+from quern.llm import common, decontam, exact, language, lm, near, quality, queries, token_ids, urls, warc
 from tests.llm.test_ops import brute_components, brute_distance, load
 
 TWICE = "doc_id long, text string, lang string, __id string, __sha int"
@@ -335,3 +335,47 @@ def test_more_languages_than_a_model_holds_is_an_error(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
     with pytest.raises(ValueError, match="more than 3 languages"):
         language.identify(docs)
+
+
+def test_several_files_and_archives_of_a_task(spark, smoke):
+    docs, path = load(spark, smoke, "documents").coalesce(1), public_tokenizers.path("byte_bpe_50k.json")
+    want = sorted(token_ids.encode_and_read(docs, path).collect())
+    assert sorted(token_ids.encode_and_read(docs, path, tokens_per_file=5000).collect()) == want
+    pages = load(spark, smoke, "pages").coalesce(1)
+    made = warc.write_archives(pages, common.new_folder(spark, "warc"), archive_bytes=20_000)
+    made = common.written(made, "archives")
+    assert made.count() >= 8 and made.agg(F.sum("records")).first()[0] == pages.count()
+    assert sorted(r.page for r in warc.read_archives(made.select("path")).collect()) == sorted(r.page_id for r in pages.collect())
+
+
+def test_contamination_of_the_table_by_plain_distances(spark, smoke):
+    """Every item against every whole text by edit distance: the same items and the same least edits."""
+    items = [(r.item_id, decontam.normal(r.text)) for r in load(spark, smoke, "benchmark").collect()]
+    docs = [r for r in load(spark, smoke, "documents").collect() if len(r.text or "") < 1200]
+    found = {(r.doc_id, r.item_id): r.edits for r in decontam.find_items(load(spark, smoke, "documents"), load(spark, smoke, "benchmark")).collect()}
+    assert found
+    for d in docs:
+        text = decontam.normal(d.text or "")
+        for i, t in items:
+            edits = decontam.budget(len(t))
+            got = 0 if t in text else decontam.myers(t, text, edits) if edits else -1
+            assert found.get((d.doc_id, i), -1) == got
+
+
+def test_near_copies_of_a_third_of_all_rows(spark):
+    """One text repeated exactly, and one in near copies, each a large part of all rows."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base, rows = [word() for _ in range(80)], []
+    for i in range(600):
+        if i % 3 == 0:
+            text = " ".join(base)
+        elif i % 3 == 1:
+            copy = [*base, "x", word()]
+            copy[rng.randrange(80)] = word()
+            text = " ".join(copy)
+        else:
+            text = " ".join(word() for _ in range(30))
+        rows.append((i, text))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got == brute_components(rows)
