@@ -77,3 +77,24 @@ def embed(rows: DataFrame, id_col: str, text_col: str, embedder: Embedder | None
             yield pd.DataFrame({"id": pdf["id"], "embedding": parts})
 
     return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, embedding array<float>")
+
+
+class VectorStore(Protocol):
+    def add(self, ids: list, texts: list[str]) -> None: ...
+
+
+def add_to_store(rows: DataFrame, id_col: str, text_col: str, store: Callable[[], VectorStore], batch: int = 10) -> DataFrame:
+    """id and size of the call that stored it: each task opens the store and adds its rows, `batch` a call at most. A call is
+    tried again where it fails, so a store must take an id that it has as an update."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        add = with_retries(store().add)
+        for pdf in batches:
+            sizes = []
+            for i in range(0, len(pdf), batch):
+                part = pdf.iloc[i : i + batch]
+                add(part["id"].tolist(), part["text"].tolist())
+                sizes += [len(part)] * len(part)
+            yield pd.DataFrame({"id": pdf["id"], "size": sizes})
+
+    return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, size int")

@@ -132,10 +132,10 @@ def fts_match(words: Column, query: str) -> Column:
     return F.exists(F.array(words), holds)
 
 
-def fts_topk(docs: DataFrame, query: str, id_col: str, text_col: str, k: int = 12) -> DataFrame:
-    """Matches ordered by the density of the query's words: occurrences over the logarithm of the length."""
+def fts_topk(docs: DataFrame, query: str, id_col: str, words_col: str, k: int = 12) -> DataFrame:
+    """docs has each document's words, see fts_words. Matches ordered by the density of the query's words: occurrences over the logarithm of the length."""
     terms = sorted({t for way in parse_websearch(query) for wanted, ts in way if wanted for t in ts})
-    words = docs.select(F.col(id_col).alias("id"), fts_words(F.col(text_col)).alias("w")).filter(fts_match(F.col("w"), query))
+    words = docs.select(F.col(id_col).alias("id"), F.col(words_col).alias("w")).filter(fts_match(F.col("w"), query))
     hits = F.size(F.filter("w", lambda w: w.isin(terms))) if terms else F.lit(0)
     return topk(words.select("id", rounded(hits / (1.0 + F.log(F.size("w") + 1.0))).alias("score")), "score", "id", k)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +66,47 @@ def m13(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     rows = c.select(F.col("text").alias("question"), F.lit("").alias("ground_truth"), F.lit("").alias("answer"), F.array().cast("array<string>").alias("contexts"))
     return E.outside_scores(rows).select("status", "reason")
+
+
+@query("c2_section_paths", """WITH n AS (SELECT p_partkey, list_filter([trim(p_name), p_type, lower(p_type), p_brand], lambda x: x <> '') AS x FROM part)
+SELECT p_partkey, array_to_string([x[i] FOR i IN range(1, len(x) + 1) IF i = 1 OR lower(x[i]) <> lower(x[i - 1])], ' > ') AS path FROM n""")
+def c2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part's name as the title, its type in two spellings and its brand as the headings below it."""
+    path = F.pandas_udf(lambda t, h: pd.Series([C.Chunker.path(x or "", list(y)) for x, y in zip(t, h, strict=True)]), "string")
+    return table(spark, sf_dir, "part").select("p_partkey", path("p_name", F.array("p_type", F.lower("p_type"), "p_brand")).alias("path"))
+
+
+@query("c4_hard_cuts", "WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^a-zA-Z]', '', 'g') AS t FROM documents), s AS (SELECT doc_id, t, unnest(range(0, length(t), 500)) AS k FROM t) SELECT doc_id, CAST(k // 500 AS INT) AS part, md5(substr(t, CAST(k + 1 AS INT), 500)) AS content_md5 FROM s")
+def c4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without a place to break at, counted by characters: each piece is as long as it may be."""
+    cut = F.pandas_udf(lambda t: pd.Series([list(C.Chunker(500, 0, len).cut(x)) for x in t]), "array<string>")
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z]", "")
+    pieces = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(cut(letters)).alias("part", "content"))
+    return pieces.select("doc_id", "part", F.md5("content").alias("content_md5"))
+
+
+@query("c7_chunk_limits", "SELECT doc_id, doc_id % 64 >= 32 AND doc_id % 80 < doc_id % 64 AS allowed FROM documents")
+def c7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a chunker takes a size and an overlap, for those that the documents' numbers give."""
+
+    def takes(most: int, overlap: int) -> bool:
+        try:
+            return C.Chunker(most, overlap).most == most
+        except ValueError:
+            return False
+
+    allowed = F.pandas_udf(lambda m, o: pd.Series([takes(int(x), int(y)) for x, y in zip(m, o, strict=True)]), "boolean")
+    return table(spark, sf_dir, "documents").select("doc_id", allowed(F.col("doc_id") % 64, F.col("doc_id") % 80).alias("allowed"))
+
+
+@query("k6_vector_store_calls", "SELECT doc_id AS id, true AS small FROM documents")
+def k6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents added to a store that refuses more than ten at once."""
+    from quern.operators.providers import add_to_store
+
+    class Store:
+        def add(self, ids: list, texts: list[str]) -> None:
+            if not 0 < len(ids) == len(texts) <= 10:
+                raise ValueError("one to ten texts a call")
+
+    return add_to_store(table(spark, sf_dir, "documents"), "doc_id", "text", Store).select("id", (F.col("size") <= 10).alias("small"))

@@ -91,6 +91,17 @@ def r1_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.vector_topk_batch(e, e.filter("vec_id % 20 = 0"))
 
 
+_VECTORS: dict[tuple[str, str], DataFrame] = {}
+
+
+def search_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and w, the words of every document, written once a session: what the derived search column is to a stored table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _VECTORS:
+        _VECTORS[key] = written(documents(spark, sf_dir).select("id", R.fts_words(F.col("content")).alias("w")), "search-vectors")
+    return _VECTORS[key]
+
+
 _FTS = "list_contains(w, 'the') AND NOT list_contains(w, 'idiot') AND list_contains(list_transform(range(1, len(w)), lambda i: w[i:i + 1]), ['of', 'the']) OR list_contains(w, 'der')"
 
 
@@ -100,8 +111,7 @@ _FTS = "list_contains(w, 'the') AND NOT list_contains(w, 'idiot') AND list_conta
 SELECT id, len(w) AS words FROM w WHERE {_FTS}""",
 )
 def r2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = documents(spark, sf_dir).select("id", R.fts_words(F.col("content")).alias("w"))
-    return w.filter(R.fts_match(F.col("w"), 'the "of the" -idiot or der')).select("id", F.size("w").cast("long").alias("words"))
+    return search_vectors(spark, sf_dir).filter(R.fts_match(F.col("w"), 'the "of the" -idiot or der')).select("id", F.size("w").cast("long").alias("words"))
 
 
 @query(
@@ -111,7 +121,7 @@ s AS (SELECT id, floor(len(list_filter(w, lambda x: x IN ('der', 'of', 'the')))
 SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s ORDER BY score DESC, id LIMIT 12""",
 )
 def r2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.fts_topk(documents(spark, sf_dir), 'the "of the" -idiot or der', "id", "content")
+    return R.fts_topk(search_vectors(spark, sf_dir), 'the "of the" -idiot or der', "id", "w")
 
 
 # two lexical lists and a vector list for each benchmark item

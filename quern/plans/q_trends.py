@@ -102,6 +102,7 @@ def s15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.page_rows(pages.select("page_id", F.concat(F.lit("<html><body>"), "rows", F.lit("</body></html>")).alias("html")))
 
 
-@query("s16_page_headings")
+@query("s16_page_headings", r"""WITH h AS (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6]\b[^>]*>.*?</h[1-6]>') AS x FROM pages), e AS (SELECT page_id, unnest(range(1, len(x) + 1)) AS rank, x FROM h)
+SELECT page_id, CAST(rank AS INT) AS rank, lower(regexp_extract(x[rank], '(?i)<(h[1-6])', 1)) AS name, trim(regexp_replace(replace(replace(replace(regexp_replace(x[rank], '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'), ' ') AS description, 0 AS period_stars, 0 AS total_stars FROM e""")
 def s16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.page_rows(table(spark, sf_dir, "pages"), "headings")
