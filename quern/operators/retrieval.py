@@ -188,6 +188,13 @@ def within_budget(hits: DataFrame, by: list[str], k: int = 5, chars: int = 9000,
     return cut.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= k).withColumn("rank", F.col("__rank")).drop("__rank", "__before")
 
 
+def full_context(docs: DataFrame, most_chars: int, content: str = "content") -> DataFrame:
+    """All documents with score 1 where they have at most `most_chars` characters together, else none: the choice is one
+    scalar, made in the plan."""
+    total = docs.agg(F.coalesce(F.sum(F.length(content)), F.lit(0)).alias("__total"))
+    return docs.crossJoin(F.broadcast(total)).filter(F.col("__total") <= most_chars).drop("__total").withColumn("score", F.lit(1.0))
+
+
 def fallback_code(vector_failed: Column, lexical_failed: Column, rerank_failed: Column, reason: Column) -> Column:
     """What a result fell back to, with the lexical backend's own reason after a comma; null if nothing failed."""
     code = F.when(vector_failed & lexical_failed, "EVIDENCE_ONLY").when(vector_failed, "FTS_ONLY").when(lexical_failed, "VECTOR_ONLY").when(rerank_failed, "RRF")

@@ -509,7 +509,5 @@ def r9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r19_full_context", f"WITH {SEEN}, t AS (SELECT coalesce(sum(length(content)), 0) AS chars FROM seen) SELECT id, length(content) AS chars, CAST(1.0 AS DOUBLE) AS score FROM seen, t WHERE t.chars <= 8000000000")
 def r19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole corpus where it is small enough: the choice is one scalar, made in the plan."""
-    docs = _visible(spark, sf_dir)
-    total = docs.agg(F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("total"))
-    return docs.crossJoin(F.broadcast(total)).filter(F.col("total") <= 8_000_000_000).select("id", F.length("content").cast("long").alias("chars"), F.lit(1.0).alias("score"))
+    docs = R.full_context(_visible(spark, sf_dir), 8_000_000_000)
+    return docs.select("id", F.length("content").cast("long").alias("chars"), "score")

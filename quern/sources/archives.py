@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import first_line, normalise_bytes, trim
-from quern.operators.chunking import long_pieces, visible_text
+from quern.operators.chunking import knowledge_chunks, long_pieces, visible_text
 from quern.operators.ingest import BATCH_ROW, batch
 
 
+#: Bytes of members after which a frame of them is handed on.
+FRAME_BYTES = 8_000_000
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """path (relative) and content (binary) of every *.txt below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
@@ -32,6 +36,14 @@ def markdown_files(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+def knowledge_corpus(spark: SparkSession, path: str, most: int = 1200) -> DataFrame:
+    """The chunks of a folder's Markdown files; files that give none at all are an error."""
+    chunks = knowledge_chunks(markdown_files(spark, path), most)
+    if chunks.isEmpty():
+        raise ValueError(f"no chunks in the Markdown files of {path}")
+    return chunks
+
+
 def check_archive(name: str) -> None:
     """Refuse files that a download hasn't finished."""
     if name.endswith(".partial") or ".range" in name.rpartition("/")[2]:
@@ -39,16 +51,23 @@ def check_archive(name: str) -> None:
 
 
 def zip_members(spark: SparkSession, path: str) -> DataFrame:
-    """path and content of every *.txt member of the archives; a member with a bad checksum fails the read."""
+    """path and content of every *.txt member of the archives, in the order of their names; a member with a bad checksum fails
+    the read. An archive is one task's work, since its directory is at its end; its members leave in frames of some MB."""
     check_archive(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for raw in pdf["content"]:
                 with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    held, size = [], 0
                     for info in sorted(z.infolist(), key=lambda i: i.filename):
                         if not info.is_dir() and info.filename.endswith(".txt"):
-                            yield pd.DataFrame({"path": [info.filename], "content": [z.read(info)]})
+                            held.append((info.filename, z.read(info)))
+                            size += info.file_size
+                        if size > FRAME_BYTES:
+                            yield pd.DataFrame(held, columns=["path", "content"])
+                            held, size = [], 0
+                    yield pd.DataFrame(held, columns=["path", "content"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "path string, content binary")
 

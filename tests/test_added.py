@@ -174,3 +174,25 @@ def test_page_parsing_is_linear():
 
     seconds(50)
     assert seconds(2000) < 30 * seconds(200) + 0.5
+
+
+def test_full_context_stops_at_its_limit(spark):
+    docs = spark.createDataFrame([(1, "four"), (2, "sixsix"), (3, None)], "id int, content string")
+    assert R.full_context(docs, 10).count() == 3 and R.full_context(docs, 9).count() == 0
+
+
+def test_knowledge_files_without_chunks(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# only a title\n")
+    with pytest.raises(ValueError, match="no chunks"):
+        archives.knowledge_corpus(spark, str(tmp_path))
+    (tmp_path / "b.md").write_text("# T\n## S\nwords\n")
+    assert archives.knowledge_corpus(spark, str(tmp_path)).count() == 1
+
+
+def test_members_leave_in_several_frames(spark, tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "m.zip", "w") as z:
+        for i in range(30):
+            z.writestr(f"d/{i:02d}.txt", f"text {i}")
+        z.writestr("d/skip.md", "x")
+    got = archives.zip_members(spark, str(tmp_path / "m.zip")).collect()
+    assert [(r.path, bytes(r.content)) for r in got] == [(f"d/{i:02d}.txt", f"text {i}".encode()) for i in range(30)]
