@@ -146,7 +146,8 @@ def _matcher(held) -> Matcher:
 
 
 def _passes(items: DataFrame, item_col: str, item_text_col: str) -> Iterator:
-    """The items in broadcasts of about PASS_CHARS characters. Each is released when the next is asked for."""
+    """The items in broadcasts of about PASS_CHARS characters, and whether it is the last. Each but the last is released when
+    the next is asked for: by then its rows must be written."""
     sc = items.sparkSession.sparkContext
     wanted = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).filter("text IS NOT NULL").distinct()
     chars = wanted.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
@@ -155,7 +156,8 @@ def _passes(items: DataFrame, item_col: str, item_text_col: str) -> Iterator:
         part = [(r["item"], r["text"]) for r in wanted.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).collect()]
         held = sc.broadcast((uuid.uuid4().hex, part))
         yield held, k == passes - 1
-        held.unpersist()
+        if k < passes - 1:
+            held.unpersist()
 
 
 _FOUND = "id long, text string, items array<long>, edits array<int>"
@@ -176,8 +178,8 @@ def _found(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_c
                 text = pa.nulls(batch.num_rows, pa.string()) if last else batch.column("text")
                 yield pa.RecordBatch.from_arrays([batch.column("id"), text, *map(pa.array, both, _FOUND_ARROW.types[2:])], schema=_FOUND_ARROW)
 
-        # a pass is over, and its broadcast can go, when its rows are written
-        rows = written(rows.mapInArrow(run, _FOUND), "matches")
+        rows = rows.mapInArrow(run, _FOUND)
+        rows = rows if last else written(rows, "matches")
     return rows.drop("text")
 
 
@@ -211,5 +213,6 @@ def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
             matcher = _matcher(held)
             return lambda texts: [not matcher.find(t) for t in texts]
 
-        docs = written(keep_rows(docs, text_col, wanted), "clean")
+        docs = keep_rows(docs, text_col, wanted)
+        docs = docs if last else written(docs, "clean")
     return docs
