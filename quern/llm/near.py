@@ -273,34 +273,36 @@ def _dealt(buckets: DataFrame, groups: DataFrame, sketches: DataFrame, percent:
 
     A bucket of up to BLOCK nodes is one block. In a larger one, nodes are first put into classes by the logarithm of their
     sets' sizes, a link's ratio wide: a link's ends are in one class or in neighbouring ones, so only blocks of those meet.
-    Blocks are numbered (class << 32 | place); a bucket's classes are fewer than 140, so its list of them is short.
+    And the nodes of the bucket's largest component are apart from the rest: they meet the rest only, since what is one
+    component already needs no pairs. So a component that is most of a bucket costs a row a node, not one for each block.
+    Blocks are numbered (cell << 32 | place), a cell being twice the class plus 1 for the largest component; a bucket has
+    fewer than 280 cells, so its list of them is short.
     """
     step = float(np.log(100 / percent)) + 1e-9
     placed = buckets.filter("size > 2").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    kind = F.when(F.col("size") > BLOCK, F.floor(F.log("n") / step)).otherwise(0).cast("long")
-    placed = placed.select("bucket", "node", "group", kind.alias("kind"))
-    kinds = placed.groupBy("bucket", "kind").agg(F.count("*").alias("size"), F.min("group").alias("low"), F.max("group").alias("high"))
-    cells = F.map_from_entries(F.collect_list(F.struct("kind", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))))
+    counts = placed.filter(F.col("size") > BLOCK).groupBy("bucket", "group").agg(F.count("*").alias("n"))
     # written, so that the planner sees its size: it is broadcast only if that is small, and otherwise hot buckets are split
-    mixed = written(kinds.groupBy("bucket").agg(F.min("low").alias("low"), F.max("high").alias("high"), cells.alias("cells")).filter("low != high").select("bucket", "cells"), "mixed")
-    dealt = placed.join(mixed, "bucket")
-    number = lambda k: F.coalesce(F.try_element_at("cells", k), F.lit(0).cast("long"))
-    own = F.pmod(F.xxhash64("node"), number(F.col("kind")))
-    name = lambda k, at: F.shiftleft(k, 32).bitwiseOR(at)
-
-    def meets(kind: Column, pair) -> Column:
-        return F.transform(F.filter(F.sequence(F.lit(0).cast("long"), number(kind)), lambda m: m < number(kind)), pair)
-
-    def row(i: Column, j: Column, side: Column) -> Column:
-        return F.struct(i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
-
-    here, up, down = F.col("kind"), F.col("kind") + 1, F.col("kind") - 1
-    mine = name(here, F.col("own"))
-    same = meets(here, lambda m: row(F.least(mine, name(here, m)), F.greatest(mine, name(here, m)), F.when(m == F.col("own"), 0).when(m > F.col("own"), 1).otherwise(2)))
-    above = meets(up, lambda m: row(mine, name(up, m), F.lit(1)))
-    below = meets(down, lambda m: row(name(down, m), mine, F.lit(2)))
-    dealt = dealt.withColumn("own", own).withColumn("at", F.explode(F.concat(same, above, below)))
-    dealt = dealt.select("bucket", "at.i", "at.j", "at.side", "node", "group")
+    largest = written(counts.groupBy("bucket").agg(F.max_by("group", F.struct("n", "group")).alias("largest")), "largest")
+    kind = F.when(F.col("size") > BLOCK, F.floor(F.log("n") / step)).otherwise(0).cast("long")
+    cell = 2 * kind + F.coalesce((F.col("group") == F.col("largest")).cast("long"), F.lit(0))
+    placed = placed.join(largest, "bucket", "left").select("bucket", "node", "group", cell.alias("cell"))
+    cells = placed.groupBy("bucket", "cell").agg(F.count("*").alias("size"), F.min("group").alias("low"), F.max("group").alias("high"))
+    listed = F.map_from_entries(F.collect_list(F.struct("cell", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))))
+    mixed = written(cells.groupBy("bucket").agg(F.min("low").alias("low"), F.max("high").alias("high"), listed.alias("cells")).filter("low != high").select("bucket", "cells"), "mixed")
+
+    number = lambda c: F.coalesce(F.try_element_at("cells", c), F.lit(0).cast("long"))
+    name = lambda c, at: F.shiftleft(c, 32).bitwiseOR(at)
+    mine = name(F.col("cell"), F.pmod(F.xxhash64("node"), number(F.col("cell"))))
+
+    def blocks(c: Column) -> Column:
+        return F.transform(F.filter(F.sequence(F.lit(0).cast("long"), number(c)), lambda m: m < number(c)), lambda m: name(c, m))
+
+    apart = F.col("cell") % 2 == 1
+    rest, none = F.col("cell") - F.col("cell") % 2, F.array().cast("array<long>")
+    others = [blocks(rest + 2 * d) for d in (-1, 0, 1)] + [F.when(apart, none).otherwise(blocks(rest + 2 * d + 1)) for d in (-1, 0, 1)]
+    dealt = placed.join(mixed, "bucket").withColumn("mine", mine).withColumn("other", F.explode(F.concat(*others)))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), side.alias("side"), "node", "group")
     return written(dealt.join(sketches, "node"), "open")
 
 
