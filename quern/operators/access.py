@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import trim
 
 DEPARTMENTS = ("engineering", "finance", "hr")
+MOST_CONTEXTS = 1000
 ROLES = ("public", "admin", *DEPARTMENTS)
 
 
@@ -43,7 +44,10 @@ def with_contexts(df: DataFrame, role: str, tenant: str) -> DataFrame:
 
 
 def visible(contexts: DataFrame, documents: DataFrame) -> DataFrame:
-    """Context and document pairs that the predicate lets pass. Contexts are a handful of rows."""
+    """Context and document pairs that the predicate lets pass. Each pair is looked at, so the contexts are a few: more than
+    MOST_CONTEXTS are an error."""
+    if contexts.limit(MOST_CONTEXTS + 1).count() > MOST_CONTEXTS:
+        raise ValueError(f"more than {MOST_CONTEXTS} access contexts")
     c, d = contexts.alias("c"), documents.alias("d")
     seen = (F.col("c.role") == "admin") | (F.col("d.access_level") == "public") | F.coalesce(F.col("d.department") == F.col("c.department"), F.lit(False))
     return d.join(F.broadcast(c), seen & (F.col("c.tenant_id").isNull() | (F.col("d.tenant_id") == F.col("c.tenant_id"))))

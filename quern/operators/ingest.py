@@ -12,11 +12,12 @@ KEY = ["corpus_id", "source", "external_id"]
 NEW, CHANGED, PIPELINE, SAME = "INDEXED_NEW", "REINDEXED_CHANGED", "REINDEXED_PIPELINE_CHANGED", "SKIPPED_UNCHANGED"
 
 
-def validated(rows: DataFrame) -> DataFrame:
-    """Defaults and trimming; `error` says what is missing, null where nothing is."""
+def validated(rows: DataFrame, *carried: str) -> DataFrame:
+    """Defaults and trimming; `error` says what is missing, null where nothing is. Other columns go unless they are carried."""
     need = ["external_id", "source", "source_type"]
     blank = [F.when(trim(F.coalesce(F.col(c), F.lit(""))) == "", F.lit(f"{c} must not be blank")) for c in need]
     return rows.select(
+        *carried,
         *(trim(F.col(c)).alias(c) for c in need),
         trim(F.coalesce("title", F.lit(""))).alias("title"),
         F.coalesce("content", F.lit("")).alias("content"),

@@ -79,12 +79,22 @@ def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
 
 
-@query("p4_validation", "SELECT * FROM (VALUES (1, 'a', 's', 't', 'x', '', 'default', 'engineering', 'public', NULL), (2, '', 's', 't', '', 'c', 'z', 'hr', 'internal', 'external_id must not be blank'), (3, 'b', '', '', '', '', 'default', 'engineering', 'public', 'source must not be blank')) t(n, external_id, source, source_type, title, content, tenant_id, department, access_level, error)")
+_RAW = """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN ' ' WHEN doc_id % 13 = 0 THEN NULL ELSE ' d' || CAST(doc_id AS VARCHAR(20)) || ' ' END AS external_id, CASE WHEN doc_id % 11 = 0 THEN '' ELSE source END AS source,
+ CASE WHEN doc_id % 17 = 0 THEN NULL ELSE lang || ' ' END AS source_type, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE ' t' END AS title, CASE WHEN doc_id % 19 = 0 THEN NULL ELSE text END AS content,
+ CASE WHEN doc_id % 5 = 0 THEN ' z' END AS tenant_id, CASE doc_id % 4 WHEN 0 THEN 'HR' WHEN 1 THEN ' ' END AS department, CASE doc_id % 6 WHEN 0 THEN 'Internal' WHEN 1 THEN '' END AS access_level FROM documents"""
+
+
+@query(
+    "p4_validation",
+    f"""WITH r AS ({_RAW}) SELECT doc_id, trim(external_id) AS external_id, trim(source) AS source, trim(source_type) AS source_type, coalesce(trim(title), '') AS title, md5(coalesce(content, '')) AS content_md5,
+ CASE WHEN coalesce(trim(tenant_id), '') = '' THEN 'default' ELSE trim(tenant_id) END AS tenant_id, CASE WHEN coalesce(trim(department), '') = '' THEN 'engineering' ELSE lower(trim(department)) END AS department,
+ CASE WHEN coalesce(trim(access_level), '') = '' THEN 'public' ELSE lower(trim(access_level)) END AS access_level,
+ CASE WHEN coalesce(trim(external_id), '') = '' THEN 'external_id must not be blank' WHEN coalesce(trim(source), '') = '' THEN 'source must not be blank' WHEN coalesce(trim(source_type), '') = '' THEN 'source_type must not be blank' END AS error FROM r""",
+)
 def p4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, " a ", "s", "t\n", " x", None, None, None, " "), (2, None, "s", "t", None, "c", " z", "HR", "Internal"), (3, "b", "  ", None, None, None, "", "", "")]
-    raw = spark.createDataFrame(rows, "n int, external_id string, source string, source_type string, title string, content string, tenant_id string, department string, access_level string")
-    out = ingest.validated(raw)
-    return out.withColumn("source_type", F.coalesce("source_type", F.lit(""))).withColumn("external_id", F.coalesce("external_id", F.lit(""))).withColumn("n", F.when(F.col("external_id") == "a", 1).when(F.col("external_id") == "", 2).otherwise(3))
+    """The documents with blank and missing fields, as their numbers have it."""
+    raw = spark.sql(_RAW.replace("FROM documents", "FROM {d}"), d=table(spark, sf_dir, "documents"))
+    return ingest.validated(raw, "doc_id").withColumn("content_md5", F.md5("content")).drop("content")
 
 
 @query("p6_snippet", r"WITH f AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ +| +$', '', 'g') AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 180 THEN substr(t, 1, 180) || '…' ELSE t END AS snippet FROM f")

@@ -175,15 +175,14 @@ def u4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
 
 
-_TIMES = [(1, 100, 20, 30, 5, 10, "BM25", None), (2, 50, 20, 30, 5, 10, "FTS", "BM25_TIMEOUT"), (3, 200, 0, 40, 0, 0, "FTS", None)]
+_TIMES = """SELECT doc_id, n_chars % 500 AS total_ms, doc_id % 50 AS vector_ms, doc_id % 70 AS lexical_ms, doc_id % 9 AS rrf_ms, doc_id % 31 AS rerank_ms, CASE doc_id % 3 WHEN 0 THEN 'BM25' ELSE 'FTS' END AS lexical_backend,
+ CASE doc_id % 5 WHEN 0 THEN 'BM25_TIMEOUT' WHEN 1 THEN 'RRF' END AS fallback FROM documents"""
 
 
-@query(
-    "m1_metrics_frame",
-    "SELECT *, greatest(0, total_ms - vector_ms - lexical_ms - rrf_ms - rerank_ms) AS llm_ms, CASE WHEN contains(lexical_backend, 'BM25') THEN lexical_ms ELSE 0 END AS bm25_query_latency_ms, coalesce(contains(fallback, 'BM25'), false) AS bm25_fallback FROM (VALUES (1, 100, 20, 30, 5, 10, 'BM25', NULL), (2, 50, 20, 30, 5, 10, 'FTS', 'BM25_TIMEOUT'), (3, 200, 0, 40, 0, 0, 'FTS', NULL)) t(n, total_ms, vector_ms, lexical_ms, rrf_ms, rerank_ms, lexical_backend, fallback)",
-)
+@query("m1_metrics_frame", f"WITH t AS ({_TIMES}) SELECT *, greatest(0, total_ms - vector_ms - lexical_ms - rrf_ms - rerank_ms) AS llm_ms, CASE WHEN contains(lexical_backend, 'BM25') THEN lexical_ms ELSE 0 END AS bm25_query_latency_ms, coalesce(contains(fallback, 'BM25'), false) AS bm25_fallback FROM t")
 def m1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine.metrics(spark.createDataFrame(_TIMES, "n int, total_ms int, vector_ms int, lexical_ms int, rrf_ms int, rerank_ms int, lexical_backend string, fallback string"))
+    """A request for each document, with times as its number and length have it."""
+    return engine.metrics(spark.sql(_TIMES.replace("FROM documents", "FROM {d}"), d=table(spark, sf_dir, "documents")))
 
 
 @query("m7_health", f"WITH {DOCS}, {CORPORA} SELECT (SELECT corpus_id FROM corpora WHERE state = 'ACTIVE') AS corpus_id, count(*) > 0 AS ready, count(*) AS documents FROM docs WHERE NOT deleted")

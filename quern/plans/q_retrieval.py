@@ -257,18 +257,17 @@ def r9b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.merge_order(a.select("query_id", "id", "rank"), order, ["query_id"])
 
 
-_FLAGS = [(a, b, c, r) for a in (False, True) for b in (False, True) for c in (False, True) for r in ("", "BM25_TIMEOUT")]
-
-
 @query(
     "r22_fallback_lattice",
-    "WITH f AS (SELECT * FROM (VALUES " + ", ".join(str((i, *x)) for i, x in enumerate(_FLAGS)) + """) t(i, v, l, r, reason)),
-c AS (SELECT i, CASE WHEN v AND l THEN 'EVIDENCE_ONLY' WHEN v THEN 'FTS_ONLY' WHEN l THEN 'VECTOR_ONLY' WHEN r THEN 'RRF' END AS code, nullif(reason, '') AS reason FROM f)
-SELECT i, nullif(concat_ws(',', code, reason), '') AS fallback FROM c""",
+    """WITH f AS (SELECT doc_id, doc_id % 2 = 0 AS v, doc_id % 3 = 0 AS l, doc_id % 5 = 0 AS r, CASE doc_id % 7 WHEN 0 THEN 'BM25_TIMEOUT' WHEN 1 THEN ' ' END AS reason FROM documents),
+c AS (SELECT doc_id, CASE WHEN v AND l THEN 'EVIDENCE_ONLY' WHEN v THEN 'FTS_ONLY' WHEN l THEN 'VECTOR_ONLY' WHEN r THEN 'RRF' END AS code, nullif(trim(reason), '') AS reason FROM f)
+SELECT doc_id, nullif(concat_ws(',', code, reason), '') AS fallback FROM c""",
 )
 def r22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = spark.createDataFrame([(i, *x) for i, x in enumerate(_FLAGS)], "i int, v boolean, l boolean, r boolean, reason string")
-    return f.select("i", R.fallback_code(F.col("v"), F.col("l"), F.col("r"), F.col("reason")).alias("fallback"))
+    """A request for each document, with the sides that fail as its number has it."""
+    n = F.col("doc_id")
+    reason = F.when(n % 7 == 0, "BM25_TIMEOUT").when(n % 7 == 1, " ")
+    return table(spark, sf_dir, "documents").select("doc_id", R.fallback_code(n % 2 == 0, n % 3 == 0, n % 5 == 0, reason).alias("fallback"))
 
 
 _CONTEXTS = [(1, "admin", None), (2, "ENGINEERING ", "default"), (3, "finance", None), (4, "hr", "tenant-b"), (5, "nobody", ""), (6, None, None)]
@@ -279,9 +278,19 @@ def _contexts(spark: SparkSession) -> DataFrame:
     return with_contexts(spark.createDataFrame(_CONTEXTS, "context_id int, r string, t string"), "r", "t").drop("r", "t")
 
 
-@query("p2_access_contexts", f"WITH {_CONTEXTS_SQL} SELECT * FROM c")
+@query(
+    "p2_access_contexts",
+    """WITH x AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'admin' WHEN 1 THEN 'ENGINEERING ' WHEN 2 THEN 'finance' WHEN 3 THEN ' hr' WHEN 4 THEN source WHEN 5 THEN NULL ELSE 'Public' END AS r, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE ' t-' || lang END AS t FROM documents),
+c AS (SELECT doc_id, CASE WHEN lower(trim(coalesce(r, ''))) IN ('public', 'admin', 'engineering', 'finance', 'hr') THEN lower(trim(r)) ELSE 'public' END AS role, t FROM x)
+SELECT doc_id, role, CASE WHEN trim(coalesce(t, '')) <> '' THEN trim(t) WHEN role <> 'admin' THEN 'default' END AS tenant_id, CASE WHEN role IN ('engineering', 'finance', 'hr') THEN role END AS department FROM c""",
+)
 def p2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _contexts(spark)
+    """A request for each document, its role and tenant as its number has it."""
+    n = F.col("doc_id")
+    role = F.when(n % 7 == 0, "admin").when(n % 7 == 1, "ENGINEERING ").when(n % 7 == 2, "finance").when(n % 7 == 3, " hr").when(n % 7 == 4, F.col("source")).when(n % 7 == 6, "Public")
+    tenant = F.when(n % 3 == 1, " ").when(n % 3 == 2, F.concat(F.lit(" t-"), "lang"))
+    asked = table(spark, sf_dir, "documents").select("doc_id", role.alias("r"), tenant.alias("t"))
+    return with_contexts(asked, "r", "t").select("doc_id", "role", "tenant_id", "department")
 
 
 @query(
