@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import re
+import struct
+import zipfile
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +17,7 @@ from quern.operators import ingest
 from quern.plans.registry import query
 from quern.plans.relation import table
 from quern.sources import archives
-from quern.sources.tables import new_folder
+from quern.sources.tables import new_folder, write_files
 
 _VISIBLE = r"""regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->|<(script|style)\b.*?</(script|style)\s*>', ' ', 'gis'), '<[a-zA-Z/!?][^>]*>', ' ', 'g')"""
 for _name, _c in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
@@ -20,6 +25,62 @@ for _name, _c in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;"
 _VISIBLE = rf"trim(regexp_replace({_VISIBLE}, '[ \t\r\n\f]+', ' ', 'g'), ' ')"
 
 
+def _zip(names, texts) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in sorted(zip(names, texts, strict=True)):
+            z.writestr(zipfile.ZipInfo(name), text or "")
+    return out.getvalue()
+
+
+def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path and content of archives of fifty documents each, by number; members are named by language and number."""
+    d = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 50).alias("b"), F.concat("lang", F.lit("/"), "doc_id", F.lit(".txt")).alias("name"), "text")
+    packed = F.pandas_udf(lambda n, t: pd.Series([_zip(x, y) for x, y in zip(n, t, strict=True)]), "binary")
+    grouped = d.groupBy("b").agg(F.collect_list(F.struct("name", F.coalesce("text", F.lit("")).alias("text"))).alias("x"))
+    return grouped.select(F.concat(F.lit("a"), "b", F.lit(".zip")).alias("path"), packed("x.name", "x.text").alias("content"))
+
+
+@query("s1_text_files", "SELECT lang || '/f' || doc_id // 50 || '.txt' AS path, md5(string_agg(text, chr(10) ORDER BY doc_id)) AS content_md5 FROM documents WHERE text IS NOT NULL GROUP BY lang, doc_id // 50")
+def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as text files in a folder for each language, fifty numbers a file, found again below the folder."""
+    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL").groupBy("lang", F.floor(F.col("doc_id") / 50).alias("b")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("x"))
+    folder = new_folder(spark, "texts")
+    content = F.array_join(F.transform("x", lambda r: r["text"]), "\n").cast("binary")
+    write_files(d.select(F.concat("lang", F.lit("/f"), "b", F.lit(".txt")).alias("path"), content.alias("content")), folder)
+    return archives.text_files(spark, folder).select("path", F.md5("content").alias("content_md5"))
+
+
+@query("s2_zip_members", "SELECT lang || '/' || doc_id || '.txt' AS path, md5(coalesce(text, '')) AS content_md5 FROM documents")
+def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "archives")
+    write_files(_archives(spark, sf_dir), folder)
+    return archives.zip_members(spark, folder).select("path", F.md5("content").alias("content_md5"))
+
+
+@query("s3_bad_members", "SELECT 'a' || doc_id // 50 || '.zip' AS archive, lang || '/' || doc_id || '.txt' AS member FROM documents WHERE doc_id % 50 = 49 AND doc_id // 50 % 3 = 0")
+def s3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of which every third has a member whose checksum was changed."""
+
+    def spoilt(path: str, raw: bytes) -> bytes:
+        number = int(re.findall(r"\d+", path)[0])
+        if number % 3:
+            return raw
+        raw = bytearray(raw)
+        at = 0
+        while (at := raw.find(b"PK\x01\x02", at)) >= 0:  # an entry of the directory: its checksum is at 16, its name at 46
+            name = bytes(raw[at + 46 : at + 46 + struct.unpack_from("<H", raw, at + 28)[0]])
+            if name.endswith(b"/%d.txt" % (50 * number + 49)):
+                raw[at + 16] ^= 0xFF
+            at += 4
+        return bytes(raw)
+
+    spoil = F.pandas_udf(lambda p, c: pd.Series([spoilt(x, y) for x, y in zip(p, c, strict=True)]), "binary")
+    folder = new_folder(spark, "archives")
+    write_files(_archives(spark, sf_dir).withColumn("content", spoil("path", "content")), folder)
+    return archives.bad_members(spark, folder).select(F.substring_index("archive", "/", -1).alias("archive"), "member")
+
+
 @query("s8_page_pieces", f"WITH v AS (SELECT page_id, {_VISIBLE} AS t FROM pages), s AS (SELECT page_id, t, unnest(range(0, length(t), 1200)) AS k FROM v) SELECT page_id, CAST(k // 1200 AS INT) AS part, md5(substr(t, CAST(k + 1 AS INT), 1200)) AS content_md5 FROM s")
 def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as documents that aren't Markdown: what they show, in pieces by length."""

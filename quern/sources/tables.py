@@ -48,6 +48,36 @@ def written(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+def filesystem(uri: str):
+    """(pyarrow filesystem, path) of a folder or file in the shared folder."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else "file:" + uri.removeprefix("file:"))
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Write each row's content (binary) as the file `path` below the folder and return their number. Attempts of one task write
+    the same bytes under the same names, each file whole under a name of its own and then moved."""
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                fs, name = filesystem(f"{folder}/{path}")
+                fs.create_dir(name.rpartition("/")[0], recursive=True)
+                own = f"{name}.{uuid.uuid4().hex}.tmp"
+                with fs.open_output_stream(own, compression=None) as out:
+                    out.write(content)
+                try:
+                    fs.move(own, name)
+                except OSError:
+                    if fs.get_file_info(name).type.name != "File":
+                        raise
+                    fs.delete_file(own)
+            yield batch.select(["path"])
+
+    return rows.select("path", "content").mapInArrow(run, "path string").count()
+
+
 def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
     """df with the rows' places from 1 in a total order, without a task that has all rows: the range-partitioned sort is
     written with each row's place in its partition, and a running sum over one row a partition says where each begins."""
