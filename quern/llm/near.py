@@ -22,7 +22,7 @@ WORDS = SKETCH_BITS // 64
 #: Deviations that a link's sketch may lie from what its similarity lets expect.
 DEVIATIONS = 5.0
 #: Documents on either side of a block task.
-BLOCK = 768
+BLOCK = 384
 
 
 def _constants(n: int, seed: int) -> np.ndarray:
