@@ -362,7 +362,7 @@ def test_contamination_of_the_table_by_plain_distances(spark, smoke):
             assert found.get((d.doc_id, i), -1) == got
 
 
-@pytest.mark.parametrize("block", [768, 16])
+@pytest.mark.parametrize("block", [384, 16])
 def test_near_copies_of_a_third_of_all_rows(spark, monkeypatch, block):
     """One text repeated exactly, and one in near copies, each a large part of all rows; in one block a bucket and in many."""
     monkeypatch.setattr(near, "BLOCK", block)
