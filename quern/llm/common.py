@@ -169,15 +169,13 @@ def shingle_set(hashes: np.ndarray, width: int = 5) -> np.ndarray:
 
 class _Pieces(dict):
     """Ids of pieces, with a space before them or without. Of `limit` bytes of pieces those used since the last turnover
-    stay; pieces of more than MOST_KEPT characters, such as texts without spaces, are encoded each time."""
+    stay; pieces of more than MOST_KEPT characters, such as texts without spaces, are encoded each time. An entry takes
+    about 200 bytes for its two objects and their places, and four for each character and its ids."""
 
     MOST_KEPT = 64
-    #: Bytes of an entry besides its characters and ids: two objects and their places in the table.
-    ENTRY = 200
-
     def __init__(self, owner: "CachedEncoder", space: bool, limit: int):
         super().__init__()
-        self.owner, self.limit, self.old, self.held = owner, limit, {}, 0
+        self.owner, self.half, self.old, self.held = owner, limit // 2, {}, 0
         self.space = " " if space else ""
         self.spelled = owner.spell(" ") if space and not owner.lowers else ""
 
@@ -187,11 +185,11 @@ class _Pieces(dict):
             out = self._new(piece)
             if len(piece) > self.MOST_KEPT:
                 return out
-        self.held += self.ENTRY + 4 * len(piece) + len(out)
-        if self.held >= self.limit // 2:
+        self[piece] = out
+        self.held += 200 + 4 * len(piece)
+        if self.held > self.half:
             self.old, self.held = dict(self), 0
             self.clear()
-        self[piece] = out
         return out
 
     def _letters(self, piece: str) -> bytes:
@@ -230,7 +228,7 @@ class CachedEncoder:
     piece of Latin letters is one pre-token, which goes to the library's model directly.
     """
 
-    def __init__(self, path: str, limit: int = 240_000_000):
+    def __init__(self, path: str, limit: int = 300_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
