@@ -476,7 +476,7 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def score_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mean_score (a token's).
 
     Counts come from all documents outside the held-out fold; all of them are in the filter, those of 1 too. score adds up
     log10 of l * max(0, c(u v) - DISCOUNT) / c(u) + (1 - l * s(u) / c(u)) * p(v), where l is 1 - LEAST_UNIGRAM,
@@ -511,4 +511,5 @@ def score_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
         F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("common_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"),
         "score",
+        (F.col("score") / F.col("n_tokens")).alias("mean_score"),
     )
