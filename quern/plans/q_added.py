@@ -43,12 +43,22 @@ def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s1_text_files", "SELECT lang || '/f' || doc_id // 50 || '.txt' AS path, md5(string_agg(text, chr(10) ORDER BY doc_id)) AS content_md5 FROM documents WHERE text IS NOT NULL GROUP BY lang, doc_id // 50")
 def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as text files in a folder for each language, fifty numbers a file, found again below the folder."""
+    return archives.text_files(spark, _text_folder(spark, sf_dir)).select("path", F.md5("content").alias("content_md5"))
+
+
+@query("s4_checksums", "SELECT 'f' || doc_id // 50 || '.txt' AS file, sha256(string_agg(text, chr(10) ORDER BY doc_id)) AS sha256 FROM documents WHERE text IS NOT NULL GROUP BY lang, doc_id // 50")
+def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archives.checksums(spark, f"{_text_folder(spark, sf_dir)}/*/*.txt")
+    return found.select(F.substring_index("path", "/", -1).alias("file"), "sha256")
+
+
+def _text_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as text files in a folder for each language, fifty numbers a file."""
     d = table(spark, sf_dir, "documents").filter("text IS NOT NULL").groupBy("lang", F.floor(F.col("doc_id") / 50).alias("b")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("x"))
     folder = new_folder(spark, "texts")
     content = F.array_join(F.transform("x", lambda r: r["text"]), "\n").cast("binary")
     write_files(d.select(F.concat("lang", F.lit("/f"), "b", F.lit(".txt")).alias("path"), content.alias("content")), folder)
-    return archives.text_files(spark, folder).select("path", F.md5("content").alias("content_md5"))
+    return folder
 
 
 @query("s2_zip_members", "SELECT lang || '/' || doc_id || '.txt' AS path, md5(coalesce(text, '')) AS content_md5 FROM documents")

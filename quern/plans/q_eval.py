@@ -138,17 +138,48 @@ def c1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.chunk_documents(documents(spark, sf_dir), C.Chunker(700, 80))
 
 
-@query("c8_markdown_sections")
+#: Three bodies of a document's text, 300 characters each at most, on one line and without the mark of headings.
+_BODIES = """SELECT doc_id, source, lang, trim(replace(replace(substr(coalesce(text, ''), 1, 300), chr(10), ' '), '#', '+')) AS b1, trim(replace(replace(substr(coalesce(text, ''), 301, 300), chr(10), ' '), '#', '+')) AS b2,
+ trim(replace(replace(substr(coalesce(text, ''), 601, 300), chr(10), ' '), '#', '+')) AS b3 FROM documents"""
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_BODIES.replace("FROM documents", "FROM {d}"), d=table(spark, sf_dir, "documents"))
+
+
+@query(
+    "c8_markdown_sections",
+    f"""WITH b AS ({_BODIES}), p AS (SELECT doc_id, source, lang, '' AS part, '## ' || lang || chr(10) || b1 AS piece, b1 AS body, 1 AS o FROM b UNION ALL SELECT doc_id, source, lang, 'more', '### more' || chr(10) || b2, b2, 2 FROM b
+ UNION ALL SELECT doc_id, source, '概览', '', b3, b3, 0 FROM b)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS INT) AS n, source AS title, lang AS section, part AS subsection, md5(trim(piece)) AS piece_md5, lang || '-1' AS meta FROM (SELECT p.*, d.lang AS meta_lang FROM p JOIN documents d USING (doc_id)) WHERE body <> ''""".replace("lang || '-1' AS meta", "meta_lang || '-1' AS meta"),
+)
 def c8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a knowledge file with its first line as title."""
+    """Each document as a knowledge file: front matter, a title, text before any section, a section and a part of it."""
     import pandas as pd
 
+    lines = [F.lit("---"), F.concat(F.lit("key: "), "lang", F.lit("-1")), F.lit("---"), F.concat(F.lit("# "), "source"), F.col("b3"), F.concat(F.lit("## "), "lang"), F.col("b1"), F.lit("### more"), F.col("b2")]
+
     def run(batches):
         for pdf in batches:
-            out = [(i, n, title, section, piece) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True) for n, (title, section, _, piece, _) in enumerate(C.split_markdown("# " + (t or "")))]
-            yield pd.DataFrame(out, columns=["doc_id", "n", "title", "section", "piece"])
+            out = [(i, n, title, section, part, piece, meta["key"]) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True) for n, (title, section, part, piece, meta) in enumerate(C.split_markdown(t))]
+            yield pd.DataFrame(out, columns=["doc_id", "n", "title", "section", "subsection", "piece", "meta"])
+
+    files = _bodies(spark, sf_dir).select("doc_id", F.concat_ws("\n", *lines).alias("text"))
+    rows = files.mapInPandas(run, "doc_id long, n int, title string, section string, subsection string, piece string, meta string")
+    return rows.withColumn("piece_md5", F.md5("piece")).drop("piece")
+
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, n int, title string, section string, piece string")
+@query(
+    "c5_packed_sections",
+    f"""WITH b AS ({_BODIES}), p AS (SELECT doc_id, 0 AS chunk_index, 'Doc > ' || source AS section_path, '# ' || source || CASE WHEN b1 <> '' THEN chr(10) || b1 ELSE '' END || CASE WHEN b2 <> '' THEN chr(10) || chr(10) || b2 ELSE '' END AS content FROM b
+ UNION ALL SELECT doc_id, 1, 'Doc > ' || source || ' > ' || lang, '## ' || lang || CASE WHEN b3 <> '' THEN chr(10) || b3 ELSE '' END FROM b)
+SELECT CAST(doc_id AS VARCHAR) AS id, chunk_index, section_path, md5(content) AS content_md5, len(list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '')) AS token_count FROM p""",
+)
+def c5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of one section in one chunk, those of another apart, with the path of headings that leads to them."""
+    text = F.concat(F.lit("# "), "source", F.lit("\n"), "b1", F.lit("\n\n"), "b2", F.lit("\n## "), "lang", F.lit("\n"), "b3")
+    docs = _bodies(spark, sf_dir).select(F.col("doc_id").alias("id"), text.alias("content"), F.lit("Doc").alias("title"))
+    return C.chunk_documents(docs, C.Chunker(700, 80)).withColumn("content_md5", F.md5("content")).drop("content")
 
 
 @query("c16_hash_embedding")

@@ -204,13 +204,6 @@ def m12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.groupBy("strategy").agg(F.countDistinct("query_id").alias("answered"), F.count("*").alias("hits"))
 
 
-@query("s4_checksums")
-def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quern.sources.archives import checksums
-
-    return checksums(spark, f"{sf_dir}/nation.parquet").select(F.substring_index("path", "/", -1).alias("file"), "sha256")
-
-
 @query("t1_incremental_ingest", "SELECT 'corpus-a' AS corpus_id, source, CAST(doc_id AS VARCHAR) AS external_id, sha256(text) AS content_hash, 1 AS version FROM documents")
 def t1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream of files, taken in twice: the second run adds nothing."""
