@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import WordHashes, back, byte_column, ids, sliced, text_of
+from quern.llm.common import WordHashes, back, byte_column, ids, sliced, text_of, written
 from quern.llm.language import fold
 
 #: Labelled documents that are fitted on and vote, at most; the least hashes of their ids.
 MOST_LABELLED = 6000
+#: Terms of all labelled documents together, at most: where they are longer, fewer of them are fitted on.
+MOST_TERMS = 4_000_000
 #: Hashed places of the three kinds of terms: words as they are written, runs of character classes, and how often words and
 #: lines come again, how long words are and how long the text is.
 WORDS, SHAPES, REPEATS = 1 << 15, 1 << 12, 64
@@ -67,8 +69,8 @@ class Rows:
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
         self.n = len(rows)
-        self.row = np.repeat(np.arange(self.n), [len(a) for a, _ in rows])
-        self.at = np.concatenate([np.empty(0, np.int64), *(a for a, _ in rows)])
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(a) for a, _ in rows])
+        self.at = np.concatenate([np.empty(0, np.int32), *(a for a, _ in rows)], dtype=np.int32)
         self.value = np.concatenate([np.empty(0, np.float32), *(v for _, v in rows)])
 
     @staticmethod
@@ -96,7 +98,7 @@ class Model:
         self.prior = float(labels.mean()) if len(labels) else 0.5
         self.labels = labels.astype(np.float32)
         n = len(counts)
-        seen = np.bincount(np.concatenate([np.empty(0, np.int64), *(a for a, _ in counts)]), minlength=PLACES)
+        seen = np.bincount(np.concatenate([np.empty(0, np.int32), *(a for a, _ in counts)]), minlength=PLACES)
         self.idf = (np.log((n + 1) / (1 + seen)) + 0.05).astype(np.float32)
         self.to_latent = np.zeros((PLACES, LATENT), np.float32)
         if n:
@@ -141,8 +143,8 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, label_col: str, most: int) -> Model:
-    """Fit on at most `most` labelled documents, those with the least hashes of their ids. Of an id with several texts the
-    one whose terms sort first counts."""
+    """Fit on at most `most` labelled documents with MOST_TERMS terms together, those with the least hashes of their ids. Of an
+    id with several texts the one whose terms sort first counts. So what the driver gets is bounded in rows and in bytes."""
     marked = labels.select(F.col(label_id).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter("y IS NOT NULL AND id IS NOT NULL")
     chosen = marked.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
@@ -157,9 +159,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
             )
 
     found = texts.join(F.broadcast(chosen), "id").mapInArrow(run, "id long, y int, at binary, n binary")
-    rows = found.groupBy("id").agg(F.min(F.struct("at", "n", "y")).alias("x")).select("id", "x.*").collect()  # `most` rows at most
+    one = written(found.groupBy("id").agg(F.min(F.struct("at", "n", "y")).alias("x")).select(F.xxhash64("id").alias("h"), "id", "x.*"), "labelled")
+    sizes = sorted(one.select("h", (F.octet_length("at") / 4).alias("terms")).collect())  # `most` small rows at most
+    fit = int(np.searchsorted(np.cumsum([r["terms"] for r in sizes]), MOST_TERMS, "right"))
+    rows = one.filter(F.col("h") <= sizes[max(1, fit) - 1]["h"]).collect() if sizes else []
     rows.sort(key=lambda r: r["id"])
-    return Model([(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["n"], "<f4")) for r in rows], np.array([r["y"] for r in rows], np.float32))
+    return Model([(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<f4")) for r in rows], np.array([r["y"] for r in rows], np.float32))
 
 
 def score_quality(
@@ -167,7 +172,7 @@ def score_quality(
 ) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    Labels outside the held-out fold are learned from, at most `most` of them; a document with several counts with the
+    Labels outside the held-out fold are learned from, at most `most` of them and MOST_TERMS terms together; a document with several counts with the
     largest. Null and empty texts are scored as texts without words. Without labels every score is 0.5. Documents with a
     null id are scored and not held out. Rows that repeat an id are scored each. Other columns aren't looked at. An empty
     table gives no rows. What is broadcast are PLACES * LATENT weights (9 MB) and `most` vectors.
