@@ -381,3 +381,14 @@ def test_near_copies_of_a_third_of_all_rows(spark, monkeypatch, block):
         rows.append((i, text))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
     assert got == brute_components(rows)
+
+
+def test_quality_fits_on_what_its_bound_holds(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(50))) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    fit = lambda: len(quality.train(docs, labels, "doc_id", "text", "doc_id", "quality", 100).labels)
+    assert fit() == 40
+    monkeypatch.setattr(quality, "MOST_TERMS", 1000)
+    assert 5 < fit() < 20
+    monkeypatch.setattr(quality, "MOST_TERMS", 1)
+    assert fit() == 1
