@@ -196,3 +196,22 @@ def test_members_leave_in_several_frames(spark, tmp_path, monkeypatch):
         z.writestr("d/skip.md", "x")
     got = archives.zip_members(spark, str(tmp_path / "m.zip")).collect()
     assert [(r.path, bytes(r.content)) for r in got] == [(f"d/{i:02d}.txt", f"text {i}".encode()) for i in range(30)]
+
+
+def test_tables_of_a_database(spark):
+    from quern.sources.jdbc import Database, replica
+
+    db = Database("jdbc:derby:memory:quern-test;create=true", driver="org.apache.derby.jdbc.EmbeddedDriver", most_connections=3)
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(20)] + [(None, "no key")], "id long, t string")
+    db.write(rows, "docs")
+    for found in (db.table(spark, "docs"), db.table(spark, "docs", "id")):
+        assert sorted((r[0] if r[0] is not None else -1, r[1]) for r in found.collect()) == sorted((r.id if r.id is not None else -1, r.t) for r in rows.collect())
+    ranged = db.table(spark, "docs", "id")
+    assert ranged.rdd.getNumPartitions() == 3 and "PushedFilters: [*IsNotNull(ID), *EqualTo(ID,7)" in ranged.filter("id = 7")._jdf.queryExecution().executedPlan().toString().replace("id", "ID")
+    away = replica(Database("jdbc:derby:memory:nowhere", driver="org.apache.derby.jdbc.EmbeddedDriver"))
+    assert away.timeout_s == 3 and away.most_connections == 4 and "password" not in repr(away)
+    with pytest.raises(Exception, match="nowhere"):
+        away.table(spark, "docs")
+    for wrong in ({"url": "http://x"}, {"url": "jdbc:x", "most_connections": 0}):
+        with pytest.raises(ValueError):
+            Database(**wrong)
