@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators import retrieval as R
@@ -75,6 +75,15 @@ def needs_second_pass(hits: int, question: str, enabled: bool = True, least_hits
     return enabled and (hits < least_hits or len(question) >= long)
 
 
+def answer_frames(sources: DataFrame, parts: DataFrame, totals: DataFrame, by: str = "query_id") -> DataFrame:
+    """by, place, kind and payload of an answer's frames in the order in which they are sent: its sources first, then its text
+    part by part, its metrics last. sources and totals have one payload an answer, parts a payload and n for each part."""
+    kinds = [("sources", sources.withColumn("n", F.lit(0))), ("text", parts), ("metrics", totals.withColumn("n", F.lit(0)))]
+    tagged = [df.select(by, F.lit(i).alias("o"), F.col("n").cast("long").alias("n"), F.lit(kind).alias("kind"), "payload") for i, (kind, df) in enumerate(kinds)]
+    every = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    return every.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("o", "n"))).select(by, "place", "kind", "payload")
+
+
 def metrics(result: DataFrame) -> DataFrame:
     """One row about retrieval timings: llm_ms is what the stages leave of the total, not below 0."""
     rest = F.col("total_ms") - F.col("vector_ms") - F.col("lexical_ms") - F.col("rrf_ms") - F.col("rerank_ms")

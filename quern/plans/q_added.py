@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from quern.operators import chunking as C
 from quern.operators import evaluate as E
 from quern.operators import ingest
+from quern.operators.access import admin_allowed
+from quern.operators.engine import answer_frames
+from quern.plans.q_retrieval import LISTS, _lexical
 from quern.plans.registry import query
 from quern.plans.relation import table
 from quern.sources import archives
@@ -211,3 +214,30 @@ def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = _database(spark)
     db.write(table(spark, sf_dir, "benchmark"), name)
     return replica(db).table(spark, name).filter("item_id >= 3")
+
+
+_TOKENS = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'open sesame' WHEN 1 THEN 'Open Sesame' WHEN 2 THEN source END AS token FROM documents"
+
+
+@query("f5_admin_gate", f"WITH t AS ({_TOKENS}) SELECT doc_id, coalesce(token = 'open sesame', false) AS allowed, false AS without_token FROM t")
+def f5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each document; a server without a token lets none in."""
+    asked = spark.sql(_TOKENS.replace("FROM documents", "FROM {d}"), d=table(spark, sf_dir, "documents"))
+    return asked.select("doc_id", admin_allowed("open sesame", F.col("token")).alias("allowed"), admin_allowed(" ", F.col("token")).alias("without_token"))
+
+
+@query(
+    "t3_answer_frames",
+    f"""WITH {LISTS}, h AS (SELECT b.item_id AS query_id, coalesce(string_agg(CAST(a.id AS VARCHAR), ',' ORDER BY a.rank), '') AS ids, count(a.id) AS n FROM benchmark b LEFT JOIN a ON a.query_id = b.item_id GROUP BY b.item_id),
+p AS (SELECT item_id AS query_id, unnest(range(1, len(string_split(text, '. ')) + 1)) AS n, string_split(text, '. ') AS x FROM benchmark),
+f AS (SELECT query_id, 0 AS o, 0 AS n, 'sources' AS kind, ids AS payload FROM h UNION ALL SELECT query_id, 1, n, 'text', x[n] FROM p UNION ALL SELECT query_id, 2, 0, 'metrics', 'hits=' || n FROM h)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY o, n) AS INT) AS place, kind, payload FROM f""",
+)
+def t3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item's hits, its sentences as an answer, and the number of hits."""
+    items = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
+    hits = _lexical(spark, sf_dir).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("x"))
+    found = items.join(hits, "query_id", "left").select("query_id", F.coalesce(F.array_join(F.transform("x", lambda s: s["id"].cast("string")), ","), F.lit("")).alias("ids"), F.coalesce(F.size("x"), F.lit(0)).alias("hits"))
+    found = found.withColumn("hits", F.greatest("hits", F.lit(0)))
+    parts = items.select("query_id", F.posexplode(F.split("text", r"\. ")).alias("n", "payload"))
+    return answer_frames(found.select("query_id", F.col("ids").alias("payload")), parts, found.select("query_id", F.concat(F.lit("hits="), "hits").alias("payload")))

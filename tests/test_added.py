@@ -215,3 +215,16 @@ def test_tables_of_a_database(spark):
     for wrong in ({"url": "http://x"}, {"url": "jdbc:x", "most_connections": 0}):
         with pytest.raises(ValueError):
             Database(**wrong)
+
+
+def test_admin_gate_and_frame_order(spark):
+    from quern.operators.access import admin_allowed
+    from quern.operators.engine import answer_frames
+
+    rows = spark.createDataFrame([(1, "t"), (2, "T"), (3, None), (4, "")], "n int, g string")
+    ask = lambda token: {r.n: r.ok for r in rows.select("n", admin_allowed(token, F.col("g")).alias("ok")).collect()}
+    assert ask("t") == {1: True, 2: False, 3: False, 4: False} and not any(ask("").values()) and not any(ask(None).values())
+    parts = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "query_id int, n int, payload string")
+    one = lambda x: spark.createDataFrame([(1, x)], "query_id int, payload string")
+    got = [(r.place, r.kind, r.payload) for r in answer_frames(one("s"), parts, one("m")).orderBy("place").collect()]
+    assert got == [(1, "sources", "s"), (2, "text", "a"), (3, "text", "b"), (4, "metrics", "m")]
