@@ -78,14 +78,17 @@ def key_of(column: str) -> "F.Column":
 
 def keep_rows(docs: DataFrame, text_col: str, wanted: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
     """The rows whose text is wanted, columns as they were: each is decided on where it is read, so neither its id nor
-    another row with that id matters, and nothing is shuffled. `wanted` makes a task's judge of texts."""
+    another row with that id matters, and nothing is shuffled. Only texts go to the Python worker, so other columns may be of
+    any type. `wanted` makes a task's judge of texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def keeps(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         judge = wanted()
-        for batch in sliced(batches):
-            yield batch.filter(pa.array(judge(text_column(batch, text_col)), pa.bool_()))
+        for part in parts:
+            slices = (part.slice(i, 512).to_pylist() for i in range(0, len(part), 512))
+            yield pa.array([x for texts in slices for x in judge(texts)], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(keeps(text_of(text_col)))
 
 
 def keep_keyed(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
