@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import common, decontam, exact, language, lm, near, quality, queries, token_ids, urls, warc
+from quern.sources import tables
 from tests.llm.test_ops import brute_components, brute_distance, load
 
 TWICE = "doc_id long, text string, lang string, __id string, __sha int"
@@ -392,3 +393,30 @@ def test_quality_fits_on_what_its_bound_holds(spark, monkeypatch):
     assert 5 < fit() < 20
     monkeypatch.setattr(quality, "MOST_TERMS", 1)
     assert fit() == 1
+
+
+def test_filters_hand_columns_of_any_type_on(spark, twice):
+    extra = {
+        "void": F.lit(None), "map": F.create_map(F.lit("a"), F.col("__sha")), "struct": F.struct("lang", F.array("doc_id").alias("x")), "time": F.lit("2030-01-02 03:04:05.678").cast("timestamp"),
+        "local": F.lit("2030-01-02 03:04:05").cast("timestamp_ntz"), "day": F.lit("2030-01-02").cast("date"), "dec": F.lit("1.25").cast("decimal(20,5)"), "raw": F.lit("x").cast("binary"), "span": F.expr("INTERVAL 3 DAYS"),
+        "month": F.expr("INTERVAL 2 MONTHS"), "tiny": F.lit(3).cast("tinyint"), "real": F.lit(1.5).cast("float"),
+    }
+    docs = twice.withColumns(extra)
+    items = spark.createDataFrame([(1, "a benchmark question about the capital city")], "item_id long, text string")
+    for kept in (language.keep_identified(docs), decontam.keep_clean(docs, items), exact.keep_first_copies(docs), near.keep_one_each(docs)):
+        assert kept.schema.simpleString() == docs.schema.simpleString()
+        shown = lambda df: df.withColumn("month", F.col("month").cast("string")).collect()
+        rows = shown(kept)
+        want = {r["__id"]: r for r in shown(docs)}
+        assert rows and all(r == want[r["__id"]] for r in rows)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    away = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.shared_dir(away)
+    away.conf = SimpleNamespace(get=lambda *a: "hdfs://shared/folder/")
+    assert tables.shared_dir(away) == "hdfs://shared/folder"
