@@ -68,27 +68,26 @@ class Rows:
     """Sparse rows, with products by dense matrices that never hold more than some entries' worth of them at once."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
-        self.n = len(rows)
-        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(a) for a, _ in rows])
-        self.at = np.concatenate([np.empty(0, np.int32), *(a for a, _ in rows)], dtype=np.int32)
-        self.value = np.concatenate([np.empty(0, np.float32), *(v for _, v in rows)])
-
-    @staticmethod
-    def _summed(to: np.ndarray, of: np.ndarray, value: np.ndarray, m: np.ndarray, size: int) -> np.ndarray:
-        """out[to] += value * m[of]; to ascends."""
-        out = np.zeros((size, m.shape[1]), np.float32)
-        for i in range(0, len(to), 100_000):
-            t = to[i : i + 100_000]
-            new = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            out[t[new]] += np.add.reduceat(m[of[i : i + 100_000]] * value[i : i + 100_000, None], new, axis=0)
-        return out
+        self.rows = rows
+        at = np.concatenate([np.empty(0, np.int32), *(a for a, _ in rows)], dtype=np.int32)
+        by = np.argsort(at, kind="stable")
+        self.at = at[by]
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(a) for a, _ in rows])[by]
+        self.value = np.concatenate([np.empty(0, np.float32), *(v for _, v in rows)], dtype=np.float32)[by]
 
     def times(self, m: np.ndarray) -> np.ndarray:
-        return self._summed(self.row, self.at, self.value, m, self.n)
+        out = np.zeros((len(self.rows), m.shape[1]), np.float32)
+        for o, (at, value) in zip(out, self.rows, strict=True):
+            np.dot(value, m[at], out=o)
+        return out
 
     def transposed_times(self, m: np.ndarray) -> np.ndarray:
-        by = np.argsort(self.at, kind="stable")
-        return self._summed(self.at[by], self.row[by], self.value[by], m, PLACES)
+        out = np.zeros((PLACES, m.shape[1]), np.float32)
+        for i in range(0, len(self.at), 50_000):
+            at = self.at[i : i + 50_000]
+            new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            out[at[new]] += np.add.reduceat(m[self.row[i : i + 50_000]] * self.value[i : i + 50_000, None], new, axis=0)
+        return out
 
 
 class Model:
@@ -123,8 +122,8 @@ class Model:
 
     def project(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         v = np.zeros((len(counts), LATENT), np.float32)
-        for out, (at, n) in zip(v, counts, strict=True):
-            at, w = self.weigh(at, n)
+        for out, c in zip(v, counts, strict=True):
+            at, w = self.weigh(*c)
             np.dot(w, self.to_latent[at], out=out)
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
