@@ -6,7 +6,9 @@ import functools
 import os
 import re
 import struct
+import sys
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -170,6 +172,14 @@ def shingle_set(hashes: np.ndarray, width: int = 5) -> np.ndarray:
 # ---------------------------------------------------------------- tokenisation
 
 
+def little(numbers: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    return array("I", numbers).tobytes() if _NATIVE else struct.pack(f"<{len(numbers)}I", *numbers)
+
+
+_NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
+
+
 class _Pieces(dict):
     """Ids of pieces, with a space before them or without. Of `limit` bytes of pieces those used since the last turnover
     stay; pieces of more than MOST_KEPT characters, such as texts without spaces, are encoded each time. An entry takes
@@ -200,12 +210,11 @@ class _Pieces(dict):
         owner = self.owner
         if owner.lowers:
             piece = piece.lower()
-        got = [t.id for t in owner.model.tokenize(self.spelled + piece.translate(owner.letters))]
-        return struct.pack(f"<{len(got)}I", *got)
+        return little([t.id for t in owner.model.tokenize(self.spelled + piece.translate(owner.letters))])
 
     def _new(self, piece: str) -> bytes:
         owner = self.owner
-        if piece.isalpha() and max(piece) < "\u0100":
+        if piece.isalpha() and (piece.isascii() or max(piece) < "\u0100"):
             return self._letters(piece)
         if "<" in piece:  # it may hold the name of a special token
             return owner.encode(self.space + piece)
@@ -245,8 +254,7 @@ class CachedEncoder:
         self.inner, self.initial = _Pieces(self, True, limit), _Pieces(self, False, limit // 8)
 
     def encode(self, text: str) -> bytes:
-        got = self.encoder.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(got)}I", *got)
+        return little(self.encoder.encode(text, add_special_tokens=False).ids)
 
     def ids_of(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
