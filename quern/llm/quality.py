@@ -90,6 +90,13 @@ class Rows:
         return out
 
 
+def _orthonormal(y: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of the columns' space by its small Gram matrix; directions without weight are left out."""
+    w, v = np.linalg.eigh((y.T @ y).astype(np.float64))
+    keep = w > 1e-6 * max(float(w[-1]), 1e-30)
+    return y @ (v[:, keep] / np.sqrt(w[keep])).astype(np.float32)
+
+
 class Model:
     """A projection to latent-semantic space with the labelled documents' vectors in it."""
 
@@ -104,11 +111,10 @@ class Model:
             x = Rows([self.weigh(*c) for c in counts])
             y = x.times(np.random.default_rng(7).standard_normal((PLACES, LATENT + 16)).astype(np.float32))
             for _ in range(2):  # subspace iteration towards the leading singular vectors
-                q, _ = np.linalg.qr(y)
-                z, _ = np.linalg.qr(x.transposed_times(q))
+                z = _orthonormal(x.transposed_times(_orthonormal(y)))
                 y = x.times(z)
-            _, _, v = np.linalg.svd(y, full_matrices=False)
-            found = z @ v[:LATENT].T
+            _, v = np.linalg.eigh((y.T @ y).astype(np.float64))
+            found = z @ v[:, ::-1][:, :LATENT].astype(np.float32)
             self.to_latent[:, : found.shape[1]] = found
         self.vectors = self.project(counts)
 
