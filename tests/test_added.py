@@ -228,3 +228,37 @@ def test_admin_gate_and_frame_order(spark):
     one = lambda x: spark.createDataFrame([(1, x)], "query_id int, payload string")
     got = [(r.place, r.kind, r.payload) for r in answer_frames(one("s"), parts, one("m")).orderBy("place").collect()]
     assert got == [(1, "sources", "s"), (2, "text", "a"), (3, "text", "b"), (4, "metrics", "m")]
+
+
+def test_a_sealed_database_is_read_by_other_processes(spark, tmp_path):
+    import subprocess
+    import sys
+
+    from quern.sources.jdbc import Database, replica, sealed
+
+    texts = ["", " a ", 'say "x", y', "two\nlines\r\nand\rmore", "é中\t", "'", '"', "x" * 70_000, "\\", ",", "#"]
+    rows = spark.createDataFrame([(i, t, i / 3, i % 2 == 0) for i, t in enumerate(texts)] + [(None, None, None, None)], "id long, t string, x double, b boolean").repartition(3)
+    want = sorted(rows.collect(), key=str)
+    db = sealed(rows, "kept")
+    assert sorted(db.table(spark, "kept").collect(), key=str) == want == sorted(db.table(spark, "kept", "id").collect(), key=str)
+    assert db.table(spark, "kept", "id").rdd.getNumPartitions() == 8 and replica(db).table(spark, "kept").filter("id >= 3").count() == len(texts) - 3
+    assert sealed(rows.limit(0), "empty_one").table(spark, "empty_one", "id").count() == 0
+    with pytest.raises(ValueError, match="timestamp"):
+        sealed(spark.sql("SELECT current_timestamp() AS at"), "at")
+    other = f"""
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+print("rows", s.read.format("jdbc").options(**{db.options()!r}).option("dbtable", "kept").load().count())"""
+    assert f"rows {len(texts) + 1}" in subprocess.run([sys.executable, "-c", other], capture_output=True, text=True, cwd=tmp_path, timeout=120).stdout
+
+
+@pytest.mark.parametrize("name", ["s11_database_table"])
+def test_database_queries_where_tasks_run_in_other_processes(spark, smoke, name, monkeypatch):
+    from quern.plans import q_added, registry
+
+    made = []
+    monkeypatch.setattr(q_added, "sealed", lambda *a, f=q_added.sealed: made.append(f(*a)) or made[-1])
+    want = sorted(registry.queries()[name](spark, smoke).collect())
+    assert not made
+    monkeypatch.setattr(spark.sparkContext, "master", "local-cluster[2,1,1024]")
+    assert sorted(registry.queries()[name](spark, smoke).collect()) == want and len(made) == 1
