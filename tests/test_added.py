@@ -252,7 +252,7 @@ print("rows", s.read.format("jdbc").options(**{db.options()!r}).option("dbtable"
     assert f"rows {len(texts) + 1}" in subprocess.run([sys.executable, "-c", other], capture_output=True, text=True, cwd=tmp_path, timeout=120).stdout
 
 
-@pytest.mark.parametrize("name", ["s11_database_table"])
+@pytest.mark.parametrize("name", ["s11_database_table", "s12_search_replica"])
 def test_database_queries_where_tasks_run_in_other_processes(spark, smoke, name, monkeypatch):
     from quern.plans import q_added, registry
 
