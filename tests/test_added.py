@@ -262,3 +262,28 @@ def test_database_queries_where_tasks_run_in_other_processes(spark, smoke, name,
     assert not made
     monkeypatch.setattr(spark.sparkContext, "master", "local-cluster[2,1,1024]")
     assert sorted(registry.queries()[name](spark, smoke).collect()) == want and len(made) == 1
+
+
+def test_page_headings_equal_their_sql_on_odd_pages(spark, tmp_path):
+    import duckdb
+
+    from quern.plans import registry
+
+    pages = [
+        "<h1>a &amp; b &amp</h1><h2>&quot;c&quot; &#39; &nbsp; &eacute;</h2>", "<H1 class='x'>Up\n\t per</H1><h2>open", "<h1>one</h2><h3>two</h3>", "<h1>out<h2>in</h2>rest</h1>",
+        "<!-- <h1>no</h1> --><script>'<h2>s</h2>'</script>", "<h7>x</h7><header>y</header><h1x>z</h1><h1é>w</h1>", "<h1></h1><h2> \x0b v   　 </h2>", "<h1>&amp;lt; &amp;amp;</h1>",
+        "<h1 title='a>b'>t</h1>", "<h1>a < b > c</h1>", "<h1 </h1>", "<h4\n>n\r\nm</h4 ><h5>k</h5>", "", None, "no heading", "</h1><h6>last</h6>",
+    ]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    names = ["page_id", "rank", "name", "description", "period_stars", "total_stars"]
+    got = registry.queries()["s16_page_headings"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(con.sql(f"SELECT {', '.join(names)} FROM ({registry.oracle_sql()['s16_page_headings']})").fetchall())
+
+
+def test_headings_of_a_page_that_closes_none_take_no_longer(spark):
+    page = spark.createDataFrame([(1, "<h2>only</h2>" + "<h1>" * 200_000), (2, "x" * 3_000_000 + "<h1>" + "y" * 3_000_000 + "</h1>")], "page_id long, html string")
+    t = time.perf_counter()
+    assert [(r.page_id, r.name, len(r.description)) for r in trends.page_rows(page, "headings").orderBy("page_id").collect()] == [(1, "h2", 4), (2, "h1", 3_000_000)]
+    assert time.perf_counter() - t < 30
