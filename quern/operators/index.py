@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -84,14 +83,21 @@ def empty_hits(queries: DataFrame, query_id: str, id_type: str) -> DataFrame:
     return queries.sparkSession.createDataFrame([], f"query_id {kind}, id {id_type}, score double")
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, SLICE):
-            part = batch.slice(i, SLICE)
-            found = [Counter(w) for w in part.column("w").to_pylist()]
-            dl = pc.list_value_length(part.column("w")).cast(pa.int64())
-            terms, tfs = pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("id"), dl, terms, tfs], names=["id", "dl", "terms", "tfs"])
+def counted(words: Column) -> Column:
+    """dl, terms and tfs of a list of words: its length, the different ones in order, and how often each occurs. An expression,
+    so a document never waits in a batch with others."""
+
+    def runs(s: Column) -> Column:
+        first = F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i))
+        return F.struct(s.alias("s"), F.filter(first, lambda i: i.isNotNull()).alias("first"))
+
+    def each(r: Column) -> Column:
+        s, first = r["s"], r["first"]
+        tfs = F.transform(first, lambda i, n: (F.coalesce(F.get(first, n + 1), F.size(s)) - i).cast("long"))
+        return F.struct(F.size(s).cast("long").alias("dl"), F.transform(first, lambda i: F.get(s, i)).alias("terms"), tfs.alias("tfs"))
+
+    # a list of one binds what is looked at several times
+    return F.get(F.transform(F.transform(F.array(F.sort_array(words)), runs), each), F.lit(0))
 
 
 class LexicalIndex:
@@ -102,9 +108,8 @@ class LexicalIndex:
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text: Column):
-        listed = docs.select(F.col(id_col).alias("id"), tokens(text).alias("w"))
-        kind = listed.schema["id"].dataType.simpleString()
-        self.docs = written(listed.mapInArrow(_counted, f"id {kind}, dl long, terms array<string>, tfs array<long>"), "index")
+        listed = docs.select(F.col(id_col).alias("id"), counted(tokens(text)).alias("x"))
+        self.docs = written(listed.select("id", "x.dl", "x.terms", "x.tfs"), "index")
         self.terms = written(self.docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "terms")
         row = self.docs.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("dl")).alias("l")).first()
         self.n_docs, self.avg_len = row["n"], row["l"] or 1.0

@@ -287,3 +287,21 @@ def test_headings_of_a_page_that_closes_none_take_no_longer(spark):
     t = time.perf_counter()
     assert [(r.page_id, r.name, len(r.description)) for r in trends.page_rows(page, "headings").orderBy("page_id").collect()] == [(1, "h2", 4), (2, "h1", 3_000_000)]
     assert time.perf_counter() - t < 30
+
+
+def test_terms_are_counted_without_python(spark):
+    from collections import Counter
+
+    from quern.functions.text import tokens
+    from quern.operators.index import counted
+
+    rng = random.Random(7)
+    texts = [None, "", " . ", "aa", "aa aa", "bb aa bb AA", "中文检索 中文 ab", *(" ".join(rng.choices(["aa", "bb", "c+", "d#d", "检索", "éé"], k=rng.randint(0, 60))) for _ in range(200))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(3)
+    want = {r.id: Counter(r.w) for r in docs.select("id", tokens(F.col("t")).alias("w")).collect()}
+    found = docs.select("id", counted(tokens(F.col("t"))).alias("x"))
+    for r in found.collect():
+        assert r.x.dl == want[r.id].total() and len(set(r.x.terms)) == len(r.x.terms) and dict(zip(r.x.terms, r.x.tfs, strict=True)) == want[r.id]
+    assert "Python" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "InArrow" not in plan
+    index = LexicalIndex(docs, "id", F.col("t"))
+    assert {(r.id, r.term): (r.tf, r.dl) for r in index.postings().collect()} == {(i, t): (n, c.total()) for i, c in want.items() for t, n in c.items()}
