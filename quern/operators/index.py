@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,22 +57,41 @@ def _arrow(name: str, kind: str) -> pa.Field:
     return pa.field(name, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind])
 
 
-def best_rows(rows: DataFrame, names: list, query_type: str, k: int, block: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """query_id, id and score of each task's k best rows of every query; block gives a slice's scores and which count."""
-    kind = rows.schema["id"].dataType.simpleString()
+Scores = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def best_rows(rows: DataFrame, names: list, query_type: str, k: int, scored: Callable[[Iterator[pa.RecordBatch]], Scores], kind: str) -> DataFrame:
+    """query_id, id and score of each task's k best rows of every query; scored gives ids, scores and which count, a slice at a
+    time."""
     schema = pa.schema([_arrow("query_id", query_type), _arrow("id", kind), pa.field("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = BestOf(len(names), k)
-        for batch in batches:
-            for i in range(0, batch.num_rows, SLICE):
-                part = batch.slice(i, SLICE)
-                best.add(np.array(part.column("id").to_pylist()), *block(part))
+        for ids, scores, wanted in scored(batches):
+            best.add(ids, scores, wanted)
         yield from best.batches(names, schema)
 
     return rows.mapInArrow(run, f"query_id {query_type}, id {kind}, score double")
 
 
+def whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """The batches' rows again, cut where key changes, so that rows of one key that follow each other stay together."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        other = np.flatnonzero(keys != keys[-1])
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield batch.slice(0, cut)
+        rest = batch.slice(cut)
+    if rest is not None:
+        yield rest
+
+
 def rounded_up(scores: np.ndarray, places: int = 6) -> np.ndarray:
     return np.floor(scores * 10**places + 0.5) / 10**places
 
@@ -104,12 +122,13 @@ class LexicalIndex:
     """Documents with their terms and frequencies, and each term's number of documents: two tables, written once.
 
     Scores are made where the documents are, a slice at a time against a block of queries, and a task hands on its k best
-    of each query; so no row is ever a pair of a query and a document that isn't among them.
+    of each query; so no row is ever a pair of a query and a document that isn't among them. Of a document only the terms that
+    a query asks for go to Python, one a row, so that a batch is small whatever the documents are like.
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text: Column):
         listed = docs.select(F.col(id_col).alias("id"), counted(tokens(text)).alias("x"))
-        self.docs = written(listed.select("id", "x.dl", "x.terms", "x.tfs"), "index")
+        self.docs = written(listed.select(F.monotonically_increasing_id().alias("doc"), "id", "x.dl", "x.terms", "x.tfs"), "index")
         self.terms = written(self.docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "terms")
         row = self.docs.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("dl")).alias("l")).first()
         self.n_docs, self.avg_len = row["n"], row["l"] or 1.0
@@ -147,25 +166,33 @@ class LexicalIndex:
         df[at] = [r["df"] for r in rows]
         idf = np.log(1.0 + (self.n_docs - df + 0.5) / (df + 0.5))
         askers, ends = np.array([place[r["query_id"]] for r in rows]), np.cumsum(np.bincount(at, minlength=len(vocabulary)))
-        held = self.docs.sparkSession.sparkContext.broadcast((vocabulary, idf, askers, ends, self.avg_len, len(names)))
-
-        def block(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-            vocabulary, idf, askers, ends, avg_len, n = held.value
-            lists = part.column("terms")
-            term = pc.fill_null(pc.index_in(lists.flatten(), value_set=pa.array(vocabulary, pa.string())), -1).to_numpy(zero_copy_only=False)
-            doc = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-            tf, dl = part.column("tfs").flatten().to_numpy(), part.column("dl").to_numpy()
-            keep = term >= 0
-            term, doc, tf = term[keep], doc[keep], tf[keep]
-            weight = idf[term] * tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * dl[doc] / avg_len))
-            first = np.concatenate([[0], ends])[term]
-            times = ends[term] - first
-            each = np.repeat(np.arange(len(term)), times)
-            asker = askers[np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times) + first[each]]
-            scores = np.bincount(asker * part.num_rows + doc[each], weight[each], n * part.num_rows).reshape(n, part.num_rows)
-            return rounded_up(scores), scores > 0
-
-        return best_rows(self.docs, names, query_type, k, block)
+        spark = self.docs.sparkSession
+        held = spark.sparkContext.broadcast((idf, askers, ends, self.avg_len, len(names)))
+        known = spark.createDataFrame(pa.table({"term": pa.array(vocabulary, pa.string()), "place": pa.array(range(len(vocabulary)), pa.int64())}))
+        each = self.docs.select("doc", "id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
+        each = each.select("doc", "id", "dl", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
+        asked = each.join(F.broadcast(known), "term").select("doc", "id", "dl", "tf", "place")  # a document's rows stay neighbours
+
+        def scored(batches: Iterator[pa.RecordBatch]) -> Scores:
+            idf, askers, ends, avg_len, n = held.value
+            starts = np.concatenate([[0], ends])
+            for batch in whole(batches, "doc"):
+                begins = np.flatnonzero(np.diff(batch.column("doc").to_numpy(zero_copy_only=False), prepend=-1))
+                for i in range(0, len(begins), SLICE):
+                    at = begins[i : i + SLICE]
+                    end = begins[i + SLICE] if i + SLICE < len(begins) else batch.num_rows
+                    part = batch.slice(at[0], end - at[0])
+                    doc = np.repeat(np.arange(len(at)), np.diff(np.append(at, end)))
+                    term, tf, dl = (part.column(c).to_numpy(zero_copy_only=False) for c in ("place", "tf", "dl"))
+                    weight = idf[term] * tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * dl / avg_len))
+                    first = starts[term]
+                    times = ends[term] - first
+                    each = np.repeat(np.arange(len(term)), times)
+                    asker = askers[np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times) + first[each]]
+                    scores = rounded_up(np.bincount(asker * len(at) + doc[each], weight[each], n * len(at)).reshape(n, len(at)))
+                    yield np.array(batch.column("id").take(pa.array(at)).to_pylist()), scores, scores > 0
+
+        return best_rows(asked, names, query_type, k, scored, self.docs.schema["id"].dataType.simpleString())
 
 
 def best_vectors(vectors: DataFrame, queries: DataFrame, k: int, threshold: float, id_col: str, vector_col: str, query_block: int) -> DataFrame:
@@ -184,10 +211,13 @@ def best_vectors(vectors: DataFrame, queries: DataFrame, k: int, threshold: floa
         q = np.array([r["v"] for r in found], np.float64)
         held = vectors.sparkSession.sparkContext.broadcast(q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300))
 
-        def block(part: pa.RecordBatch, held=held) -> tuple[np.ndarray, np.ndarray]:
-            v = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-            scores = rounded_up(held.value @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T)
-            return scores, scores >= threshold
+        def scored(batches: Iterator[pa.RecordBatch], held=held) -> Scores:
+            for batch in batches:
+                for i in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(i, SLICE)
+                    v = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                    scores = rounded_up(held.value @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T)
+                    yield np.array(part.column("id").to_pylist()), scores, scores >= threshold
 
-        out = out.unionByName(best_rows(rows, [r["query_id"] for r in found], kind, k, block))
+        out = out.unionByName(best_rows(rows, [r["query_id"] for r in found], kind, k, scored, own))
     return out

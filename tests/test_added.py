@@ -305,3 +305,29 @@ def test_terms_are_counted_without_python(spark):
     assert "Python" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "InArrow" not in plan
     index = LexicalIndex(docs, "id", F.col("t"))
     assert {(r.id, r.term): (r.tf, r.dl) for r in index.postings().collect()} == {(i, t): (n, c.total()) for i, c in want.items() for t, n in c.items()}
+
+
+def test_batches_of_the_search_hold_asked_terms_alone(spark, monkeypatch):
+    """Documents of many words that no query has: the bytes that go to Python don't depend on them."""
+    from quern.operators import index
+
+    size = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(index, "whole", lambda batches, key, f=index.whole: f((size.add(b.nbytes) or b for b in batches), key))
+    docs = spark.createDataFrame([(i, "asked " * (1 + i % 3) + " ".join(f"w{i}x{n}" for n in range(2000))) for i in range(60)], "id long, t string")
+    asked = spark.createDataFrame([(1, "asked"), (2, "w7x5 asked")], "q int, t string")
+    found = R.bm25_topk(index.LexicalIndex(docs, "id", F.col("t")), asked, "t", "q", 3)
+    got = {(r.query_id, r["rank"]): r.id for r in found.collect()}
+    assert got[2, 1] == 7 and len(got) == 6 and 0 < size.value < 60 * 2000
+
+
+def test_neighbours_stay_together_across_batches():
+    import pyarrow as pa
+
+    from quern.operators.index import whole
+
+    rng = random.Random(9)
+    keys = [k for k in range(50) for _ in range(rng.randint(1, 12))]
+    for n in (1, 3, 7, 1000):
+        parts = [p.column("k").to_pylist() for p in whole((pa.RecordBatch.from_pydict({"k": pa.array(keys[i : i + n], pa.int64())}) for i in range(0, len(keys), n)), "k")]
+        assert sum(parts, []) == keys and all(a[-1] != b[0] for a, b in zip(parts, parts[1:]))
+    assert list(whole(iter([]), "k")) == []
