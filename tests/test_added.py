@@ -264,6 +264,22 @@ def test_database_queries_where_tasks_run_in_other_processes(spark, smoke, name,
     assert sorted(registry.queries()[name](spark, smoke).collect()) == want and len(made) == 1
 
 
+def test_the_search_replica_has_its_columns_whatever_else_the_table_has(spark, smoke, tmp_path, monkeypatch):
+    import duckdb
+
+    from quern.plans import registry
+
+    more = spark.read.parquet(f"{smoke}/benchmark.parquet").select(F.current_timestamp().alias("at"), "text", F.array("text").alias("tags"), "item_id")
+    more.union(spark.sql("SELECT now(), NULL, NULL, 7L UNION ALL SELECT NULL, 'x', NULL, NULL")).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{tmp_path}/benchmark.parquet/*.parquet'")
+    want = sorted(con.sql(registry.oracle_sql()["s12_search_replica"]).fetchall(), key=str)
+    for master in ("local[4]", "local-cluster[2,1,1024]"):
+        monkeypatch.setattr(spark.sparkContext, "master", master)
+        got = registry.queries()["s12_search_replica"](spark, str(tmp_path))
+        assert got.columns == ["item_id", "text"] and sorted(map(tuple, got.collect()), key=str) == want
+
+
 def test_page_headings_equal_their_sql_on_odd_pages(spark, tmp_path):
     import duckdb
 
